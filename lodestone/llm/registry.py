@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing
+from . import fingerprint, mixing, quality, warc
 
 
 def _read(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_quality_classifier(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    model = quality.train(docs, _read(spark, sf_dir, "labels"))
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_document_fingerprints(spark, sf_dir):
     return fingerprint.fingerprints(_read(spark, sf_dir, "documents"))
 
@@ -20,5 +26,10 @@ def op9_source_mixing(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "rate", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op7_document_fingerprints, op9_source_mixing)}
+def op10_warc_round_trip(spark, sf_dir):
+    out = warc.archive_and_read(_read(spark, sf_dir, "pages"), with_payload=False)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op7_document_fingerprints, op9_source_mixing, op10_warc_round_trip)}
 SQL = {}
