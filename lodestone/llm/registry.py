@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, quality, warc
+from . import fingerprint, html_text, mixing, quality, warc
 
 
 def _read(spark, sf_dir, table):
@@ -17,6 +17,11 @@ def op2_quality_classifier(spark, sf_dir):
     return quality.score(docs.select("doc_id", "text"), model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_html_extraction(spark, sf_dir):
+    out = html_text.extract(_read(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op7_document_fingerprints(spark, sf_dir):
     return fingerprint.fingerprints(_read(spark, sf_dir, "documents"))
 
@@ -31,5 +36,5 @@ def op10_warc_round_trip(spark, sf_dir):
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op7_document_fingerprints, op9_source_mixing, op10_warc_round_trip)}
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_html_extraction, op7_document_fingerprints, op9_source_mixing, op10_warc_round_trip)}
 SQL = {}
