@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprint, html_text, mixing, quality, warc
+from . import fingerprint, html_text, mixing, pieces, quality, warc
 
 
 def _read(spark, sf_dir, table):
@@ -26,6 +26,16 @@ def op7_document_fingerprints(spark, sf_dir):
     return fingerprint.fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark, sf_dir):
+    model = pieces.load()
+    coded = pieces.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    out = pieces.decode(coded, model)
+    return out.select(
+        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "piece_score", F.get("runner_up", F.lit(0)).alias("second_score"),
+        F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
 def op9_source_mixing(spark, sf_dir):
     out = mixing.mix(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "rate", "copies")
@@ -36,5 +46,5 @@ def op10_warc_round_trip(spark, sf_dir):
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_html_extraction, op7_document_fingerprints, op9_source_mixing, op10_warc_round_trip)}
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_html_extraction, op7_document_fingerprints, op8_sentencepiece, op9_source_mixing, op10_warc_round_trip)}
 SQL = {}
