@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprint, html_text, mixing, pieces, quality, warc
+from . import fingerprint, html_text, mixing, pieces, quality, substrings, warc
 
 
 def _read(spark, sf_dir, table):
@@ -22,6 +22,10 @@ def op3_html_extraction(spark, sf_dir):
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op5_substring_dedup(spark, sf_dir):
+    return substrings.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_document_fingerprints(spark, sf_dir):
     return fingerprint.fingerprints(_read(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_warc_round_trip(spark, sf_dir):
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_html_extraction, op7_document_fingerprints, op8_sentencepiece, op9_source_mixing, op10_warc_round_trip)}
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_html_extraction, op5_substring_dedup, op7_document_fingerprints, op8_sentencepiece, op9_source_mixing, op10_warc_round_trip)}
 SQL = {}
