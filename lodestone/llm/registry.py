@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprint, html_text, mixing, pieces, quality, substrings, warc
+from . import fingerprint, html_text, mixing, pieces, quality, substrings, vectors, warc
 
 
 def _read(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_embedding_near_dedup(spark, sf_dir):
+    return vectors.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op2_quality_classifier(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     model = quality.train(docs, _read(spark, sf_dir, "labels"))
@@ -50,5 +54,17 @@ def op10_warc_round_trip(spark, sf_dir):
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_html_extraction, op5_substring_dedup, op7_document_fingerprints, op8_sentencepiece, op9_source_mixing, op10_warc_round_trip)}
-SQL = {}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_quality_classifier, op3_html_extraction, op5_substring_dedup, op7_document_fingerprints, op8_sentencepiece, op9_source_mixing, op10_warc_round_trip)}
+# a block of all pairs: at the size of the oracle's tables this is quick
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE e IS NOT NULL AND list_count(e) = len(e) AND len(list_filter(e, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+comp AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a),
+deg AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(c, v.vec_id) AS component_id, v.vec_id = coalesce(c, v.vec_id) AS kept
+FROM v LEFT JOIN comp ON comp.a = v.vec_id LEFT JOIN deg ON deg.a = v.vec_id
+"""
+
+SQL = {"op1_embedding_near_dedup": OP1_SQL}
