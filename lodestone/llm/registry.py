@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprint, html_text, minhash, mixing, pieces, quality, substrings, vectors, warc
+from . import fingerprint, html_text, licences, minhash, mixing, pieces, quality, substrings, vectors, warc
 
 
 def _read(spark, sf_dir, table):
@@ -34,6 +34,11 @@ def op5_substring_dedup(spark, sf_dir):
     return substrings.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_licence_scan(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(docs, licences.train(docs)).select("doc_id", "n_paragraphs", "licence", F.array_join("licences", ",").alias("licences"), F.size("hits").alias("n_hits"))
+
+
 def op7_document_fingerprints(spark, sf_dir):
     return fingerprint.fingerprints(_read(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_warc_round_trip(spark, sf_dir):
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_quality_classifier, op3_html_extraction, op4_minhash_near_dedup, op5_substring_dedup, op7_document_fingerprints, op8_sentencepiece, op9_source_mixing, op10_warc_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_quality_classifier, op3_html_extraction, op4_minhash_near_dedup, op5_substring_dedup, op6_licence_scan, op7_document_fingerprints, op8_sentencepiece, op9_source_mixing, op10_warc_round_trip)}
 # a block of all pairs: at the size of the oracle's tables this is quick
 OP1_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
