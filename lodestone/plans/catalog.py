@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.scratch import Scratch
+from ..functions.shipping import ship
 from ..operators import charts, dbscan, hdbscan, kmeans, mlp, neighbors, optics, pca, prepare, profile, sentiment
 from ..streaming import scoring
 
@@ -22,7 +23,11 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+        QUERIES[name] = run
         if sql:
             SQL[name] = sql
         return f
