@@ -1,13 +1,15 @@
-"""Helpers shared by the corpus operators: words, scratch tables, connected components."""
+"""Helpers shared by the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.scratch import Scratch
+from ..operators.graph import components
+
+__all__ = ["Scratch", "components", "words"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -16,65 +18,3 @@ def words(text: Column, lower: bool = False) -> Column:
     source = "\t\n\x0b\x0c\r" + (UPPER if lower else "")
     flat = F.translate(F.coalesce(text, F.lit("")), source, " " * 5 + (LOWER if lower else ""))
     return F.filter(F.split(flat, " "), lambda w: w != "")
-
-
-class Scratch:
-    """Intermediate tables in the shared folder that the cluster names in spark.checkpoint.dir.
-
-    Written tables cut lineage and survive lost executors. Where the setting is absent, as in local tests, a new
-    temporary folder takes its place.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="spark-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.root = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-
-    def table(self, df: DataFrame, name: str = "t") -> DataFrame:
-        path = self.path(name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Removes tables that no later plan reads."""
-        for t in tables:
-            jvm = self.spark._jvm
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """Connected components of an undirected graph as (id, component), component being the smallest id reachable.
-
-    edges: columns a, b (longs; self loops and repeats allowed). Only nodes that occur in edges come out. Each
-    round is a large-star step, then a small-star step (Kiveris et al. 2014, "Connected Components in MapReduce and
-    Beyond"): every node hangs its neighbours on the smallest of them. A logarithmic number of rounds suffices on
-    long chains too. Minima are pre-aggregated before they are shuffled; the join that hands a minimum to a hub's
-    neighbours is an ordinary equi-join, whose large partitions Spark splits.
-    """
-    e = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    while True:
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.table(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        new = scratch.table(small.where("u <> v").distinct(), "edges")
-        # fixed point: every edge joins a node to a root, no root has an edge of its own and no node has two roots
-        roots = new.select(F.col("v").alias("u")).distinct()
-        done = new.join(roots, "u", "left_semi").isEmpty() and new.groupBy("u").count().where("count > 1").isEmpty()
-        scratch.drop(e, large)
-        e = new
-        if done:
-            break
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
