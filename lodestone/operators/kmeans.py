@@ -81,12 +81,14 @@ def kmeans(df: DataFrame, features: list[str], k: int = 3, init: Centres | None
     init: starting centres; else even quantiles of the first feature; with n_init > 1 seeded starts, of which the one of
     least inertia wins. Raises ValueError unless 0 < k <= rows.
     """
-    rows = df.dropna(subset=features)
+    rows = df.dropna(subset=features).select(*([id_col] if id_col else []), *[F.col(f"`{c}`") for c in features if c != id_col]).persist()  # each round reads them
     n = rows.count()
     if not 0 < k <= n:
+        rows.unpersist()
         raise ValueError(f"k has to be between 1 and the number of rows, {n}")
     starts = [init] if init else [initial_centres(rows, features, k)] if n_init == 1 else [initial_centres(rows, features, k, seed + i, id_col) for i in range(n_init)]
     centres, inertia, rounds = min((lloyd(rows, features, s, max_iter) for s in starts), key=lambda r: r[1])
+    rows.unpersist()
     return KMeansModel(tuple(features), tuple(sorted(centres)), inertia, rounds)
 
 

@@ -40,7 +40,7 @@ def dropped_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 def fill_statistics(df: DataFrame, columns: list[str], how: str) -> dict[str, float]:
     """Mean or exact median of each column, missing skipped. A column without any value raises ValueError."""
     f = {"mean": F.avg, "median": F.median}[how]
-    got = df.agg(*[f(F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double"))).alias(f"s{k}") for k, c in enumerate(columns)]).first()
+    got = df.agg(*[f(_present(c)).alias(f"s{k}") for k, c in enumerate(columns)]).first()
     empty = [c for k, c in enumerate(columns) if got[k] is None]
     if empty:
         raise ValueError(f"no values to take a {how} of: {', '.join(empty)}")
@@ -50,7 +50,7 @@ def fill_statistics(df: DataFrame, columns: list[str], how: str) -> dict[str, fl
 def impute(df: DataFrame, columns: list[str], how: str = "mean") -> DataFrame:
     """Missing values of the columns replaced by the column's mean or median."""
     stats = fill_statistics(df, columns, how)
-    return df.withColumns({c: F.coalesce(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")), F.lit(v)) for c, v in stats.items()})
+    return df.withColumns({c: F.coalesce(_present(c), F.lit(v)) for c, v in stats.items()})
 
 
 def prepare_features(df: DataFrame, columns: list[str], policy: str = "drop") -> DataFrame:
@@ -105,24 +105,29 @@ def one_hot(df: DataFrame, columns: list[str], known: dict[str, list[str]] | Non
     return out.drop(*columns)
 
 
+def _present(c: str) -> Column:
+    """A column as double, NaN as null."""
+    return F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
+
+
 def _with_stats(df: DataFrame, stats: list[Column]) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(*stats)))  # one row
 
 
 def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - mean) / population standard deviation; 0 where a column is constant. Missing stays missing."""
-    out = _with_stats(df, [f(F.col(f"`{c}`").cast("double")).alias(f"_{k}_{n}") for n, c in enumerate(columns) for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+    out = _with_stats(df, [f(_present(c)).alias(f"_{k}_{n}") for n, c in enumerate(columns) for k, f in (("m", F.avg), ("s", F.stddev_pop))])
     for n, c in enumerate(columns):
-        x = F.col(f"`{c}`").cast("double")
+        x = _present(c)
         out = out.withColumn(c, F.when(F.col(f"_s_{n}") > 0, (x - F.col(f"_m_{n}")) / F.col(f"_s_{n}")).when(x.isNotNull(), 0.0))
     return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - min) / (max - min); 0 where a column is constant. Missing stays missing."""
-    out = _with_stats(df, [f(F.col(f"`{c}`").cast("double")).alias(f"_{k}_{n}") for n, c in enumerate(columns) for k, f in (("l", F.min), ("h", F.max))])
+    out = _with_stats(df, [f(_present(c)).alias(f"_{k}_{n}") for n, c in enumerate(columns) for k, f in (("l", F.min), ("h", F.max))])
     for n, c in enumerate(columns):
-        x, low, high = F.col(f"`{c}`").cast("double"), F.col(f"_l_{n}"), F.col(f"_h_{n}")
+        x, low, high = _present(c), F.col(f"_l_{n}"), F.col(f"_h_{n}")
         out = out.withColumn(c, F.when(high > low, (x - low) / (high - low)).when(x.isNotNull(), 0.0))
     return out.select(*[F.col(f"`{c}`") for c in df.columns])
 

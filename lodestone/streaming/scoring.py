@@ -13,6 +13,7 @@ def cluster_counts(stream: DataFrame, model: KMeansModel, time_col: str = "ts",
 
     The same plan runs on a batch.
     """
-    labelled = model.transform(stream).withWatermark(time_col, late)
+    zoned = stream.withColumn(time_col, F.col(time_col).cast("timestamp"))  # watermarks need a time zone: the session's
+    labelled = model.transform(zoned).withWatermark(time_col, late)
     out = labelled.groupBy(F.window(time_col, window), "cluster").agg(F.count(F.lit(1)).alias("n"))
-    return out.select(F.col("window.start").alias("start"), "cluster", "n")
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "cluster", "n")
