@@ -76,4 +76,36 @@ SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(c, v.vec_id
 FROM v LEFT JOIN comp ON comp.a = v.vec_id LEFT JOIN deg ON deg.a = v.vec_id
 """
 
-SQL = {"op1_embedding_near_dedup": OP1_SQL}
+# the pages of the tables mark their article plainly, so tags suffice to say what the text is
+OP3_SQL = """
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS x FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(x, '</?(?:p|h1)>'), lambda t: regexp_replace(t, '<[^>]*>', ' ', 'g')) AS raw FROM a),
+c AS (SELECT page_id, url, list_transform(raw, lambda t: regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;?', '&', 'g')) AS plain FROM b),
+d AS (SELECT page_id, url, array_to_string(list_filter(list_transform(plain, lambda t: trim(regexp_replace(t, '\\s+', ' ', 'g'))), lambda t: t <> ''), chr(10) || chr(10)) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
+"""
+
+OP4_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 2 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+both_have AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+pair AS (SELECT a, b FROM both_have JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+link AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+comp AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, d.doc_id) AS component_id, d.doc_id = coalesce(c, d.doc_id) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON comp.a = d.doc_id
+"""
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+last AS (SELECT h, max(page_id) AS top FROM p GROUP BY h),
+bits AS (SELECT page_id, top, octet_length(encode(p.h)) AS size, array_to_string(list_transform(string_split(sha1(p.h), ''), lambda c: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][instr('0123456789abcdef', c)]), '') AS b FROM p JOIN last ON p.h = last.h)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + 16 * CAST(substr(b, 5 * i + 1, 1) AS INTEGER) + 8 * CAST(substr(b, 5 * i + 2, 1) AS INTEGER) + 4 * CAST(substr(b, 5 * i + 3, 1) AS INTEGER) + 2 * CAST(substr(b, 5 * i + 4, 1) AS INTEGER) + CAST(substr(b, 5 * i + 5, 1) AS INTEGER) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM bits
+"""
+
+SQL = {"op1_embedding_near_dedup": OP1_SQL, "op3_html_extraction": OP3_SQL, "op4_minhash_near_dedup": OP4_SQL, "op10_warc_round_trip": OP10_SQL}
