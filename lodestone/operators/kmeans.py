@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import squared_distance
+from .profile import quantiles
 
 Centres = list[tuple[float, ...]]
 
@@ -47,11 +48,10 @@ class KMeansModel:
 
 
 def initial_centres(df: DataFrame, features: list[str], k: int, seed: int | None = None, id_col: str | None = None) -> Centres:
-    """k starting centres: rows at even quantiles of the first feature, or with a seed the k rows of least md5(seed:id)."""
+    """k starting centres: even quantiles of the first feature and means of the others, or with a seed the k rows of least md5(seed:id)."""
     if seed is None:
-        first = _cols(features)[0]
-        qs = df.agg(F.percentile(first, F.array(*[F.lit((i + 0.5) / k) for i in range(k)])).alias("q"), *[F.avg(c).alias(f"m{j}") for j, c in enumerate(_cols(features))]).first()
-        return [(v, *[qs[f"m{j}"] for j in range(1, len(features))]) for v in qs["q"]]
+        mean = df.agg(*[F.avg(c).alias(f"m{j}") for j, c in enumerate(_cols(features))]).first()
+        return [(v, *mean[1:]) for v in quantiles(df, features[0], [(i + 0.5) / k for i in range(k)])]
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
     return [tuple(r) for r in df.orderBy(order, id_col).limit(k).select(*_cols(features)).collect()]
 

@@ -8,6 +8,7 @@ from pyspark.sql.types import NumericType
 
 from ..functions.scalars import to_number
 from ..sources.loaders import require_columns
+from .profile import quantiles
 
 
 def require_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -37,10 +38,16 @@ def dropped_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.withColumn("n_dropped", F.col("n_before") - F.col("n_after"))
 
 
-def fill_statistics(df: DataFrame, columns: list[str], how: str) -> dict[str, float]:
-    """Mean or exact median of each column, missing skipped. A column without any value raises ValueError."""
+def fill_statistics(df: DataFrame, columns: list[str], how: str, in_one_pass: int = 5_000_000) -> dict[str, float]:
+    """Mean or exact median of each column, missing skipped. A column without any value raises ValueError.
+
+    Medians of tables too large for one task's state come from profile.quantiles().
+    """
     f = {"mean": F.avg, "median": F.median}[how]
-    got = df.agg(*[f(_present(c)).alias(f"s{k}") for k, c in enumerate(columns)]).first()
+    if how == "median" and df.count() > in_one_pass:
+        got = [quantiles(df, c, [0.5])[0] for c in columns]
+    else:
+        got = df.agg(*[f(_present(c)).alias(f"s{k}") for k, c in enumerate(columns)]).first()
     empty = [c for k, c in enumerate(columns) if got[k] is None]
     if empty:
         raise ValueError(f"no values to take a {how} of: {', '.join(empty)}")

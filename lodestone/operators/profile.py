@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType
 
+from ..functions.scratch import Scratch
+
 
 def numeric_columns(df: DataFrame) -> list[str]:
     """Columns of number types; booleans are not numbers."""
@@ -26,16 +28,51 @@ def _unpivot(one: DataFrame, names: list[str], fields: list[str]) -> DataFrame:
     return one.select(F.explode(items).alias("r")).select("r.*")
 
 
-def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, count, mean, std, min, p25, p50, p75, max) of numeric columns in one pass; quartiles interpolate linearly.
+def quantiles(df: DataFrame, column: str, qs: list[float]) -> list[float | None]:
+    """Exact quantiles with linear interpolation, for tables of any size.
 
-    Missing values are skipped; std has n - 1 below the line.
+    Counts of distinct values are range-partitioned; partition totals (a row for each) say in which partition a rank
+    lies, and only there it is looked up. Spark's percentile holds all distinct values of a column in one task.
+    """
+    scratch = Scratch(df.sparkSession)
+    counts = df.where(~missing(df, column)).groupBy(F.col(f"`{column}`").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ranged = scratch.table(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
+    size = sum(r["n"] for r in totals)
+    if not size:
+        return [None] * len(qs)
+    ranks = sorted({r for q in qs for r in (int(q * (size - 1)), min(int(q * (size - 1)) + 1, size - 1))})
+    held, at = {}, 0
+    for r in totals:
+        held |= {rank: (r["part"], rank - at) for rank in ranks if at <= rank < at + r["n"]}
+        at += r["n"]
+    here = ranged.where(F.col("part").isin(sorted({p for p, _ in held.values()})))
+    upto = here.withColumn("upto", F.sum("n").over(Window.partitionBy("part").orderBy("v")))
+    hit = F.lit(False)
+    for p, k in held.values():
+        hit = hit | ((F.col("part") == p) & (F.col("upto") > k) & (F.col("upto") - F.col("n") <= k))
+    found = upto.where(hit).collect()  # at most two rows for each quantile
+    value = {rank: next(r["v"] for r in found if r["part"] == p and r["upto"] - r["n"] <= k < r["upto"]) for rank, (p, k) in held.items()}
+    out = []
+    for q in qs:
+        x = q * (size - 1)
+        low, high = value[int(x)], value[min(int(x) + 1, size - 1)]
+        out.append(low + (high - low) * (x - int(x)))
+    return out
+
+
+def describe(df: DataFrame, columns: list[str] | None = None, in_one_pass: int = 5_000_000) -> DataFrame:
+    """(column, count, mean, std, min, p25, p50, p75, max) of numeric columns; quartiles interpolate linearly.
+
+    Missing values are skipped; std has n - 1 below the line. Up to in_one_pass rows the exact quartiles come with the other
+    statistics in a single pass; beyond, where their state would outgrow a task, from quantiles().
     """
     names = columns or numeric_columns(df)
+    apart = df.count() > in_one_pass
     stats = []
     for k, n in enumerate(names):
         c = F.when(~missing(df, n), F.col(f"`{n}`").cast("double"))
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        q = F.array(*[F.lit(v) for v in quantiles(df, n, [0.25, 0.5, 0.75])]).cast("array<double>") if apart else F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         stats.append(F.struct(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), F.max(c).alias("max")).alias(f"s{k}"))
     return _unpivot(df.agg(*stats), names, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
 

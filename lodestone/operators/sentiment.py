@@ -20,6 +20,8 @@ BEFORE_BUT, AFTER_BUT = 0.5, 1.5
 FADE = (1.0, 0.95, 0.9)
 NEGATIONS = {"aint", "arent", "cannot", "cant", "couldnt", "didnt", "doesnt", "dont", "hardly", "isnt", "neither", "never", "no", "nobody", "none", "nor", "not", "nothing", "nowhere", "seldom", "shouldnt", "wasnt", "werent", "without", "wont", "wouldnt"}
 BOOSTERS = {"absolutely": 1, "amazingly": 1, "completely": 1, "deeply": 1, "especially": 1, "extremely": 1, "highly": 1, "incredibly": 1, "more": 1, "most": 1, "particularly": 1, "really": 1, "so": 1, "totally": 1, "very": 1, "almost": -1, "barely": -1, "kinda": -1, "less": -1, "little": -1, "marginally": -1, "occasionally": -1, "partly": -1, "scarcely": -1, "slightly": -1, "somewhat": -1}
+# Entries of a lexicon that is sent to every worker.
+LARGEST = 1_000_000
 LABELS = ("positive", "neutral", "negative")
 
 
@@ -35,9 +37,11 @@ def classify(score: Column) -> Column:
 def lexicon_sums(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, total, compound, label): valences of lower-case words added up, without context rules.
 
-    Blank texts are skipped. lexicon: (token, valence). The join keeps words in place where the lexicon is small enough
-    for Spark to broadcast, and sums are pre-aggregated before the shuffle. Ids have to be unique.
+    Blank texts are skipped. lexicon: (token, valence). A lexicon of up to LARGEST entries is broadcast, so that words
+    stay in place and sums are pre-aggregated before the shuffle; a larger one is joined by word. Ids have to be unique.
     """
+    if lexicon.count() <= LARGEST:
+        lexicon = F.broadcast(lexicon)
     rows = docs.where(~is_blank(F.col(text_col))).select(F.col(id_col).alias("doc_id"), text_col)
     words = rows.select("doc_id", F.explode(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z']+"), 0)).alias("token"))
     sums = words.join(lexicon, "token").groupBy("doc_id").agg(F.sum("valence").alias("total"))
@@ -94,11 +98,11 @@ def polarity(text: str, lexicon: dict[str, float]) -> tuple[float, float, float,
 def analyse(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, scores, label) with the context rules; blank texts are skipped.
 
-    The lexicon goes to every worker whole, so it is limited to a million entries.
+    The lexicon goes to every worker whole, so it may have no more than LARGEST entries.
     """
-    entries = lexicon.select("token", "valence").limit(1_000_001).collect()
-    if len(entries) > 1_000_000:
-        raise ValueError("the lexicon has over a million entries")
+    entries = lexicon.select("token", "valence").limit(LARGEST + 1).collect()
+    if len(entries) > LARGEST:
+        raise ValueError(f"the lexicon has over {LARGEST} entries")
     shared = docs.sparkSession.sparkContext.broadcast({t: float(v) for t, v in entries})
 
     @F.pandas_udf("neg double, neu double, pos double, compound double")

@@ -39,6 +39,17 @@ def test_describe_interpolates(spark):
     assert s[0].x == pytest.approx((1 - 3.75) / 2.680951323690902)
 
 
+def test_distributed_quantiles(spark):
+    rng = random.Random(4)
+    xs = [float(rng.randrange(40)) for _ in range(501)]
+    df = spark.createDataFrame([(v,) for v in xs] + [(None,)], "x double").repartition(5)
+    qs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+    assert profile.quantiles(df, "x", qs) == pytest.approx(np.quantile(xs, qs).tolist())
+    assert profile.describe(df, in_one_pass=0).collect() == profile.describe(df).collect()
+    assert profile.quantiles(df.limit(0), "x", [0.5]) == [None]
+    assert prepare.fill_statistics(df, ["x"], "median", in_one_pass=0) == {"x": float(np.median(xs))}
+
+
 def test_constant_columns_scale_to_zero(spark):
     df = spark.createDataFrame([(5.0, 1.0), (5.0, 2.0)], "a double, b double")
     for f in (prepare.standardise, prepare.min_max):
