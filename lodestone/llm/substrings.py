@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Scratch
 
@@ -90,7 +90,7 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int, s
     def occurrences(batches):
         for batch in batches:
             ids, hashes = [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, t in ((i.as_py(), t.as_py()) for i, t in zip(batch.column(0), batch.column(1))):  # one text at a time
                 own = {h for h, _, _ in runs(sentences(t), min_words)}
                 ids += [i] * len(own)
                 hashes += own
@@ -119,12 +119,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     scratch = Scratch(docs.sparkSession)
     later = repeated_runs(docs, id_col, text_col, min_words, scratch)
 
-    @F.pandas_udf("text string, n_sentences long, n_removed long")
-    def clean(texts: pd.Series, hashes: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([strip(t, h, min_words) for t, h in zip(texts, hashes)], columns=["text", "n_sentences", "n_removed"])
-
     names = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed")]
     rows = docs.select(*names, F.coalesce(F.col(id_col), F.lit(LAST_ID)).alias("_doc"))
-    rows = rows.join(later.withColumnRenamed("doc", "_doc").withColumnRenamed("hashes", "_hashes"), "_doc", "left")
-    rows = rows.withColumn("_clean", clean(F.col(text_col), F.col("_hashes")))
-    return rows.select(*[F.col("_clean.text").alias(c) if c == text_col else F.col(c) for c in names], "_clean.n_sentences", "_clean.n_removed")
+    rows = rows.join(later.withColumnRenamed("doc", "_doc").withColumnRenamed("hashes", "_hashes"), "_doc", "left").select(*names, "_hashes")
+    at, out_names = names.index(text_col), [*names, "n_sentences", "n_removed"]
+
+    def clean(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):  # long texts are held a few at a time
+                part = batch.slice(a, 500)
+                got = [strip(t, h, min_words) for t, h in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist())]
+                columns = part.columns[: len(names)]
+                columns[at] = pa.array([g[0] for g in got], pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())], out_names)
+
+    return rows.mapInArrow(clean, StructType([*[docs.schema[c] for c in names], *StructType.fromDDL("n_sentences long, n_removed long").fields]))
