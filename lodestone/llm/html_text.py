@@ -4,7 +4,8 @@ Markup is stripped into lines, one for each block of text. Over a sliding window
 where the sum jumps from nothing the text surges, where it falls to nothing again it dives, and what lies between a
 surge and its dive is one run (Chen 2010, "Extracting main text by line-block distribution"). Elements that never hold
 the article (menus, headers, footers, forms, adverts, comments, ...) leave as many blank lines as the window is long, so
-runs end at them and short paragraphs at the edge of an article are not cut off.
+runs end at them and short paragraphs at the edge of an article are not cut off. <article> and <main> weigh in the choice
+of runs, but do not make it.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,7 +32,12 @@ MARKS = {
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "header", "masthead", "footer", "copyright", "sidebar", "widget", "related", "recommended", "share", "sharing", "social",
     "comment", "comments", "reply", "replies", "respond", "disqus", "skip", "toolbar", "search", "complementary", "contentinfo",
 }
+# Those that also name subjects: in an article they decide only together with the lines of the block.
+GENERIC: set[str] = set()
+PLAIN_MARKS = MARKS - GENERIC
 WITHIN = {"article", "main"}
+DEEP = 64  # levels of elements that are told apart
+SHORT = 25  # characters of a line that is no sentence
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 OPEN_END = re.compile(r"<[/a-zA-Z!?][^<>]*\Z")
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -38,29 +45,41 @@ WORD = re.compile(r"[a-z0-9]+")
 SPACE = re.compile(r"\s+")
 
 
-def marked(attrs: str) -> bool:
-    """Whether class, id or role has one of MARKS as a word, or the element is hidden."""
+def marked(attrs: str, words: set[str] = MARKS) -> bool:
+    """Whether class, id or role has one of words as a word, or the element is hidden."""
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id", "role") and not MARKS.isdisjoint(WORD.findall(value)):
+        if name in ("class", "id", "role") and not words.isdisjoint(WORD.findall(value)):
             return True
     return False
 
 
-def lines_of(page: str) -> Iterator[tuple[str | None, bool, int]]:
-    """Blocks in page order as (raw text, lies in article or main, characters in links); None for a blank line."""
-    stack: list[tuple[str, bool]] = []  # open elements that are not inline, and whether each is beside the article
-    beside = within = link = linked = 0
+class Line(NamedTuple):
+    raw: str | None  # None: a blank line that ends a run
+    chain: tuple[int, ...] = ()  # the open elements, outermost first
+    region: int = 0  # the innermost article or main, 0 outside
+    linked: int = 0  # characters in links
+    doubt: int = 0  # the block in an article that a generic word marks, 0 if none
+
+
+def lines_of(page: str) -> Iterator[Line]:
+    """Blocks in page order; WINDOW blank lines stand for an element beside the article, and at the borders of article and main."""
+    stack: list[tuple[str, bool, int]] = []  # open elements that are not inline, whether each is beside the article, its number
+    regions: list[int] = []
+    doubts: list[int] = []
+    beside = link = linked = made = 0
     parts: list[str] = []
     at, n, low = 0, len(page), None
+    blank = [Line(None)] * WINDOW
 
     def flush():
         nonlocal linked
         text = "".join(parts)
         parts.clear()
-        out = (text, within > 0, linked)
+        chain = tuple(x[2] for x in stack[:DEEP]) if text.strip() else ()
+        out = Line(text, chain, regions[-1] if regions else 0, linked, doubts[0] if doubts else 0)
         linked = 0
         return out
 
@@ -92,6 +111,9 @@ def lines_of(page: str) -> Iterator[tuple[str | None, bool, int]]:
             continue
         if name in INLINE and not (not m[1] and marked(m[3])):
             continue
+        generic = not m[1] and bool(regions) and not beside and name not in ASIDE | WITHIN and marked(m[3]) and not marked(m[3], PLAIN_MARKS)
+        if generic and name in INLINE and "".join(parts).strip():  # amid a sentence
+            continue
         if m[1]:  # an end tag closes the nearest element of its name and all left open within
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if k is None:
@@ -99,65 +121,140 @@ def lines_of(page: str) -> Iterator[tuple[str | None, bool, int]]:
                     yield flush()
                 continue
             yield flush()
-            for tag, off in stack[k:]:
+            ends = False
+            for tag, off, number in stack[k:]:
                 beside -= off
-                within -= tag in WITHIN
-            if any(off for _, off in stack[k:]) and not beside:
-                yield from [(None, False, 0)] * WINDOW
+                ends |= off
+                if regions and regions[-1] == number:
+                    regions.pop()
+                    ends = True
+                if doubts and doubts[-1] == number:
+                    doubts.pop()
+            if ends and not beside:
+                yield from blank
             del stack[k:]
             continue
         yield flush()
         if name in VOID or m[3].endswith("/"):
             continue
         if name == "p":  # a paragraph ends an open one
-            while stack and stack[-1] == ("p", False):
-                stack.pop()
-        off = name in ASIDE or (name not in ("body", "html", "article", "main") and marked(m[3]))
-        if off and not beside:
-            yield from [(None, False, 0)] * WINDOW
-        stack.append((name, off))
+            while stack and stack[-1][:2] == ("p", False):
+                number = stack.pop()[2]
+                if doubts and doubts[-1] == number:
+                    doubts.pop()
+        off = name in ASIDE or (name not in ("body", "html", "article", "main") and not generic and marked(m[3]))
+        made += 1
+        if (off or name in WITHIN) and not beside:
+            yield from blank
+        stack.append((name, off, made))
         beside += off
-        within += name in WITHIN
+        if name in WITHIN:
+            regions.append(made)
+        if generic:
+            doubts.append(made)
     yield flush()
 
 
+def common(chains: list[tuple[int, ...]]) -> tuple[int, ...]:
+    """The elements that hold all of a run's lines; of a single line, those around its own block."""
+    if len(chains) == 1:
+        return chains[0][:-1]
+    low, high = min(chains), max(chains)
+    return low[: next((k for k, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))]
+
+
 def main_text(page: str | None, least: int = 120, most_links: float = 0.5) -> str:
     """The article's blocks, character references decoded and white space turned into single spaces, joined by a blank line.
 
-    If anything lies in <article> or <main>, only that counts. Otherwise runs of lines between surge and dive are kept
-    that have at least `least` characters outside of links, or else the longest run. Lines that are mostly links neither
-    begin nor end a run.
+    Runs of lines between surge and dive are kept that weigh at least `least`, or else the heaviest. A run weighs its
+    characters outside of links; if one article or main holds half of all runs' characters or more, four times that within
+    it and half of it elsewhere; another article or main (a teaser, say) halves a run's weight. Runs that only removed
+    elements split from a kept one, and that lie in the element that holds it, are kept with it, and so are all runs of
+    that article or main. Lines that are mostly links neither begin nor end a run, but for fewer than WINDOW in a row in
+    that article or main. A block in an article or main that a generic word marks is removed if its lines are short or
+    mostly links.
     """
     if not page:
         return ""
-    lines = []
-    for raw, inside, linked in lines_of(page):
-        if raw is None:
-            lines.append(("", False, 0))
-        elif text := SPACE.sub(" ", html.unescape(raw)).strip():
-            lines.append((text, inside, min(linked, len(text))))
-    if any(inside for _, inside, _ in lines):
-        lines = [(t, True, 0) if inside else ("", False, 0) for t, inside, _ in lines]
-        least = 1
+    lines: list[Line] = []
+    for x in lines_of(page):
+        if x.raw is None:
+            lines.append(x)
+        elif text := SPACE.sub(" ", html.unescape(x.raw)).strip():
+            lines.append(x._replace(raw=text, linked=min(x.linked, len(text))))
+    blocks: dict[int, list[Line]] = {}
+    for x in lines:
+        if x.doubt and x.raw:
+            blocks.setdefault(x.doubt, []).append(x)
+    out = set()
+    for k, own in blocks.items():
+        chars, links = sum(len(x.raw) for x in own), sum(x.linked for x in own)
+        if links > most_links * chars or chars - links < min(SHORT * len(own), least // 2):
+            out.add(k)
+    if out:
+        lines = [y for x in lines for y in ([Line(None)] * WINDOW if x.doubt in out else [x])]
     # text outside of links; lines that are mostly links add nothing to the window
-    sizes = [len(t) - c if c <= most_links * len(t) else 0 for t, _, c in lines]
+    sizes = [len(x.raw) - x.linked if x.raw and x.linked <= most_links * len(x.raw) else 0 for x in lines]
+    total, held = sum(sizes), {}
+    for x, own in zip(lines, sizes):
+        held[x.region] = held.get(x.region, 0) + own
+    story = max((r for r in held if r), key=lambda r: held[r], default=0)
+    story = story if story and 2 * held[story] >= total else 0
+    weights = list(sizes)
+    if story:
+        k = 0
+        while k < len(lines):  # links in a row
+            j = k
+            while j < len(lines) and lines[j].raw and lines[j].region == story and not sizes[j]:
+                j += 1
+            if 0 < j - k < WINDOW:
+                sizes[k:j] = [1] * (j - k)
+            k = max(j, k + 1)
     total = sum(sizes[:WINDOW])
     runs, run = [], []
-    for k, (text, _, _) in enumerate(lines):
+    for k, x in enumerate(lines):
         # total: characters in lines k .. k + WINDOW - 1; 0 is a dive, the next text a surge
-        if total and text and (run or sizes[k]):
-            run.append((text, sizes[k]))
+        if total and x.raw and (run or sizes[k]):
+            run.append(k)
         elif not total and run:
             runs.append(run)
             run = []
         total += (sizes[k + WINDOW] if k + WINDOW < len(sizes) else 0) - sizes[k]
     runs += [run] if run else []
     for r in runs:
-        while r and not r[-1][1]:
+        while r and not sizes[r[-1]]:
             r.pop()
-    weigh = [sum(own for _, own in r) for r in runs]
-    good = [r for r, own in zip(runs, weigh) if own >= least] or ([runs[weigh.index(max(weigh))]] if runs else [])
-    return "\n\n".join(t for r in good for t, _ in r)
+    if not runs:
+        return ""
+    region = [lines[r[0]].region for r in runs]
+    factor = [(4 if g == story else 0.5) if story else (0.5 if g else 1) for g in region]
+    weigh = [f * sum(weights[k] for k in r) for r, f in zip(runs, factor)]
+    good = {k for k, own in enumerate(weigh) if own >= least} or {weigh.index(max(weigh))}
+    holder = [common([lines[k].chain for k in r]) for r in runs]
+    if story and any(region[k] == story for k in good):
+        good |= {k for k, g in enumerate(region) if g == story}
+
+    # spread from kept runs over removed elements alone
+    for way in (range(len(runs)), range(len(runs) - 1, -1, -1)):
+        last = None  # the nearest kept run
+        for k in way:
+            if k in good:
+                last = k
+                continue
+            if last is None:
+                continue
+            if region[k] and region[k] != region[last]:  # a teaser counts as removed
+                continue
+            a, b = min(k, last), max(k, last)
+            between = {i for r in range(a + 1, b) for i in runs[r]}
+            split = all(lines[i].raw is None or i in between for i in range(runs[a][-1] + 1, runs[b][0]))
+            inside = holder[last]
+            if split and region[k] == region[last] and all(lines[i].chain[: len(inside)] == inside for i in runs[k]):
+                good.add(k)
+                holder[k], last = inside, k
+            else:
+                last = None
+    return "\n\n".join(lines[i].raw for k in sorted(good) for i in runs[k])
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:

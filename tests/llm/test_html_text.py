@@ -47,3 +47,19 @@ def test_edges(spark):
     got = extract(df).collect()
     assert len(got) == 5 and [r.text for r in got[:4]] == ["", "", "", "é"] and len(got[4].text) == 999999
     assert extract(spark.createDataFrame([], df.schema)).count() == 0
+
+
+def test_article_teasers_beside_a_story():
+    story = "".join(f"<p>Paragraph {k}. {LONG}</p>" for k in range(12))
+    teasers = "<article><h3>Other story</h3></article><article><h3>Third story</h3></article>"
+    want = [f"Paragraph {k}. {LONG.strip()}" for k in range(12)]
+    for page in (f"<body><div>{story}</div>{teasers}</body>", f"<body>{teasers}<div>{story}</div></body>", f"<div>{story[: len(story) // 2]}{story[len(story) // 2 :]}</div><main>{teasers}</main>"):
+        assert main_text(page).split("\n\n") == want
+    split = f"<div><p>{LONG}</p><article><h3>Other story</h3></article><p>Last words.</p></div>"
+    assert main_text(split).split("\n\n") == [LONG.strip(), "Last words."]
+
+
+def test_surge_and_dive_choose_lines_of_an_article():
+    menu = "".join(f'<p><a href="/{k}">Item number {k}</a></p>' for k in range(5))
+    page = f"<article><h1>Head</h1><p><a href=x>The source</a></p><p>{LONG}</p>{menu}<p>Short end.</p>{menu}</article>"
+    assert main_text(page).split("\n\n") == ["Head", "The source", LONG.strip(), "Short end."]
