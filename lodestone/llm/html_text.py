@@ -33,7 +33,7 @@ MARKS = {
     "comment", "comments", "reply", "replies", "respond", "disqus", "skip", "toolbar", "search", "complementary", "contentinfo",
 }
 # Those that also name subjects: in an article they decide only together with the lines of the block.
-GENERIC: set[str] = set()
+GENERIC = {"notice", "banner", "promotion", "header", "masthead", "copyright", "menu", "nav", "navigation", "pager", "sidebar", "widget", "related", "recommended", "share", "sharing", "social", "reply", "replies", "respond", "skip", "toolbar", "search", "complementary", "popup", "modal", "consent", "footer"}
 PLAIN_MARKS = MARKS - GENERIC
 WITHIN = {"article", "main"}
 DEEP = 64  # levels of elements that are told apart

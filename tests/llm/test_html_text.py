@@ -63,3 +63,16 @@ def test_surge_and_dive_choose_lines_of_an_article():
     menu = "".join(f'<p><a href="/{k}">Item number {k}</a></p>' for k in range(5))
     page = f"<article><h1>Head</h1><p><a href=x>The source</a></p><p>{LONG}</p>{menu}<p>Short end.</p>{menu}</article>"
     assert main_text(page).split("\n\n") == ["Head", "The source", LONG.strip(), "Short end."]
+
+
+def test_paragraphs_that_a_removed_element_splits_off():
+    last = "A last paragraph of the story that comes after an advert and has some 85 characters."
+    page = f"<body><div><p>First.</p><div class=ad>Buy</div><p>{LONG}</p><div class=ad>Buy</div><p>{last}</p><div class=ad>Buy</div><p>End.</p></div><div class=sidebar>x</div><div>All rights</div></body>"
+    assert main_text(page).split("\n\n") == ["First.", LONG.strip(), last, "End."]
+
+
+def test_marked_blocks_of_an_article():
+    table = "<table class='widget'><tr><td>Widgets made in the first year of the works</td><td>A thousand and one of them</td></tr></table>"
+    share = "<div class=share><a href=a>Share this page with all of your friends and family</a></div><ul class=social><li>Tweet<li>Mail</ul>"
+    page = f"<article><p>{LONG}</p><p class='social'>Social history of the town in those years.</p>{table}{share}<p>See <span class=search>the search</span> for it.</p><div class=ads>{LONG}</div></article>"
+    assert main_text(page).split("\n\n") == [LONG.strip(), "Social history of the town in those years.", "Widgets made in the first year of the works", "A thousand and one of them", "See the search for it."]
