@@ -31,7 +31,7 @@ def op4_minhash_near_dedup(spark, sf_dir):
 
 
 def op5_substring_dedup(spark, sf_dir):
-    return substrings.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return substrings.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"), within_sentences=True)
 
 
 def op6_licence_scan(spark, sf_dir):

@@ -1,14 +1,22 @@
-"""Substring dedup by sliding sentence spans.
+"""Substring dedup by sliding spans of sentences and of words.
 
 From every sentence the shortest run of consecutive sentences that has min_words words is hashed, and likewise the
 shortest run that ends at each sentence. Equal hashes are joined over the corpus; sentences that any occurrence but the
 first covers are removed. A repeated passage of at least min_words words, in whole sentences, is thus found whole.
+
+Passages of more than PASSAGE words are found wherever they begin and end. Of every span of PASSAGE + 1 words the least of
+the hashes of its GRAM-word parts is its anchor (winnowing, Schleimer et al. 2003); equal spans have equal anchors, and few
+parts are anchors. Anchors are joined over the corpus, then the spans of those that repeat; words that any occurrence of a
+span but the first covers are removed.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -19,6 +27,39 @@ from .common import Scratch
 
 BREAK = re.compile(r"((?<=[.!?…])\s+|(?<=[。！？])|\n\s*)")
 LAST_ID = (1 << 63) - 1
+WORD = re.compile(r"\S+")
+PASSAGE, GRAM = 50, 20
+FACTOR = 0x9E3779B97F4A7C15  # any odd number whose powers mix well
+
+
+@lru_cache(maxsize=1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 .. n of FACTOR and of its inverse, mod 2^64."""
+    rise, fall = np.full(n + 1, FACTOR, np.uint64), np.full(n + 1, pow(FACTOR, -1, 1 << 64), np.uint64)
+    rise[0] = fall[0] = 1
+    return np.cumprod(rise), np.cumprod(fall)
+
+
+def spans(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, hash) of the span of PASSAGE + 1 words from each word on, as far as one fits."""
+    n = len(words)
+    if n <= PASSAGE:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    rise, fall = powers(1 << max(12, n.bit_length()))
+    up = np.zeros(n + 1, np.uint64)
+    np.cumsum(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n) * rise[:n], out=up[1:])
+
+    def window(size):
+        h = (up[size:] - up[:-size]) * fall[: n + 1 - size]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(32))
+
+    least, have, want = window(GRAM), 1, PASSAGE + 2 - GRAM
+    while have < want:  # minima of ever longer stretches
+        step = min(have, want - have)
+        least, have = np.minimum(least[:-step], least[step:]), have + step
+    return least.view(np.int64), window(PASSAGE + 1).view(np.int64)
 
 
 def sentences(text: str) -> list[tuple[str, str]]:
@@ -63,8 +104,16 @@ def runs(sents: list[tuple[str, str]], min_words: int) -> list[tuple[int, int, i
     return out
 
 
-def strip(text: str | None, hashes, min_words: int) -> tuple[str | None, int, int]:
-    """Text without the sentences of the given runs and of runs that repeat within it; sentence count, removed count."""
+def without(sent: str, keep: np.ndarray) -> str:
+    """A sentence's words that keep marks, each with the white space after it; none at its end if its last word goes."""
+    at = [m.start() for m in WORD.finditer(sent)]
+    out = sent[: at[0]] + "".join(sent[i:j] for i, j, k in zip(at, [*at[1:], len(sent)], keep) if k)
+    return out if keep[-1] else out.rstrip()
+
+
+def strip(text: str | None, hashes, min_words: int, within_sentences: bool = False, passages=None) -> tuple[str | None, int, int]:
+    """Text without the sentences of the given runs, the words of the given passages and what repeats within it; sentence
+    count, count of sentences removed in whole or part."""
     if text is None:
         return None, 0, 0
     sents = sentences(text)
@@ -74,61 +123,125 @@ def strip(text: str | None, hashes, min_words: int) -> tuple[str | None, int, in
             covered[i] += 1
             covered[j + 1] -= 1
         seen.add(h)
-    kept, depth, removed = [], 0, 0
-    for (a, b), step in zip(sents, covered):
+    words = [s.lower().split() if within_sentences else [] for s, _ in sents]
+    flat = [w for ws in words for w in ws]
+    _, own = spans(flat)
+    again = np.zeros(len(own), bool)
+    if len(own):
+        again[:] = True
+        again[np.unique(own, return_index=True)[1]] = False
+        if passages is not None:
+            again |= np.isin(own, np.asarray(passages, np.int64))
+    keep = None
+    if again.any():
+        step = np.zeros(len(flat) + 1, np.int64)
+        step[: len(own)] += again
+        step[PASSAGE + 1 : PASSAGE + 1 + len(own)] -= again
+        keep = np.cumsum(step)[:-1] == 0
+    kept, depth, removed, at = [], 0, 0, 0
+    for (a, b), step, ws in zip(sents, covered, words):
         depth += step
-        if depth:
+        left = keep[at : at + len(ws)] if keep is not None and ws else None
+        at += len(ws)
+        if depth or left is not None and not left.any():
             removed += 1
-        else:
+        elif left is None or left.all():
             kept.append(a + b)
+        else:
+            removed += 1
+            kept.append(without(a, left) + b)
     return ("".join(kept).rstrip() if removed else text), len(sents), removed
 
 
-def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int, scratch: Scratch) -> DataFrame:
-    """(doc, hashes): for each document the runs whose first occurrence is in another one."""
+def pairs(rows: Iterator[tuple[int, Iterable[tuple[str, np.ndarray | list[int]]]]]) -> Iterator[pa.RecordBatch]:
+    """Batches (doc, kind, h) from (doc, [(kind, hashes)])."""
+    docs, kinds, hashes, n = [], [], [], 0
+
+    def batch():
+        cat = lambda xs, t: np.concatenate(xs) if xs else np.empty(0, t)
+        return pa.RecordBatch.from_pydict({"doc": pa.array(cat(docs, np.int64)), "kind": pa.array(cat(kinds, bool)), "h": pa.array(cat(hashes, np.int64))})
+
+    for doc, found in rows:
+        for kind, hs in found:
+            if len(hs):
+                docs.append(np.full(len(hs), doc, np.int64))
+                kinds.append(np.full(len(hs), kind, bool))
+                hashes.append(np.asarray(hs, np.int64))
+                n += len(hs)
+        if n > 200_000:
+            yield batch()
+            docs, kinds, hashes, n = [], [], [], 0
+    yield batch()
+
+
+def shared(found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(doc, kind, h, first) of the hashes that several documents have, with the least of those."""
+    # minima and counts are made before the shuffle, so a hash that every document has costs one row a task
+    first = found.groupBy("kind", "h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    first = scratch.table(first.select("kind", "h", "first"), name)
+    return found.join(first, ["kind", "h"]).select("doc", "kind", "h", "first")
+
+
+def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int, scratch: Scratch, within_sentences: bool) -> DataFrame:
+    """(doc, hashes, passages): for each document the runs and the spans of words whose first occurrence is in another one."""
 
     def occurrences(batches):
-        for batch in batches:
-            ids, hashes = [], []
-            for i, t in ((i.as_py(), t.as_py()) for i, t in zip(batch.column(0), batch.column(1))):  # one text at a time
-                own = {h for h, _, _ in runs(sentences(t), min_words)}
-                ids += [i] * len(own)
-                hashes += own
-                if len(ids) > 200_000:
-                    yield pa.RecordBatch.from_pydict({"doc": pa.array(ids, pa.int64()), "h": pa.array(hashes, pa.int64())})
-                    ids, hashes = [], []
-            yield pa.RecordBatch.from_pydict({"doc": pa.array(ids, pa.int64()), "h": pa.array(hashes, pa.int64())})
+        def rows():
+            for batch in batches:
+                for i, t in ((i.as_py(), t.as_py()) for i, t in zip(batch.column(0), batch.column(1))):  # one text at a time
+                    sents = sentences(t)
+                    anchors, _ = spans([w for s, _ in sents for w in s.lower().split()] if within_sentences else [])
+                    yield i, ((False, list({h for h, _, _ in runs(sents, min_words)})), (True, np.unique(anchors)))
 
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col), F.lit(LAST_ID)).alias("doc"), text_col)
-    found = texts.mapInArrow(occurrences, "doc long, h long")
-    # minima and counts are made before the shuffle, so a run that every document has costs one row a task
-    first = found.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    first = scratch.table(first.select("h", "first"), "repeated")
-    later = found.join(first, "h").where("doc > first")
-    return later.groupBy("doc").agg(F.collect_set("h").alias("hashes"))  # at most two for each sentence of a document
+        return pairs(rows())
+
+    def passages(batches):
+        def rows():
+            for batch in batches:
+                for i, t, known in ((i.as_py(), t.as_py(), k) for i, t, k in zip(batch.column(0), batch.column(1), batch.column(2))):
+                    anchors, own = spans([w for s, _ in sentences(t) for w in s.lower().split()])
+                    yield i, ((True, np.unique(own[np.isin(anchors, known.values.to_numpy())])),)
 
+        return pairs(rows())
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25) -> DataFrame:
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col), F.lit(LAST_ID)).alias("doc"), text_col)
+    found = texts.mapInArrow(occurrences, "doc long, kind boolean, h long")
+    found = scratch.table(found, "found") if within_sentences else found
+    both = shared(found, scratch, "repeated")
+    if not within_sentences:
+        return both.where("doc > first").groupBy("doc").agg(F.collect_set("h").alias("hashes"), F.lit(None).cast("array<bigint>").alias("passages"))
+    both = scratch.table(both, "shared")
+    anchors = both.where("kind").groupBy("doc").agg(F.collect_set("h").alias("known"))
+    spanned = scratch.table(texts.join(anchors, "doc").select("doc", text_col, "known").mapInArrow(passages, "doc long, kind boolean, h long"), "spans")
+    later = both.where("not kind").unionByName(shared(spanned, scratch, "repeated_spans")).where("doc > first")
+    # at most two runs for each sentence of a document and a span for each word
+    return later.groupBy("doc").agg(*(F.collect_set(F.when(F.col("kind") == k, F.col("h"))).alias(n) for n, k in (("hashes", False), ("passages", True))))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, within_sentences: bool = False) -> DataFrame:
     """All columns of docs with repeated passages taken out of text, and n_sentences, n_removed.
 
+    Passages are runs of whole sentences of min_words words or more and, if within_sentences, any stretches of more than
+    PASSAGE words; n_removed counts the sentences that lost all or part of their words.
+
     The first occurrence is that in the document of least id, there the earliest. Null texts stay null, with counts
     0. A null id comes after all others. Rows that share an id count as one document when first occurrences are
     sought, each with its own text. A text that repeats one sentence on and on keeps the first of them: later runs
     overlap the first. Clashing columns n_sentences, n_removed are replaced.
     """
     scratch = Scratch(docs.sparkSession)
-    later = repeated_runs(docs, id_col, text_col, min_words, scratch)
+    later = repeated_runs(docs, id_col, text_col, min_words, scratch, within_sentences)
 
     names = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed")]
     rows = docs.select(*names, F.coalesce(F.col(id_col), F.lit(LAST_ID)).alias("_doc"))
-    rows = rows.join(later.withColumnRenamed("doc", "_doc").withColumnRenamed("hashes", "_hashes"), "_doc", "left").select(*names, "_hashes")
+    rows = rows.join(later.select(F.col("doc").alias("_doc"), F.col("hashes").alias("_hashes"), F.col("passages").alias("_passages")), "_doc", "left").select(*names, "_hashes", "_passages")
     at, out_names = names.index(text_col), [*names, "n_sentences", "n_removed"]
 
     def clean(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 500):  # long texts are held a few at a time
                 part = batch.slice(a, 500)
-                got = [strip(t, h, min_words) for t, h in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist())]
+                got = [strip(t, h, min_words, within_sentences, p) for t, h, p in zip(*(part.column(c).to_pylist() for c in (at, len(names), len(names) + 1)))]
                 columns = part.columns[: len(names)]
                 columns[at] = pa.array([g[0] for g in got], pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())], out_names)

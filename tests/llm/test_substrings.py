@@ -66,3 +66,27 @@ def test_edges(spark):
     assert by[5].text == "a b " * 20 and by[None].text == ""
     assert set(got[0].asDict()) == {"doc_id", "text", "n_sentences", "n_removed", "h", "doc", "first", "hashes"}
     assert substrings.dedup(frame(spark, [])).count() == 0
+
+
+def test_passages_that_begin_and_end_within_sentences(spark):
+    random.seed(4)
+    word = lambda: "".join(random.choice("abcdefghijklm") for _ in range(7))
+    text = lambda n, size: " ".join(word() + ("." if k % size == size - 1 else "") for k in range(n))
+    rows, want = [], {}
+    for k in range(60):
+        n, size = random.choice([51, 53, 60, 80]), random.choice([6, 20, 45, 1000])
+        passage = text(n, size).rstrip(".")
+        for i in (2 * k, 2 * k + 1):
+            own = text(300, size).split(" ")
+            cut = random.randrange(1, 299)
+            rows.append((i, " ".join([*own[:cut], passage, *own[cut:]])))
+            want[i] = " ".join([*own[:cut], *own[cut:]]).split() if i % 2 else rows[-1][1].split()
+    part = text(50, 1000)  # not over 50 words
+    rows += [(900, f"{word()} {part} {word()}"), (901, f"{word()} {part} {word()}")]
+    # a shorter stretch that comes first hides no longer one of later documents
+    long = text(60, 1000)
+    rows += [(902, " ".join(long.split()[10:40])), (903, f"{word()} {long} {word()}"), (904, f"Head {long}\ttail. Next {word()} \n"), (905, f"Twice {long} or {long} end")]
+    got = {r.doc_id: r for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), within_sentences=True).collect()}
+    assert {i: got[i].text.split() for i in want} == want
+    assert all(got[i].text == t and got[i].n_removed == 0 for i, t in rows if 900 <= i <= 903)
+    assert got[904].text.startswith("Head tail. Next ") and got[904].n_removed == 1 and got[905].text == "Twice or end"
