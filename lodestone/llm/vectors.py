@@ -11,11 +11,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
 
+MOST_PARTITIONS = 100_000  # of tiles; beyond that a partition holds several
+
 
 def unit(rows: np.ndarray) -> np.ndarray:
     """Rows at length 1 in double precision; scaled by their largest part first, so that no square overflows."""
@@ -32,22 +35,28 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return q, scale, np.linalg.norm(coded, axis=1), np.linalg.norm(x - coded, axis=1)
 
 
-def linked(x: np.ndarray, y: np.ndarray, threshold: float, block: int = 1024) -> np.ndarray:
+def linked(x: np.ndarray, y: np.ndarray, threshold: float, block: int = 256) -> np.ndarray:
     """Boolean matrix of cosine >= threshold for unit rows x and y."""
     qx, sx, cx, ex = quantise(x)
     qy, sy, cy, ey = quantise(y)
     # float32 holds integers exactly up to 2**24, so its fast products of Int8 codes are exact for that many parts
     kind = np.float32 if x.shape[1] * 127 * 127 < 1 << 24 else np.float64
-    right, out = qy.T.astype(kind), np.zeros((len(x), len(y)), bool)
+    left, right, sx, sy = qx.astype(kind), qy.T.astype(kind), sx.astype(kind)[:, None], sy.astype(kind)
+    out = np.zeros((len(x), len(y)), bool)
+    widest = ex.max() * cy.max() + (cx + ex).max() * ey.max() + 1e-5
     for a in range(0, len(x), block):
-        b = slice(a, a + block)
-        near = (qx[b].astype(kind) @ right) * sx[b, None] * sy
-        slack = ex[b, None] * cy + (cx[b] + ex[b])[:, None] * ey + 1e-6
-        out[b] = near - slack >= threshold
-        r, c = np.nonzero((near + slack >= threshold) & ~out[b])
+        near = left[a : a + block] @ right
+        near *= sx[a : a + block]
+        near *= sy
+        r, c = np.nonzero(near >= threshold - widest)
         for k in range(0, len(r), 1 << 16):
-            i, j = r[k : k + (1 << 16)], c[k : k + (1 << 16)]
-            out[a + i, j] = np.einsum("ij,ij->i", x[a + i], y[j]) >= threshold
+            i, j = a + r[k : k + (1 << 16)], c[k : k + (1 << 16)]
+            # the last term covers the rounding of the scales and of the products with them
+            slack, about = ex[i] * cy[j] + (cx[i] + ex[i]) * ey[j] + 1e-5, near[i - a, j]
+            out[i, j] = sure = about - slack >= threshold
+            doubt = ~sure & (about + slack >= threshold)
+            i, j = i[doubt], j[doubt]
+            out[i, j] = np.einsum("ij,ij->i", x[i], y[j]) >= threshold
     return out
 
 
@@ -90,7 +99,7 @@ def usable(v: Column) -> Column:
     return F.coalesce(fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, stripe: int = 2048) -> DataFrame:
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, stripe: int = 4096) -> DataFrame:
     """One row a vector: id, n_links, component_id, kept.
 
     Links join vectors of one length with cosine >= threshold. Equal vectors are one node with a weight, found by
@@ -102,18 +111,24 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     rows = df.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     good = rows.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     reps = scratch.table(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "reps")
-    lengths = reps.groupBy(F.size("v").alias("dim")).agg(F.ceil(F.count(F.lit(1)) / stripe).alias("stripes"))
+    # a row for each length of vectors
+    lengths = scratch.table(reps.groupBy(F.size("v").alias("dim")).agg(F.ceil(F.count(F.lit(1)) / stripe).alias("stripes")), "lengths")
+    tiles = lengths.agg(F.sum(F.expr("stripes * (stripes + 1) / 2"))).first()[0] or 1
     dealt = reps.withColumn("dim", F.size("v")).join(lengths, "dim")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep", "v"), F.col("stripes")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("stripes") - 1)))
     # as stored, parts are mostly floats; they travel as such where nothing is lost
     small = dict(df.dtypes)[vector_col] == "array<float>"
     dealt = dealt.select("dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies", F.col("v").cast("array<float>" if small else "array<double>").alias("v"))
+    # dealt out by tile, in so many partitions: after the join rows lie by dim, and a few bytes are much work here
+    dealt = dealt.repartition(int(min(tiles, MOST_PARTITIONS)), "dim", "i", "j")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return tile(pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), unit(np.stack(pdf["v"].to_list())), (pdf["own"] == pdf["i"]).to_numpy(), bool(pdf["i"].iloc[0] == pdf["j"].iloc[0]), threshold)
+    def run(rows: pa.Table) -> pa.Table:
+        rep, copies, own, i, j = (rows.column(c).to_numpy() for c in ("rep", "copies", "own", "i", "j"))
+        x = rows.column("v").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+        return pa.Table.from_pandas(tile(rep, copies, unit(x), own == i, bool(i[0] == j[0]), threshold), preserve_index=False)
 
-    found = scratch.table(dealt.groupBy("dim", "i", "j").applyInPandas(run, "rep long, n long, low long"), "found")
+    found = scratch.table(dealt.groupBy("dim", "i", "j").applyInArrow(run, "rep long, n long, low long"), "found")
     parts = components(scratch, found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
     parts = parts.select(F.col("id").alias("rep"), "component")
