@@ -1,8 +1,10 @@
 import hashlib
 import re
 
+import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 
 from lodestone.llm import fingerprint, mixing
 
@@ -39,6 +41,29 @@ def targets(sizes):
     return out
 
 
+def tilts(sizes, target):
+    """The rates in 0 .. 2 of least relative entropy to 1 whose words sum to target."""
+    x, low, high = sizes / sizes.mean(), -2000.0, 2000.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        with np.errstate(over="ignore"):
+            rate = np.minimum(2, np.exp(mid * x))
+        low, high = (mid, high) if (rate * sizes).sum() < target else (low, mid)
+    return rate
+
+
+def test_tilts_have_least_entropy():
+    from itertools import product
+
+    sizes = np.array([1.0, 2.0, 4.0])
+    cost = lambda r: (r * np.log(r) - r).sum()
+    for target in (3.0, 9.5, 12.0):
+        best = tilts(sizes, target)
+        for a, b in product(np.linspace(0.01, 2, 60), repeat=2):
+            c = (target - a - 2 * b) / 4
+            assert not 0 < c <= 2 or cost(np.array([a, b, c])) >= cost(best) - 1e-6
+
+
 def check_mix(df):
     got = mixing.mix(df).toPandas()
     sizes = {}
@@ -52,6 +77,10 @@ def check_mix(df):
         assert part.target.iloc[0] == pytest.approx(t, abs=1e-6)
         taken = (part.copies * part["size"]).sum()
         assert abs(taken - t) <= part["size"].max() + 1
+        full = part[part["size"] > 0]
+        if len(full):  # rates solve the dual, found here by halving
+            assert full.rate.to_numpy() == pytest.approx(tilts(full["size"].to_numpy(float), t), abs=1e-3)
+            assert (full.copies - full.rate).abs().max() < 1
     assert ((got.copies >= 0) & (got.copies <= 2)).all()
     assert len(got) == len(src) or len(got) >= len(src)
     return got
@@ -72,8 +101,11 @@ def test_mix_edges(spark):
     check_mix(frame(spark, rows))
     assert mixing.mix(frame(spark, [])).count() == 0
     only = mixing.mix(frame(spark, [(1, None, None), (2, " ", None)])).collect()
-    assert [(r["size"], r.target, r.copies) for r in only] == [(0, 0.0, 0)] * 2
+    assert [(r["size"], r.target, r.copies) for r in only] == [(0, 0.0, 1)] * 2
     assert mixing.mix(frame(spark, [(1, "long " * 30000, "a"), (2, "b", "b")])).count() == 2
+    same = mixing.mix(frame(spark, [(1, "a b c", "s")] * 40 + [(2, "w " * 100, "t")])).toPandas()
+    s = same[same.source == "s"]
+    assert len(s) == 40 and abs((s.copies * s["size"]).sum() - s.target.iloc[0]) <= 3 and s.rate.nunique() == 1
 
 
 def brute_edit(rows):
@@ -86,6 +118,28 @@ def brute_edit(rows):
     return out
 
 
+def brute_sketch(t):
+    """(sketch, least hash if it is empty) of five-word shingles, the lowest quarter of signed 64-bit hashes."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    ws = [xxhash.xxh64_intdigest(w.encode(), 42) for w in SPACE.split(t) if w]
+    hashes = set()
+    for k in range(max(1, len(ws) - 4) if ws else 0):
+        h = 42
+        for w in ws[k : k + 5]:
+            h = xxhash.xxh64_intdigest(w.to_bytes(8, "little"), h)
+        hashes.add(signed(h))
+    low = {h for h in hashes if h < -(1 << 62)}
+    return low, None if low or not hashes else min(hashes)
+
+
+def brute_text(low, least):
+    return "".join(f"{h % (1 << 64):016X}" for h in sorted(low)) if least is None else f"~{least % (1 << 64):016X}"
+
+
+def brute_likeness(a, b):
+    return len(a[0] & b[0]) / len(a[0] | b[0]) if a[0] or b[0] else float(a[1] == b[1])
+
+
 def test_fingerprints_follow_the_order_of_ids(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     want = brute_edit(rows)
@@ -98,6 +152,13 @@ def test_fingerprints_follow_the_order_of_ids(spark, docs):
     got = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
     assert {i: (r.n_chars, r.edited_sha256) for i, r in got.items()} == want
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got.values())
+    order = sorted(rows, key=lambda r: -r[0])
+    for k in range(0, len(order), 7):
+        (i, t), nxt = order[k], order[(k + 1) % len(order)][1]
+        cut = len(t) // 3
+        own, changed, following = (brute_sketch(x) for x in (t, t[: len(t) - cut] + nxt[:cut], nxt))
+        assert got[i].fingerprint == brute_text(*own) and got[i].edited_fingerprint == brute_text(*changed)
+        assert got[i].near_edited == pytest.approx(brute_likeness(own, changed)) and got[i].near_next == pytest.approx(brute_likeness(own, following))
     long = [r for r in got.values() if r.n_chars > 1500]
     assert sum(r.near_edited for r in long) / len(long) > 0.35
     assert sum(r.near_next for r in long) / len(long) < 0.1
@@ -123,5 +184,7 @@ def test_fingerprint_edges(spark):
     assert same[0] == same[1] != ""
     assert [r.fingerprint for r in got if r.doc_id in (3, 9)] == ["", ""]
     assert fingerprint.fingerprints(frame(spark, [])).count() == 0
+    following = sorted((r.doc_id is None, -(r.doc_id or 0), r.next) for r in fingerprint.with_next(frame(spark, rows).where("text is not null"), "doc_id", "text", per_bucket=2).collect())
+    assert [(-i, t) for null, i, t in following if not null] == [(9, "é" * 7), (7, "same text here"), (5, "ab " * 50000), (5, "same text here"), (1, "x y")] and following[-1][2] == ""
     one = fingerprint.fingerprints(frame(spark, [(1, "a b c d e f g h i", "s")])).first()
     assert one.near_next == 1.0
