@@ -1,7 +1,10 @@
-"""HDBSCAN (Campello et al. 2013) within the components of the mutual reachability graph up to max_eps.
+"""HDBSCAN (Campello et al. 2013): one spanning tree over the whole table, one condensed tree.
 
-Clusters that form below max_eps lie within one component of that graph, so each component gets a hierarchy of its own:
-minimum spanning tree, single linkage, condensed tree, excess of mass. A component is one task; max_eps bounds its size.
+Core distances and the minimum spanning tree of the mutual reachability graph come from joins on a grid whose side grows:
+what lies within the side is settled first, and only points that still lack neighbours, or that have points of another
+component near by, go on to the next. Within a side the tree grows by Boruvka's rounds: every component takes its least
+edge, and what these join becomes one. The n - 1 edges of the tree, not the pairs, then go to one task that builds the
+single-linkage hierarchy, condenses it and chooses clusters by excess of mass.
 """
 
 from __future__ import annotations
@@ -11,28 +14,91 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import squared_distance
 from ..functions.scratch import Scratch
-from .graph import components
-from .neighbors import core_distances, eps_pairs, mutual_reachability
-
-
-def spanning_tree(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int) -> list[tuple[float, int, int]]:
-    """Kruskal's edges of a connected graph on 0 .. n - 1, ascending; ties by ends."""
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for k in np.lexsort((dst, src, weight)):
-        a, b = find(int(src[k])), find(int(dst[k]))
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((float(weight[k]), int(src[k]), int(dst[k])))
-    return out
+from .neighbors import GRID_FEATURES, core_distances, pairs_between
+
+
+def first_side(pts: DataFrame, names: list[str], k: int) -> float:
+    """A grid side at which a cell of an even table has some k rows; halved while the fullest cell has over 50 times that."""
+    grid = names[:GRID_FEATURES]
+    r = pts.agg(F.count(F.lit(1)).alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in grid]).first()
+    spread = [r[c] for c in grid if r[c]]
+    if not spread:
+        return 1.0
+    side = float(np.exp((np.log(spread).sum() + np.log(min(1.0, 4 * k / r["n"]))) / len(spread)))
+    fullest = None
+    for _ in range(30):
+        cells = pts.groupBy(*[F.floor(F.col(c) / side).alias(c) for c in grid]).count()
+        now = cells.agg(F.max("count")).first()[0]
+        if now <= 50 * k or now == fullest:  # equal rows stay together at any side
+            break
+        side, fullest = side / 2, now
+    return side
+
+
+def all_core_distances(pts: DataFrame, names: list[str], k: int, side: float, scratch: Scratch) -> DataFrame:
+    """(id, core): distance to the k-th nearest row, the row itself counted. There have to be k rows."""
+    todo, found = pts, None
+    while True:
+        got = core_distances(pairs_between(todo, pts, names, side), k).where("core_distance is not null")
+        got = scratch.table(got.select("id", F.col("core_distance").alias("core")), "cores")
+        found = got if found is None else found.union(got)
+        todo = scratch.table(todo.join(got, "id", "left_anti"), "sparse")
+        if todo.isEmpty():
+            return scratch.table(found, "cores")
+        side *= 2
+
+
+def spanning_tree(pts: DataFrame, names: list[str], side: float, scratch: Scratch) -> DataFrame:
+    """(src, dst, reach): the minimum spanning tree under mutual reachability, ties by src and dst. pts: id, core and features.
+
+    A row reaches no other below its core distance, so a side concerns rows of at most that core distance. Of those, rows
+    whose own and adjoining cells hold one component alone have no edge to find and are left out.
+    """
+    grid = names[:GRID_FEATURES]
+    nodes = scratch.table(pts.withColumn("comp", F.col("id")), "nodes")
+    n, found, tree = nodes.count(), 0, None
+    while found < n - 1:
+        cells = [F.floor(F.col(c) / side).alias(f"c{k}") for k, c in enumerate(grid)]
+        keys = [f"c{k}" for k in range(len(grid))]
+        live = nodes.where(F.col("core") <= side).select("*", *cells)
+        held = live.groupBy(*keys).agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+        for k in keys:
+            held = held.withColumn(k, F.explode(F.sequence(F.col(k) - 1, F.col(k) + 1)))
+        border = held.groupBy(*keys).agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select(*keys)
+        live = scratch.table(live.join(border, keys, "left_semi"), "live")
+        left = live.select(F.col("id").alias("src"), F.col("core").alias("ca"), F.col("comp").alias("p"), *[F.col(c).alias(f"a{k}") for k, c in enumerate(names)], *keys)
+        for k in keys:
+            left = left.withColumn(k, F.explode(F.sequence(F.col(k) - 1, F.col(k) + 1)))
+        right = live.select(F.col("id").alias("dst"), F.col("core").alias("cb"), F.col("comp").alias("q"), *[F.col(c).alias(f"b{k}") for k, c in enumerate(names)], *keys)
+        dist = F.sqrt(squared_distance([F.col(f"a{k}") for k in range(len(names))], [F.col(f"b{k}") for k in range(len(names))]))
+        edges = left.join(right, keys).where("src < dst and p <> q").select("src", "dst", F.greatest("ca", "cb", dist).alias("reach"), "p", "q").where(F.col("reach") <= side)
+        edges, moved = scratch.table(edges, "edges"), None
+        while not edges.isEmpty():  # Boruvka's rounds
+            ends = edges.select("p", "q", "reach", "src", "dst").union(edges.select("q", "p", "reach", "src", "dst"))
+            least = ends.groupBy("p").agg(F.min(F.struct("reach", "src", "dst", "q")).alias("e")).select("p", "e.*")
+            least = scratch.table(least, "least")
+            took = scratch.table(least.select("src", "dst", "reach").distinct(), "tree")
+            tree, found = took if tree is None else tree.union(took), found + took.count()
+            # each component points along its edge; the only circles are pairs, whose smaller id is the root
+            back = least.select(F.col("p").alias("q"), F.col("q").alias("back"))
+            up = least.join(back, "q", "left").select(F.col("p").alias("comp"), F.when((F.col("back") == F.col("p")) & (F.col("p") < F.col("q")), F.col("p")).otherwise(F.col("q")).alias("root"))
+            up = scratch.table(up, "up")
+            while True:  # pointers jump to the roots
+                far = up.select(F.col("comp").alias("root"), F.col("root").alias("next"))
+                new = scratch.table(up.join(far, "root").select("comp", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("far")), "up")
+                still = not new.where("far").isEmpty()
+                up = new.select("comp", "root")
+                if not still:
+                    break
+            for c in ("p", "q"):
+                edges = edges.join(up.select(F.col("comp").alias(c), F.col("root").alias(f"{c}r")), c, "left").withColumn(c, F.coalesce(f"{c}r", c)).drop(f"{c}r")
+            edges = scratch.table(edges.where("p <> q"), "edges")
+            nodes = nodes.join(up, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+        nodes = scratch.table(nodes, "nodes")
+        side *= 2
+    return tree if tree is not None else nodes.limit(0).select(F.col("id").alias("src"), F.col("id").alias("dst"), F.col("core").alias("reach"))
 
 
 def condense(tree: list[tuple[float, int, int]], n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +170,7 @@ def condense(tree: list[tuple[float, int, int]], n: int, least: int) -> tuple[np
     chosen, best = set(), list(mass)
     for c in range(len(birth) - 1, -1, -1):
         below = sum(best[d] for d in children[c])
-        if children[c] and (below > mass[c] or c == 0):  # the whole is no cluster if it splits
+        if c == 0 or children[c] and below > mass[c]:  # the whole is no cluster
             best[c] = below
         else:
             best[c] = mass[c]
@@ -115,10 +181,10 @@ def condense(tree: list[tuple[float, int, int]], n: int, least: int) -> tuple[np
         over[c] = up if up is not None else (c if c in chosen else None)
     names = {c: k for k, c in enumerate(sorted({v for v in over.values() if v is not None}))}
     label, strength = np.full(n, -1), np.zeros(n)
+    # the density at which a cluster itself ends, by losing its last point or splitting
     deepest: dict[int, float] = {}
-    for c, v in fell.values():
-        if over[c] is not None:
-            deepest[over[c]] = max(deepest.get(over[c], 0.0), cap(v))
+    for c, v in [*fell.values(), *((parent[d], birth[d]) for d in range(1, len(birth)))]:
+        deepest[c] = max(deepest.get(c, 0.0), cap(v))
     for p, (c, v) in fell.items():
         if over[c] is not None:
             label[p] = names[over[c]]
@@ -126,28 +192,39 @@ def condense(tree: list[tuple[float, int, int]], n: int, least: int) -> tuple[np
     return label, strength
 
 
-def hdbscan(df: DataFrame, id_col: str, features: list[str], max_eps: float, min_cluster_size: int = 10, min_samples: int | None = None) -> DataFrame:
+def hierarchy(df: DataFrame, id_col: str, features: list[str], min_samples: int, scratch: Scratch) -> DataFrame:
+    """(src, dst, reach): the spanning tree of the rows with all features present, whose ids have to be unique."""
+    names = [f"x{k}" for k in range(len(features))]
+    pts = df.select(F.col(id_col).alias("id"), *[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(features, names)]).dropna()
+    pts = scratch.table(pts, "points")
+    if pts.count() < max(2, min_samples):
+        return df.sparkSession.createDataFrame([], "src long, dst long, reach double")
+    side = first_side(pts, names, min_samples)
+    cores = all_core_distances(pts, names, min_samples, side, scratch)
+    return scratch.table(spanning_tree(pts.join(cores, "id"), names, side, scratch), "tree")
+
+
+def hdbscan(df: DataFrame, id_col: str, features: list[str], min_cluster_size: int = 10, min_samples: int | None = None) -> DataFrame:
     """(id, cluster, probability) for rows with all features present; -1 with 0 is noise.
 
-    min_samples (default min_cluster_size) counts the point itself. Clusters are numbered by their smallest id.
+    min_samples (default min_cluster_size) counts the point itself. Clusters are numbered by their smallest id. The whole
+    table is never one cluster; with fewer rows than min_samples all are noise.
     """
     if min_cluster_size < 2 or (min_samples is not None and min_samples < 1):
         raise ValueError("min_cluster_size has to be 2 at least and min_samples 1 at least")
     scratch = Scratch(df.sparkSession)
-    pairs = scratch.table(eps_pairs(df, id_col, features, max_eps), "pairs")
-    cores = core_distances(pairs, min_samples or min_cluster_size)
-    edges = scratch.table(mutual_reachability(pairs, cores).where(F.col("reach") <= max_eps), "edges")
-    parts = components(scratch, edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    tree = hierarchy(df, id_col, features, min_samples or min_cluster_size, scratch)
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, at = np.unique(np.concatenate([pdf["src"], pdf["dst"]]), return_inverse=True)
-        tree = spanning_tree(at[: len(pdf)], at[len(pdf) :], pdf["reach"].to_numpy(), len(ids))
-        got, strength = condense(tree, len(ids), min_cluster_size)
+        order = np.lexsort((pdf["dst"], pdf["src"], pdf["reach"]))
+        edges = list(zip(pdf["reach"].to_numpy()[order].tolist(), at[: len(pdf)][order].tolist(), at[len(pdf) :][order].tolist()))
+        got, strength = condense(edges, len(ids), min_cluster_size)
         first = {c: int(ids[got == c].min()) for c in set(got.tolist()) if c >= 0}
         return pd.DataFrame({"id": ids, "first": pd.array([first.get(int(c)) for c in got], "Int64"), "probability": strength})
 
-    found = edges.join(parts.withColumnRenamed("id", "src"), "src").groupBy("component").applyInPandas(label, "id long, first long, probability double")
-    found = scratch.table(found, "found")
+    # the tree's edges are three numbers for each row; its order is sequential
+    found = scratch.table(tree.groupBy((F.col("src") * 0).alias("all")).applyInPandas(label, "id long, first long, probability double"), "found")
     number = found.where("first is not null").select("first").distinct().withColumn("cluster", (F.dense_rank().over(Window.orderBy("first")) - 1).cast("int"))
     rows = df.dropna(subset=features).select(F.col(id_col).alias("id"))
     out = rows.join(found, "id", "left").join(number, "first", "left")

@@ -24,15 +24,20 @@ def eps_pairs(df: DataFrame, id_col: str, features: list[str], eps: float) -> Da
     """
     if not eps > 0:
         raise ValueError("eps has to be above 0")
-    pts = df.select(F.col(id_col).alias("id"), *[F.col(f"`{c}`").cast("double").alias(f"x{k}") for k, c in enumerate(features)])
-    pts = pts.dropna()
-    n = min(GRID_FEATURES, len(features))
-    cell = [F.floor(F.col(f"x{k}") / F.lit(float(eps))) for k in range(n)]
-    left = pts.select(F.col("id").alias("src"), *[F.col(f"x{k}").alias(f"a{k}") for k in range(len(features))], *[c.alias(f"c{k}") for k, c in enumerate(cell)])
+    names = [f"x{k}" for k in range(len(features))]
+    pts = df.select(F.col(id_col).alias("id"), *[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(features, names)]).dropna()
+    return pairs_between(pts, pts, names, eps)
+
+
+def pairs_between(left: DataFrame, right: DataFrame, names: list[str], eps: float) -> DataFrame:
+    """(src, dst, dist) for the rows of left and of right (id and the features `names`) within eps of each other."""
+    n = min(GRID_FEATURES, len(names))
+    cell = [F.floor(F.col(c) / F.lit(float(eps))).alias(f"c{k}") for k, c in enumerate(names[:n])]
+    left = left.select(F.col("id").alias("src"), *[F.col(c).alias(f"a{k}") for k, c in enumerate(names)], *cell)
     for k in range(n):
         left = left.withColumn(f"c{k}", F.explode(F.sequence(F.col(f"c{k}") - 1, F.col(f"c{k}") + 1)))
-    right = pts.select(F.col("id").alias("dst"), *[F.col(f"x{k}").alias(f"b{k}") for k in range(len(features))], *[c.alias(f"c{k}") for k, c in enumerate(cell)])
-    dist = F.sqrt(squared_distance([F.col(f"a{k}") for k in range(len(features))], [F.col(f"b{k}") for k in range(len(features))]))
+    right = right.select(F.col("id").alias("dst"), *[F.col(c).alias(f"b{k}") for k, c in enumerate(names)], *cell)
+    dist = F.sqrt(squared_distance([F.col(f"a{k}") for k in range(len(names))], [F.col(f"b{k}") for k in range(len(names))]))
     return left.join(right, [f"c{k}" for k in range(n)]).select("src", "dst", dist.alias("dist")).where(F.col("dist") <= eps)
 
 

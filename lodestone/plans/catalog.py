@@ -401,7 +401,9 @@ OPTICS_CORE = "WITH pts AS (SELECT c_custkey AS id, c_acctbal AS x, CAST(c_natio
 
 @query("optics_core", OPTICS_CORE + " SELECT id, round(core_distance, 4) AS core_distance FROM cores")
 def _(t):
-    return rounded(ordered_customers(t).select("id", "core_distance"), "core_distance")
+    # no ordering is needed for these
+    pairs = neighbors.eps_pairs(t("customer"), "c_custkey", ["c_acctbal", "c_nationkey"], 15.0)
+    return rounded(neighbors.core_distances(pairs, 5), "core_distance")
 
 
 @query("optics_ordering")
@@ -420,7 +422,7 @@ def _(t):
 
 
 def customer_hierarchy(t) -> DataFrame:
-    return hdbscan.hdbscan(t("customer"), "c_custkey", ["c_acctbal", "c_nationkey"], max_eps=25.0, min_cluster_size=5)
+    return hdbscan.hdbscan(t("customer"), "c_custkey", ["c_acctbal", "c_nationkey"], min_cluster_size=5)
 
 
 @query("hdbscan_labels")
@@ -433,6 +435,23 @@ def _(t):
     return profile.label_counts(customer_hierarchy(t), "cluster")
 
 
+def tree_sql(rounds: int = 10) -> str:
+    """An edge is in the tree if no path of lesser edges joins its ends; paths of least greatest rank double their length each round."""
+    steps = ["v AS (SELECT s_suppkey AS id, s_acctbal AS x FROM supplier)", "d AS (SELECT a.id AS a, b.id AS b, sqrt((a.x - b.x) * (a.x - b.x)) AS dist FROM v a JOIN v b ON TRUE)",
+             "core AS (SELECT a AS id, dist AS core FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS k FROM d) WHERE k = 4)",
+             "e AS (SELECT a, b, w, row_number() OVER (ORDER BY w, a, b) AS r FROM (SELECT d.a, d.b, greatest(dist, x.core, y.core) AS w FROM d JOIN core x ON x.id = d.a JOIN core y ON y.id = d.b WHERE d.a < d.b))",
+             "m0 AS (SELECT a, b, r FROM e UNION ALL SELECT b, a, r FROM e UNION ALL SELECT id, id, 0 FROM v)"]
+    steps += [f"m{k + 1} AS MATERIALIZED (SELECT x.a, y.b, min(greatest(x.r, y.r)) AS r FROM m{k} x JOIN m{k} y ON x.b = y.a GROUP BY 1, 2)" for k in range(rounds)]
+    return f"WITH {', '.join(steps)} SELECT count(*) AS n_edges, round(sum(w), 4) AS total FROM e JOIN m{rounds} USING (a, b) WHERE e.r = m{rounds}.r"
+
+
+@query("hdbscan_tree_weight", tree_sql())
+def _(t):
+    rows = t("supplier")
+    tree = hdbscan.hierarchy(rows, "s_suppkey", ["s_acctbal"], 4, Scratch(rows.sparkSession))
+    return tree.agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("reach"), 4).alias("total"))
+
+
 # ---- principal components
 
 

@@ -193,16 +193,79 @@ def test_optics(spark, seed):
         optics.optics(points(spark, xs), "id", ["x0"], eps=1.0, min_pts=1)
 
 
-def test_hdbscan_finds_the_groups(spark):
-    rng = random.Random(8)
-    xs = [(rng.gauss(h, 0.3), rng.gauss(h, 0.3)) for h in (0, 10, 20) for _ in range(30)] + [(5.0, 50.0), (-40.0, 3.0)]
-    got = hdbscan.hdbscan(points(spark, xs), "id", ["x0", "x1"], max_eps=30.0, min_cluster_size=8).orderBy("id").collect()
-    assert [r.cluster for r in got] == [0] * 30 + [1] * 30 + [2] * 30 + [-1, -1] or sum(r.cluster == k for k in range(3) for r in got) > 80
-    assert all(0 <= r.probability <= 1 and (r.cluster >= 0 or r.probability == 0) for r in got)
-    sizes = pd.Series([r.cluster for r in got if r.cluster >= 0]).value_counts()
-    assert len(sizes) == 3 and (sizes >= 8).all()
+def hdbscan_plain(xs, least, k):
+    """Cluster (a set of points) and strength of each point: Prim's tree, split from the top."""
+    d, n = distances(xs), len(xs)
+    core = np.sort(d, axis=1)[:, k - 1]
+    w = np.maximum(d, np.maximum(core[:, None], core[None]))
+    inside, edges, best = {0}, [], {j: (w[0, j], 0, j) for j in range(1, n)}
+    while best:
+        e = best.pop(min(best, key=lambda j: (best[j][0], min(best[j][1:]), max(best[j][1:]))))
+        edges.append(e)
+        inside.add(e[2])
+        best = {j: min(old, (w[e[2], j], e[2], j)) for j, old in best.items()}
+    out = {}
+
+    def split(points, es):
+        """The two sides of the longest edge."""
+        cut = max(es, key=lambda e: (e[0], min(e[1:]), max(e[1:])))
+        side, grown = {cut[1]}, True
+        while grown:
+            grown = {p for e in es if e is not cut for p in e[1:] if (e[1] in side) != (e[2] in side)} - side
+            side |= grown
+        return 1 / cut[0], [(s, [e for e in es if e is not cut and e[1] in s]) for s in (side, points - side)]
+
+    def cluster(points, es, born, top):
+        """(excess of mass, chosen [(points, strength)]) of the best choice in a cluster."""
+        mass, left, whole = 0.0, {}, points
+        while True:
+            if len(points) == 1:
+                lam, sides = np.inf, []
+            else:
+                lam, sides = split(points, es)
+            big = [s for s in sides if len(s[0]) >= least]
+            if len(big) == 2:
+                mass += len(points) * (lam - born)
+                below = [cluster(*s, lam, False) for s in big]
+                if top or sum(m for m, _ in below) > mass:
+                    return sum(m for m, _ in below), [c for _, cs in below for c in cs]
+                return mass, [(whole, {p: min(left.get(p, lam), lam) / lam for p in whole})]
+            for s, _ in sides:
+                if len(s) < least:
+                    mass += len(s) * (lam - born)
+                    left |= dict.fromkeys(s, lam)
+            if not big:
+                return (0, []) if top else (mass, [(whole, {p: left[p] / lam for p in whole})])
+            points, es = big[0]
+
+    for points, strength in cluster(set(range(n)), edges, 0.0, True)[1]:
+        out |= {p: (min(points), strength[p]) for p in points}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_hdbscan(spark, seed):
+    rng = random.Random(seed)
+    homes = [(0, 0), (3, 1), (10, 10), (300, -200)][: 2 + seed % 3]
+    xs = [(h[0] + rng.gauss(0, 1), h[1] + rng.gauss(0, 1)) for h in homes for _ in range(25)] + [(rng.uniform(-9, 19), rng.uniform(-9, 19)) for _ in range(6)]
+    least, k = rng.choice([4, 6, 9]), rng.choice([2, 4, 6])
+    got = {r.id: r for r in hdbscan.hdbscan(points(spark, xs), "id", ["x0", "x1"], min_cluster_size=least, min_samples=k).collect()}
+    want = hdbscan_plain(xs, least, k)
+    first = {}
+    for i in sorted(got):
+        if got[i].cluster >= 0:
+            first.setdefault(got[i].cluster, i)
+    assert {i: first[r.cluster] for i, r in got.items() if r.cluster >= 0} == {i: f for i, (f, _) in want.items()}
+    assert all(r.probability == pytest.approx(want[i][1] if i in want else 0) for i, r in got.items())
+    assert list(first.values()) == sorted(first.values())
+
+
+def test_hdbscan_edges(spark):
     with pytest.raises(ValueError):
-        hdbscan.hdbscan(points(spark, xs), "id", ["x0"], max_eps=1.0, min_cluster_size=1)
+        hdbscan.hdbscan(points(spark, [(1,)]), "id", ["x0"], min_cluster_size=1)
+    same = hdbscan.hdbscan(points(spark, [(3.0,)] * 6 + [(9.0,)] * 6), "id", ["x0"], min_cluster_size=3).collect()
+    assert {r.cluster for r in same if r.id < 6} == {0} and {r.cluster for r in same if r.id >= 6} == {1}
+    assert [r.cluster for r in hdbscan.hdbscan(points(spark, [(1.0,), (2.0,)]), "id", ["x0"], min_cluster_size=3).collect()] == [-1, -1]
 
 
 def test_components_of_chains_and_stars(spark):
