@@ -38,8 +38,10 @@ PLAIN_MARKS = MARKS - GENERIC
 WITHIN = {"article", "main"}
 DEEP = 64  # levels of elements that are told apart
 SHORT = 25  # characters of a line that is no sentence
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-OPEN_END = re.compile(r"<[/a-zA-Z!?][^<>]*\Z")
+# A tag ends at its ">", or where the next one begins; a quote that is not closed before that is a plain character. No part
+# is read twice, so the time is in proportion to the page.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)(?:>|(?=<)|\Z)", re.S)
+RAW_END = {name: re.compile(f"</{name}[^>]*(?:>|\\Z)", re.I) for name in RAW}
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 WORD = re.compile(r"[a-z0-9]+")
 SPACE = re.compile(r"\s+")
@@ -62,6 +64,7 @@ class Line(NamedTuple):
     region: int = 0  # the innermost article or main, 0 outside
     linked: int = 0  # characters in links
     doubt: int = 0  # the block in an article that a generic word marks, 0 if none
+    title: bool = False  # in a h1
 
 
 def lines_of(page: str) -> Iterator[Line]:
@@ -71,7 +74,8 @@ def lines_of(page: str) -> Iterator[Line]:
     doubts: list[int] = []
     beside = link = linked = made = 0
     parts: list[str] = []
-    at, n, low = 0, len(page), None
+    at, n = 0, len(page)
+    names: dict[str, int] = {}  # how many open elements have each name
     blank = [Line(None)] * WINDOW
 
     def flush():
@@ -79,15 +83,13 @@ def lines_of(page: str) -> Iterator[Line]:
         text = "".join(parts)
         parts.clear()
         chain = tuple(x[2] for x in stack[:DEEP]) if text.strip() else ()
-        out = Line(text, chain, regions[-1] if regions else 0, linked, doubts[0] if doubts else 0)
+        out = Line(text, chain, regions[-1] if regions else 0, linked, doubts[0] if doubts else 0, names.get("h1", 0) > 0)
         linked = 0
         return out
 
     while at < n:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else n]
-        if not m:
-            text = OPEN_END.sub("", text)  # a page that ends within a tag
         if text and not beside:
             parts.append(text)
             linked += len(text.strip()) if link else 0
@@ -98,10 +100,8 @@ def lines_of(page: str) -> Iterator[Line]:
         if not name:
             continue
         if not m[1] and name in RAW:
-            low = low or page.lower()
-            end = low.find(f"</{name}", at)
-            close = page.find(">", end) if end >= 0 else -1
-            at = n if end < 0 or close < 0 else close + 1
+            end = RAW_END[name].search(page, at)
+            at = end.end() if end else n
             continue
         if name == "a":
             link = 0 if m[1] else 1
@@ -115,7 +115,7 @@ def lines_of(page: str) -> Iterator[Line]:
         if generic and name in INLINE and "".join(parts).strip():  # amid a sentence
             continue
         if m[1]:  # an end tag closes the nearest element of its name and all left open within
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name) if names.get(name) else None
             if k is None:
                 if name not in INLINE:
                     yield flush()
@@ -123,6 +123,7 @@ def lines_of(page: str) -> Iterator[Line]:
             yield flush()
             ends = False
             for tag, off, number in stack[k:]:
+                names[tag] -= 1
                 beside -= off
                 ends |= off
                 if regions and regions[-1] == number:
@@ -140,6 +141,7 @@ def lines_of(page: str) -> Iterator[Line]:
         if name == "p":  # a paragraph ends an open one
             while stack and stack[-1][:2] == ("p", False):
                 number = stack.pop()[2]
+                names["p"] -= 1
                 if doubts and doubts[-1] == number:
                     doubts.pop()
         off = name in ASIDE or (name not in ("body", "html", "article", "main") and not generic and marked(m[3]))
@@ -147,6 +149,7 @@ def lines_of(page: str) -> Iterator[Line]:
         if (off or name in WITHIN) and not beside:
             yield from blank
         stack.append((name, off, made))
+        names[name] = names.get(name, 0) + 1
         beside += off
         if name in WITHIN:
             regions.append(made)
@@ -189,6 +192,8 @@ def main_text(page: str | None, least: int = 120, most_links: float = 0.5) -> st
     out = set()
     for k, own in blocks.items():
         chars, links = sum(len(x.raw) for x in own), sum(x.linked for x in own)
+        if any(x.title for x in own):  # the article's heading
+            continue
         if links > most_links * chars or chars - links < min(SHORT * len(own), least // 2):
             out.add(k)
     if out:
@@ -258,10 +263,15 @@ def main_text(page: str | None, least: int = 120, most_links: float = 0.5) -> st
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
-    """All columns of pages and the main text; a clashing column is replaced. Null or empty html gives an empty text."""
+    """All columns of pages and the main text; a column named as `out` is replaced, others stay whatever their names.
+
+    Null or empty html gives an empty text; pages that end within a tag, a comment or an element are read as far as they
+    go. Time is in proportion to a page, so a very long one is only slow. Repeated rows get the same text, of runs that
+    weigh the same the first; an empty table gives no rows.
+    """
 
     @F.pandas_udf("string")
     def run(col: pd.Series) -> pd.Series:
         return col.map(main_text, na_action=None)
 
-    return pages.withColumn("_main", run(F.col(html_col))).drop(out).withColumnRenamed("_main", out)
+    return pages.select(*[F.col(f"`{c}`") for c in pages.columns if c.lower() != out.lower()], run(F.col(f"`{html_col}`")).alias(out))

@@ -106,6 +106,9 @@ NEAR_MISSES = (
 )
 
 
+TALK = r"(?i)licen[cs]e|copyright|spdx|creative commons|\bcc[ -]by|public domain|redistribut"
+
+
 def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
@@ -235,13 +238,13 @@ def fit(unknown: list[str], copies: int = 40, penalty: float = 1e-4, steps: int
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 300, max_paragraphs: int = 1500) -> LicenceModel:
-    """Fits with paragraphs without licence words from at most max_docs documents, those of least hash of id."""
+    """Fits with max_paragraphs paragraphs without licence words of max_docs documents, both those of least hash."""
     # two steps, so that texts of no more than max_docs rows are moved
     ids = docs.select(id_col).where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(max_docs)
-    rows = docs.select(id_col, text_col).join(F.broadcast(ids.distinct()), id_col, "left_semi").orderBy(id_col, text_col).limit(max_docs).toPandas()
-    talk = re.compile(r"licen[cs]e|copyright|spdx|creative commons|\bcc[ -]by|public domain|redistribut", re.I)
-    found = dict.fromkeys(p.strip() for t in rows[text_col] if t for p in t[:200_000].split("\n") if len(p.split()) > 1 and not talk.search(p))
-    return fit(random.Random(1).sample(sorted(found), min(len(found), max_paragraphs)))
+    rows = docs.select(id_col, text_col).join(F.broadcast(ids.distinct()), id_col, "left_semi").orderBy(id_col, text_col).limit(max_docs)
+    p = F.trim(F.col("p"))
+    found = rows.select(F.explode(F.split(text_col, "\n")).alias("p")).select(p.alias("p")).where((F.size(F.split("p", " ")) > 1) & ~F.col("p").rlike(TALK)).distinct()
+    return fit(sorted(r.p for r in found.orderBy(F.xxhash64("p"), "p").limit(max_paragraphs).collect()))
 
 
 def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -44,7 +44,7 @@ def statistics_of(text: str | None) -> tuple[float, ...]:
     )
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text", out: str = "_stats") -> DataFrame:
+def with_statistics(docs: DataFrame, text_col: str = "text", out: str = "stats") -> DataFrame:
     @F.pandas_udf(SCHEMA)
     def stats(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([statistics_of(t) for t in texts], columns=STATS, dtype=float)
@@ -79,7 +79,7 @@ class RuleModel:
     rules: tuple[Rule, ...] = ()
     weights: tuple[float, ...] = field(default=())
 
-    def score(self, stats: str = "_stats") -> Column:
+    def score(self, stats: str = "stats") -> Column:
         z = F.lit(self.intercept)
         for r, w in zip(self.rules, self.weights, strict=True):
             z = z + F.when(r.column(stats), F.lit(w)).otherwise(F.lit(0.0))
@@ -170,22 +170,25 @@ def held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 12000, **params) -> RuleModel:
     """Fits on at most max_rows labelled rows that are not held out, those of least hash of id.
 
-    Several labels of one id are averaged and rounded up from 0.5; null labels are left out.
+    Several labels of one id are averaged and rounded up from 0.5; null labels are left out. Of rows that share an id the
+    least text counts, so no more than max_rows rows come to the driver. Without labels the score is 0.5 for all.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    known = known.groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("int").alias("_y"))
-    sample = known.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
+    known = known.groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("int").alias("y")).withColumnRenamed(id_col, "id")
+    sample = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     # bounded: max_rows rows of 12 bytes
-    rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col)
-    got = with_statistics(rows, text_col).select(id_col, "_y", "_stats.*").toPandas().sort_values([id_col, *STATS])
-    return fit(got[list(STATS)].to_numpy(float), got["_y"].to_numpy(float), **params)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    got = with_statistics(rows, "text").select("id", "y", "stats.*").toPandas().sort_values("id")
+    return fit(got[list(STATS)].to_numpy(float), got["y"].to_numpy(float), **params)
 
 
 def score(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """All columns of docs, and held_out, score, predicted; clashing columns of these names are replaced.
 
-    Null texts score as empty ones do.
+    Null texts score as empty ones do, repeated rows alike; the time is in proportion to a text. A score at the
+    threshold is predicted 1. Other columns stay whatever their names; an empty table gives no rows.
     """
-    out = with_statistics(docs.drop("held_out", "score", "predicted"), text_col)
-    out = out.withColumn("held_out", held_out(F.col(id_col))).withColumn("score", model.score())
-    return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)).drop("_stats")
+    names = [c for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")]
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_col}`").alias("text"), held_out(F.col(f"`{id_col}`")).alias("held_out"))
+    out = with_statistics(own, "text").withColumn("score", model.score())
+    return out.select("row.*", "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

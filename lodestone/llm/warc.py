@@ -23,6 +23,7 @@ from .common import Scratch
 
 CRLF = b"\r\n"
 CHUNK = 1 << 20
+MOST_SENT = 200_000  # repeated digests of some 100 bytes that are broadcast
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
@@ -200,7 +201,7 @@ def read_members(indexed: DataFrame, with_payload: bool = True) -> DataFrame:
     return indexed.select("members", "index").mapInArrow(read, READ_SCHEMA)
 
 
-def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def mark_revisits(pages: DataFrame, scratch: Scratch, least_bytes: int = 0) -> DataFrame:
     """Adds refers_to: of pages with equal payloads the largest page_id is the response (null), others refer to it.
 
     Payloads under least_bytes are all responses. Rows that repeat the largest page_id with the same payload are all
@@ -209,8 +210,9 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     p = pages.withColumn("_n", F.octet_length(F.coalesce("html", F.lit("")))).withColumn("_d", F.sha1(F.coalesce("html", F.lit(""))))
     # only payloads that occur more than once: few rows, minima pre-aggregated
     twice = p.groupBy("_d", "_n").agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
-    twice = twice.where(F.col("_n") >= least_bytes)
-    out = p.join(twice, ["_d", "_n"], "left")
+    twice = scratch.table(twice.where(F.col("_n") >= least_bytes), "repeated")
+    # up to 20 MB the repeated digests go to the pages; beyond, payloads are shuffled, and Spark splits a common page's key
+    out = p.join(F.broadcast(twice) if twice.count() <= MOST_SENT else twice, ["_d", "_n"], "left")
     return out.withColumn("refers_to", F.when(F.col("page_id").eqNullSafe(F.col("_last")), None).otherwise(F.col("_last"))).drop("_d", "_n", "_last")
 
 
@@ -221,7 +223,7 @@ def archive_and_read(pages: DataFrame, least_bytes: int = 0, date: str = "2000-0
     indexes lie in the shared folder; see Scratch.
     """
     scratch = Scratch(pages.sparkSession)
-    marked = mark_revisits(pages.select("page_id", "url", "html"), least_bytes)
+    marked = mark_revisits(pages.select("page_id", "url", "html"), scratch, least_bytes)
     written = scratch.table(write_monolithic(marked, scratch.path("monolithic"), date, roll_bytes, level), "manifest")
     n = max(1, written.count())
     # an archive is a task's work: the manifest is dealt out by row, not by its bytes
