@@ -6,18 +6,22 @@ first covers are removed. A repeated passage of at least min_words words, in who
 
 Passages of more than PASSAGE words are found wherever they begin and end. Of every span of PASSAGE + 1 words the least of
 the hashes of its GRAM-word parts is its anchor (winnowing, Schleimer et al. 2003); equal spans have equal anchors, and few
-parts are anchors. Anchors are joined over the corpus, then the spans of those that repeat; words that any occurrence of a
-span but the first covers are removed.
+parts are anchors. Spans in a row with one anchor are a block. Anchors are joined over the corpus. A block that equals that
+of the anchor's first document, as within copies, stands for its spans; where blocks differ, at the ends of a passage, the
+spans are joined one by one. Words that any occurrence of a span but the first covers are removed.
+
+Texts are hashed many at a time. Hashes travel with their places, so what comes back for a text is a list of places to cut.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,14 +29,14 @@ from pyspark.sql.types import StructType
 
 from .common import Scratch
 
-BREAK = re.compile(r"((?<=[.!?…])\s+|(?<=[。！？])|\n\s*)")
+BREAK = re.compile(r"[.!?…。！？\n](?:(?<=[.!?…])(\s+)|(?<=[。！？])()|(?<=\n)(\s*))")
 LAST_ID = (1 << 63) - 1
 WORD = re.compile(r"\S+")
 PASSAGE, GRAM = 50, 20
 FACTOR = 0x9E3779B97F4A7C15  # any odd number whose powers mix well
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=64)  # one entry for each power of two
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 .. n of FACTOR and of its inverse, mod 2^64."""
     rise, fall = np.full(n + 1, FACTOR, np.uint64), np.full(n + 1, pow(FACTOR, -1, 1 << 64), np.uint64)
@@ -40,67 +44,101 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(rise), np.cumprod(fall)
 
 
-def spans(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor, hash) of the span of PASSAGE + 1 words from each word on, as far as one fits."""
-    n = len(words)
-    if n <= PASSAGE:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    rise, fall = powers(1 << max(12, n.bit_length()))
-    up = np.zeros(n + 1, np.uint64)
-    np.cumsum(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n) * rise[:n], out=up[1:])
+def salted(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Hashes made different for each owner."""
+    return h.view(np.uint64) ^ (owner.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+
+
+class Hashed:
+    """Words of several texts, lower case, as sums from which the hash of any stretch follows.
+
+    ends: where the words of each sentence end, counted over all texts, with 0 in front; sents and at: the number of
+    the first sentence and of the first word of each text.
+    """
 
-    def window(size):
-        h = (up[size:] - up[:-size]) * fall[: n + 1 - size]
+    def __init__(self, texts: list[str]):
+        words, sizes, self.sents, self.at = [], [], [0], [0]
+        for t in texts:
+            for s, _ in sentences(t.lower()):
+                own = s.split()
+                words += own
+                sizes.append(len(own))
+            self.sents.append(len(sizes))
+            self.at.append(len(words))
+        self.n = n = len(words)
+        self.ends = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
+        self.sents, self.at = np.array(self.sents), np.array(self.at)
+        rise, self.fall = powers(1 << max(12, n.bit_length()))
+        self.up = np.zeros(n + 1, np.uint64)
+        np.cumsum(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n) * rise[:n], out=self.up[1:])
+
+    def stretches(self, start, end) -> np.ndarray:
+        """Hashes of the words start .. end - 1, for arrays or slices of starts and ends."""
+        h = (self.up[end] - self.up[start]) * self.fall[start]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
-        return h ^ (h >> np.uint64(32))
-
-    least, have, want = window(GRAM), 1, PASSAGE + 2 - GRAM
-    while have < want:  # minima of ever longer stretches
-        step = min(have, want - have)
-        least, have = np.minimum(least[:-step], least[step:]), have + step
-    return least.view(np.int64), window(PASSAGE + 1).view(np.int64)
+        return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place, anchor, hash) of the span of PASSAGE + 1 words from each word on, as far as one fits its text."""
+        n, none = self.n, np.empty(0, np.int64)
+        if n <= PASSAGE:
+            return none, none, none, none
+        window = lambda size: self.stretches(slice(0, n + 1 - size), slice(size, n + 1))
+        least, have, want = window(GRAM).view(np.uint64), 1, PASSAGE + 2 - GRAM
+        while have < want:  # minima of ever longer stretches
+            step = min(have, want - have)
+            least, have = np.minimum(least[:-step], least[step:]), have + step
+        owner = np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+        place = np.flatnonzero(owner[: n - PASSAGE] == owner[PASSAGE:])
+        return owner[place], place, least.view(np.int64)[place], window(PASSAGE + 1)[place]
+
+    def blocks(self) -> tuple[np.ndarray, ...]:
+        """(text, anchor, hash, place, number of words, whether one of its spans occurs twice in the text)."""
+        owner, place, anchor, own = self.spans()
+        _, where, count = np.unique(salted(own, owner), return_inverse=True, return_counts=True)
+        new = np.ones(len(place), bool)
+        new[1:] = (np.diff(place) != 1) | (np.diff(anchor) != 0) | (np.diff(owner) != 0)
+        heads = np.flatnonzero(new)
+        if not len(heads):
+            return owner, anchor, own, place, place, np.empty(0, bool)
+        size = np.diff([*heads, len(place)]) + PASSAGE
+        first = place[heads]
+        return owner[heads], anchor[heads], self.stretches(first, first + size), first, size, np.logical_or.reduceat(count[where] > 1, heads)
+
+    def runs(self, min_words: int) -> tuple[np.ndarray, ...]:
+        """(text, hash, first, number of sentences, whether the hash comes earlier in the text) of the shortest runs from and
+        to each sentence, each pair of ends once, in order of first."""
+        ends = self.ends
+        some = np.flatnonzero(np.diff(ends))
+        owner = np.searchsorted(self.sents, some, side="right") - 1
+        to = np.searchsorted(ends, ends[some] + min_words)  # the least end with enough words from a start
+        since = np.searchsorted(ends, ends[some + 1] - min_words, side="right") - 1
+        forth, back = to <= self.sents[owner + 1], since >= self.sents[owner]
+        pairs = np.unique(np.concatenate([some[forth] * len(ends) + to[forth], since[back] * len(ends) + some[back] + 1]))
+        i, j = pairs // len(ends), pairs % len(ends)
+        owner, h = np.searchsorted(self.sents, i, side="right") - 1, self.stretches(ends[i], ends[j])
+        return owner, h, i - self.sents[owner], j - i, again(salted(h, owner))
 
 
 def sentences(text: str) -> list[tuple[str, str]]:
     """(sentence, white space after it); together they are the text. Sentences end at .!? before a space, or at a line end."""
-    parts = BREAK.split(text)
-    return [(a, b) for a, b in zip(parts[::2], [*parts[1::2], ""]) if a or b]
-
+    out, at = [], 0
+    for m in BREAK.finditer(text):
+        end = m.end()
+        cut = (m.start(1), end, m.start())[m.lastindex - 1]
+        if end > at:
+            out.append((text[at:cut], text[cut:end]))
+        at = end
+    if at < len(text):
+        out.append((text[at:], ""))
+    return out
 
-def runs(sents: list[tuple[str, str]], min_words: int) -> list[tuple[int, int, int]]:
-    """(hash, first, last) of the shortest runs from and to each sentence, each pair of ends once, in order of first.
 
-    Words are compared in lower case, whatever white space divides them.
-    """
-    words = [s.lower().split() for s, _ in sents]
-    flat = [" ".join(w) for w in words]
-    sizes = [len(w) for w in words]
-    ends = set()
-    j = total = 0
-    for i, size in enumerate(sizes):  # forward
-        while j < len(sizes) and total < min_words:
-            total += sizes[j]
-            j += 1
-        if total < min_words:
-            break
-        if size:
-            ends.add((i, j - 1))
-        total -= size
-    i, total = len(sizes) - 1, 0
-    for k in range(len(sizes) - 1, -1, -1):  # backward
-        while i >= 0 and total < min_words:
-            total += sizes[i]
-            i -= 1
-        if total < min_words:
-            break
-        if sizes[k]:
-            ends.add((i + 1, k))
-        total -= sizes[k]
-    out = []
-    for i, j in sorted(ends):
-        h = xxhash.xxh3_64_intdigest(" ".join([x for x in flat[i : j + 1] if x]))
-        out.append((h - (1 << 64) if h >= 1 << 63 else h, i, j))
+def again(h: np.ndarray) -> np.ndarray:
+    """Whether the same hash comes earlier."""
+    out = np.ones(len(h), bool)
+    out[np.unique(h, return_index=True)[1]] = False
     return out
 
 
@@ -111,39 +149,36 @@ def without(sent: str, keep: np.ndarray) -> str:
     return out if keep[-1] else out.rstrip()
 
 
-def strip(text: str | None, hashes, min_words: int, within_sentences: bool = False, passages=None) -> tuple[str | None, int, int]:
-    """Text without the sentences of the given runs, the words of the given passages and what repeats within it; sentence
-    count, count of sentences removed in whole or part."""
+def strip(text: str | None, runs: list[tuple[int, int]], words: list[tuple[int, int]]) -> tuple[str | None, int, int]:
+    """Text without the given runs of sentences and stretches of words, both as (first, number); sentence count, count of
+    sentences removed in whole or part."""
     if text is None:
         return None, 0, 0
+    if not runs and not words:
+        at = n = 0
+        for m in BREAK.finditer(text):
+            at, n = m.end(), n + 1
+        return text, n + (at < len(text)), 0
     sents = sentences(text)
-    gone, seen, covered = set(hashes) if hashes is not None else (), set(), [0] * (len(sents) + 1)
-    for h, i, j in runs(sents, min_words):
-        if h in gone or h in seen:
-            covered[i] += 1
-            covered[j + 1] -= 1
-        seen.add(h)
-    words = [s.lower().split() if within_sentences else [] for s, _ in sents]
-    flat = [w for ws in words for w in ws]
-    _, own = spans(flat)
-    again = np.zeros(len(own), bool)
-    if len(own):
-        again[:] = True
-        again[np.unique(own, return_index=True)[1]] = False
-        if passages is not None:
-            again |= np.isin(own, np.asarray(passages, np.int64))
-    keep = None
-    if again.any():
-        step = np.zeros(len(flat) + 1, np.int64)
-        step[: len(own)] += again
-        step[PASSAGE + 1 : PASSAGE + 1 + len(own)] -= again
+    depth = np.zeros(len(sents) + 1, np.int64)
+    if runs:
+        first, size = np.array(runs, np.int64).T
+        np.add.at(depth, first, 1)
+        np.add.at(depth, first + size, -1)
+    gone = np.cumsum(depth)[:-1] > 0
+    keep, counts = None, [0] * len(sents)
+    if words:
+        counts = [len(s.split()) for s, _ in sents]
+        step = np.zeros(sum(counts) + 1, np.int64)
+        first, size = np.array(words, np.int64).T
+        np.add.at(step, first, 1)
+        np.add.at(step, first + size, -1)
         keep = np.cumsum(step)[:-1] == 0
-    kept, depth, removed, at = [], 0, 0, 0
-    for (a, b), step, ws in zip(sents, covered, words):
-        depth += step
-        left = keep[at : at + len(ws)] if keep is not None and ws else None
-        at += len(ws)
-        if depth or left is not None and not left.any():
+    kept, removed, at = [], 0, 0
+    for (a, b), off, n in zip(sents, gone.tolist(), counts):
+        left = keep[at : at + n] if n else None
+        at += n
+        if off or left is not None and not left.any():
             removed += 1
         elif left is None or left.all():
             kept.append(a + b)
@@ -153,97 +188,123 @@ def strip(text: str | None, hashes, min_words: int, within_sentences: bool = Fal
     return ("".join(kept).rstrip() if removed else text), len(sents), removed
 
 
-def pairs(rows: Iterator[tuple[int, Iterable[tuple[str, np.ndarray | list[int]]]]]) -> Iterator[pa.RecordBatch]:
-    """Batches (doc, kind, h) from (doc, [(kind, hashes)])."""
-    docs, kinds, hashes, n = [], [], [], 0
+FOUND = "doc long, key long, kind boolean, h long, block long, at int, size int, again boolean"
+CHARS = 1 << 20  # characters of text that are hashed at a time
+
 
-    def batch():
-        cat = lambda xs, t: np.concatenate(xs) if xs else np.empty(0, t)
-        return pa.RecordBatch.from_pydict({"doc": pa.array(cat(docs, np.int64)), "kind": pa.array(cat(kinds, bool)), "h": pa.array(cat(hashes, np.int64))})
+def groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch, with the texts in its third column, of about CHARS characters and one text at least."""
+    sizes = pc.binary_length(batch.column(2)).to_pylist()
+    a = held = 0
+    for b, size in enumerate([*sizes, None]):
+        if b > a and (size is None or held + size > CHARS):
+            part = batch.slice(a, b - a)
+            yield part, part.column(2).to_pylist()
+            a, held = b, 0
+        held += size or 0
 
-    for doc, found in rows:
-        for kind, hs in found:
-            if len(hs):
-                docs.append(np.full(len(hs), doc, np.int64))
-                kinds.append(np.full(len(hs), kind, bool))
-                hashes.append(np.asarray(hs, np.int64))
-                n += len(hs)
-        if n > 200_000:
-            yield batch()
-            docs, kinds, hashes, n = [], [], [], 0
-    yield batch()
+
+def found_batch(part: pa.RecordBatch, kind: bool, owner: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """FOUND from the hashes, blocks, places, sizes and repeats of texts of the slice; places count from each text's start."""
+    of = pa.array(owner)
+    return pa.RecordBatch.from_arrays(
+        [part.column(0).take(of), part.column(1).take(of), pa.array(np.full(len(owner), kind)), *(pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.int32, np.int32, bool)))],
+        [c.split()[0] for c in FOUND.split(", ")],
+    )
 
 
 def shared(found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(doc, kind, h, first) of the hashes that several documents have, with the least of those."""
-    # minima and counts are made before the shuffle, so a hash that every document has costs one row a task
-    first = found.groupBy("kind", "h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    first = scratch.table(first.select("kind", "h", "first"), name)
-    return found.join(first, ["kind", "h"]).select("doc", "kind", "h", "first")
+    """FOUND for the hashes that several documents or one text several times have, with `first`, the least document, `lead`, a
+    block of it, and `mixed`, whether blocks differ or a text has one several times."""
+    # minima and maxima are made before the shuffle, so a hash that every document has costs one row a task
+    first = found.groupBy("kind", "h").agg(
+        F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("again").alias("any"), F.min_by("block", "doc").alias("lead"), (F.min("block") != F.max("block")).alias("differ"),
+    )
+    first = first.where("first < last or any").select("kind", "h", "first", "lead", F.expr("differ or any").alias("mixed"))
+    # a common passage is a key with a row for each document: plain tables on both sides, so that Spark can split it
+    return found.join(scratch.table(first, name), ["kind", "h"])
 
 
-def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int, scratch: Scratch, within_sentences: bool) -> DataFrame:
-    """(doc, hashes, passages): for each document the runs and the spans of words whose first occurrence is in another one."""
+def repeated_runs(texts: DataFrame, text_col: str, min_words: int, scratch: Scratch, within_sentences: bool) -> DataFrame:
+    """(doc, key, runs, words): for each text what is to go, as strip() takes it. texts: doc, key and text."""
 
     def occurrences(batches):
-        def rows():
-            for batch in batches:
-                for i, t in ((i.as_py(), t.as_py()) for i, t in zip(batch.column(0), batch.column(1))):  # one text at a time
-                    sents = sentences(t)
-                    anchors, _ = spans([w for s, _ in sents for w in s.lower().split()] if within_sentences else [])
-                    yield i, ((False, list({h for h, _, _ in runs(sents, min_words)})), (True, np.unique(anchors)))
-
-        return pairs(rows())
+        for batch in batches:
+            for part, texts in groups(batch):
+                hashed = Hashed(texts)
+                owner, h, first, size, repeats = hashed.runs(min_words)
+                yield found_batch(part, False, owner, h, h, first, size, repeats)
+                if within_sentences:
+                    owner, anchor, block, place, size, twice = hashed.blocks()
+                    yield found_batch(part, True, owner, anchor, block, place - hashed.at[owner], size, twice)
 
     def passages(batches):
-        def rows():
-            for batch in batches:
-                for i, t, known in ((i.as_py(), t.as_py(), k) for i, t, k in zip(batch.column(0), batch.column(1), batch.column(2))):
-                    anchors, own = spans([w for s, _ in sentences(t) for w in s.lower().split()])
-                    yield i, ((True, np.unique(own[np.isin(anchors, known.values.to_numpy())])),)
-
-        return pairs(rows())
-
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col), F.lit(LAST_ID)).alias("doc"), text_col)
-    found = texts.mapInArrow(occurrences, "doc long, kind boolean, h long")
-    found = scratch.table(found, "found") if within_sentences else found
-    both = shared(found, scratch, "repeated")
-    if not within_sentences:
-        return both.where("doc > first").groupBy("doc").agg(F.collect_set("h").alias("hashes"), F.lit(None).cast("array<bigint>").alias("passages"))
+        for batch in batches:
+            for part, texts in groups(batch):
+                hashed = Hashed(texts)
+                owner, place, anchor, own = hashed.spans()
+                known = part.column(3)
+                holder = np.repeat(np.arange(len(texts)), pc.list_value_length(known).to_numpy())
+                ok = np.isin(salted(anchor, owner), salted(known.flatten().to_numpy(), holder))
+                owner, place, own = owner[ok], place[ok], own[ok]
+                yield found_batch(part, True, owner, own, own, place - hashed.at[owner], np.full(len(own), PASSAGE + 1), again(salted(own, owner)))
+
+    found = scratch.table(texts.select("doc", "key", text_col).mapInArrow(occurrences, FOUND), "found")
+    both = shared(found, scratch, "repeated").where("doc > first or again or kind and mixed")
     both = scratch.table(both, "shared")
-    anchors = both.where("kind").groupBy("doc").agg(F.collect_set("h").alias("known"))
-    spanned = scratch.table(texts.join(anchors, "doc").select("doc", text_col, "known").mapInArrow(passages, "doc long, kind boolean, h long"), "spans")
-    later = both.where("not kind").unionByName(shared(spanned, scratch, "repeated_spans")).where("doc > first")
-    # at most two runs for each sentence of a document and a span for each word
-    return later.groupBy("doc").agg(*(F.collect_set(F.when(F.col("kind") == k, F.col("h"))).alias(n) for n, k in (("hashes", False), ("passages", True))))
+    scratch.drop(found)
+    later = both.where("not kind and (doc > first or again) or kind and block = lead and doc > first")
+    if within_sentences:
+        mixed = both.where("kind and (block <> lead or doc = first and mixed)").groupBy("doc", "key").agg(F.collect_set("h").alias("known"))
+        spanned = texts.join(mixed, ["doc", "key"]).select("doc", "key", text_col, "known").mapInArrow(passages, FOUND)
+        spanned = scratch.table(spanned, "spans")
+        spanned = shared(spanned, scratch, "repeated_spans").where("doc > first or again")
+        later = later.unionByName(spanned)
+    # at most two runs for each sentence of a text and a span for each word, whatever the number of rows with that text
+    place = F.struct("at", "size")
+    return later.groupBy("doc", "key").agg(F.collect_set(F.when(~F.col("kind"), place)).alias("runs"), F.collect_set(F.when(F.col("kind"), place)).alias("words"))
+
+
+def ranges(col: pa.ListArray) -> list[list[tuple[int, int]]]:
+    """The (at, size) of each row."""
+    flat, end, out = col.flatten(), 0, []
+    pairs = list(zip(flat.field(0).to_numpy(False).tolist(), flat.field(1).to_numpy(False).tolist()))
+    for n in pc.fill_null(pc.list_value_length(col), 0).to_pylist():
+        out.append(pairs[end : end + n])
+        end += n
+    return out
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, within_sentences: bool = False) -> DataFrame:
     """All columns of docs with repeated passages taken out of text, and n_sentences, n_removed.
 
     Passages are runs of whole sentences of min_words words or more and, if within_sentences, any stretches of more than
-    PASSAGE words; n_removed counts the sentences that lost all or part of their words.
+    PASSAGE words; n_removed counts the sentences that lost all or part of their words. Words are compared in lower case,
+    whatever white space divides them.
 
     The first occurrence is that in the document of least id, there the earliest. Null texts stay null, with counts
     0. A null id comes after all others. Rows that share an id count as one document when first occurrences are
     sought, each with its own text. A text that repeats one sentence on and on keeps the first of them: later runs
-    overlap the first. Clashing columns n_sentences, n_removed are replaced.
+    overlap the first. Columns n_sentences, n_removed are replaced, others stay whatever their names; an empty table gives
+    no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    later = repeated_runs(docs, id_col, text_col, min_words, scratch, within_sentences)
-
     names = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed")]
-    rows = docs.select(*names, F.coalesce(F.col(id_col), F.lit(LAST_ID)).alias("_doc"))
-    rows = rows.join(later.select(F.col("doc").alias("_doc"), F.col("hashes").alias("_hashes"), F.col("passages").alias("_passages")), "_doc", "left").select(*names, "_hashes", "_passages")
-    at, out_names = names.index(text_col), [*names, "n_sentences", "n_removed"]
+    rows = docs.select(
+        F.coalesce(F.col(f"`{id_col}`"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(F.col(f"`{text_col}`")).alias("key"),
+        F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names if c != text_col]).alias("rest"),
+    )
+    cut = repeated_runs(rows.where("text is not null"), "text", min_words, scratch, within_sentences)
+    rows = rows.join(cut, ["doc", "key"], "left").select("text", "rest", "runs", "words")
+    rest = rows.schema["rest"]
 
     def clean(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 500):  # long texts are held a few at a time
                 part = batch.slice(a, 500)
-                got = [strip(t, h, min_words, within_sentences, p) for t, h, p in zip(*(part.column(c).to_pylist() for c in (at, len(names), len(names) + 1)))]
-                columns = part.columns[: len(names)]
-                columns[at] = pa.array([g[0] for g in got], pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())], out_names)
+                got = [strip(*x) for x in zip(part.column(0).to_pylist(), ranges(part.column(2)), ranges(part.column(3)))]
+                text, n, removed = zip(*got)
+                yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), part.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], ["text", "rest", "n_sentences", "n_removed"])
 
-    return rows.mapInArrow(clean, StructType([*[docs.schema[c] for c in names], *StructType.fromDDL("n_sentences long, n_removed long").fields]))
+    made = rows.mapInArrow(clean, StructType([rows.schema["text"], rest, *StructType.fromDDL("n_sentences long, n_removed long").fields]))
+    return made.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in names], "n_sentences", "n_removed")
