@@ -33,6 +33,11 @@ def scale_pixels(c: Column, by: float = 255.0) -> Column:
     return F.transform(c, lambda x: x.cast("double") / F.lit(by))
 
 
+def flatten_pixels(c: Column) -> Column:
+    """The rows of an image (array of arrays) end to end."""
+    return F.flatten(c)
+
+
 def squared_distance(a: list[Column], b: list[Column]) -> Column:
     """Sum of squared differences, added in the order of the columns."""
     out = (a[0] - b[0]) * (a[0] - b[0])

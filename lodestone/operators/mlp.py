@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import argmax
+from ..functions.sums import summed
 
 Layers = list[tuple[np.ndarray, np.ndarray]]
 
@@ -62,60 +63,75 @@ def _shaped(flat: np.ndarray, sizes: list[int]) -> Layers:
 @dataclass(frozen=True)
 class MLPModel:
     layers: Layers
-    losses: tuple[float, ...]
+    losses: tuple[float, ...]  # of each epoch
+    held_out_losses: tuple[float, ...] = ()
 
     def transform(self, df: DataFrame, vector_col: str) -> DataFrame:
-        """Adds probability (array), prediction (first of the most probable) and confidence."""
+        """Adds probability (array), prediction (first of the most probable) and confidence; all null for a null vector."""
         layers = self.layers
 
         @F.pandas_udf("array<double>")
         def run(v: pd.Series) -> pd.Series:
-            return pd.Series(list(forward(layers, np.stack(v.to_list()).astype(float))[-1])) if len(v) else pd.Series([], dtype=object)
+            out = pd.Series([None] * len(v), index=v.index, dtype=object)
+            known = v[v.notna()]
+            if len(known):
+                out[known.index] = list(forward(layers, np.stack(known.to_list()).astype(float))[-1])
+            return out
 
         out = df.withColumn("probability", run(F.col(vector_col)))
         return out.withColumn("prediction", argmax(F.col("probability"))).withColumn("confidence", F.array_max("probability"))
 
 
-def fit(df: DataFrame, vector_col: str, label_col: str, hidden: tuple[int, ...] = (128, 64), classes: int = 10, epochs: int = 3, batches: int = 8, rate: float = 0.001, seed: int = 42) -> MLPModel:
+def fit(df: DataFrame, vector_col: str, label_col: str, hidden: tuple[int, ...] = (128, 64), classes: int = 10, epochs: int = 3, batches: int = 8, rate: float = 0.001, seed: int = 42, batch_size: int | None = None, validation: float = 0.0) -> MLPModel:
     """Synchronous Adam: each step takes the rows of one hashed batch, sums their gradients where they lie and updates
     the weights, whose number is fixed by the layers, on the driver. Order of rows and partitions only moves rounding.
+
+    batch_size, if given, sets the number of batches. `validation` is the share of rows, by hash, that is left out of the
+    steps; the loss on them after each epoch is kept.
     """
     rows = df.where(F.col(vector_col).isNotNull() & F.col(label_col).isNotNull())
-    rows = rows.select(F.col(vector_col).alias("v"), F.col(label_col).cast("int").alias("y"), F.pmod(F.xxhash64(vector_col), F.lit(batches)).alias("b")).persist()
+    held = F.pmod(F.xxhash64(F.lit("held out"), vector_col), F.lit(10_000)) < validation * 10_000
+    rows = rows.select(F.col(vector_col).alias("v"), F.col(label_col).cast("int").alias("y"), held.alias("held"), F.xxhash64(vector_col).alias("h")).persist()
     dim = rows.select(F.size("v")).first()
     if dim is None:
         raise ValueError("no rows to learn from")
+    if batch_size:
+        batches = max(1, -(-rows.where("not held").count() // batch_size))
     sizes = [dim[0], *hidden, classes]
     flat = _flat(initial_layers(sizes, seed))
+
+    def totals(part: DataFrame, layers: Layers) -> np.ndarray:
+        """Sums over rows: the gradient, the loss, the number of rows."""
+
+        def partial(pdfs):
+            total = np.zeros(len(flat) + 2)
+            for pdf in pdfs:
+                if len(pdf):
+                    g, loss = gradient(layers, np.stack(pdf["v"].to_list()).astype(float), pdf["y"].to_numpy())
+                    total += np.concatenate([g, [loss, len(pdf)]])
+            yield pd.DataFrame({"at": np.arange(len(total)), "x": total})
+
+        return summed(part.select("v", "y").mapInPandas(partial, "at int, x double"), len(flat) + 2)
+
     m = s = np.zeros_like(flat)
-    losses, t = [], 0
+    losses, outside, t = [], [], 0
     for _ in range(epochs):
         loss = n = 0
         for k in range(batches):
-            layers = _shaped(flat, sizes)
-
-            def partial(pdfs, layers=layers):
-                total, loss, n = None, 0.0, 0
-                for pdf in pdfs:
-                    if len(pdf):
-                        g, part = gradient(layers, np.stack(pdf["v"].to_list()).astype(float), pdf["y"].to_numpy())
-                        total, loss, n = g if total is None else total + g, loss + part, n + len(pdf)
-                if n:
-                    yield pd.DataFrame({"g": [total.astype("<f8").tobytes()], "loss": [loss], "n": [n]})
-
-            got = rows.where(F.col("b") == k).select("v", "y").mapInPandas(partial, "g binary, loss double, n long").toLocalIterator()
-            total, count = np.zeros_like(flat), 0
-            for r in got:  # one task's sum at a time
-                total, loss, count = total + np.frombuffer(r["g"]), loss + r["loss"], count + r["n"]
+            total = totals(rows.where(~F.col("held") & (F.pmod("h", F.lit(batches)) == k)), _shaped(flat, sizes))
+            count = total[-1]
             if not count:
                 continue
-            n, t = n + count, t + 1
-            g = total / count
+            loss, n, t = loss + total[-2], n + count, t + 1
+            g = total[:-2] / count
             m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
             flat = flat - rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-7)
-        losses.append(loss / n)
+        losses.append(float(loss / n) if n else float("nan"))
+        if validation:
+            total = totals(rows.where("held"), _shaped(flat, sizes))
+            outside.append(float(total[-2] / total[-1]) if total[-1] else float("nan"))
     rows.unpersist()
-    return MLPModel(_shaped(flat, sizes), tuple(losses))
+    return MLPModel(_shaped(flat, sizes), tuple(losses), tuple(outside))
 
 
 def evaluate(predicted: DataFrame, label_col: str) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sums import summed
+
 
 @dataclass(frozen=True)
 class PCAModel:
@@ -26,35 +28,27 @@ class PCAModel:
 
 
 def covariance(df: DataFrame, vector_col: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """(mean, covariance with n - 1, n). Each task returns sums about the first vector it sees; d * d numbers each."""
+    """(mean, covariance with n - 1, n) in one job: tasks sum about one vector of the table, Spark adds up the sums by place."""
+    vectors = df.where(F.col(vector_col).isNotNull()).select(F.col(vector_col).alias("v"))
+    some = vectors.first()
+    if some is None:
+        raise ValueError("at least two rows are needed")
+    shift = np.array(some["v"], float)
+    d = len(shift)
 
     def partial(batches):
-        shift, n, s, ss = None, 0, None, None
+        total = np.zeros(1 + d + d * d)
         for pdf in batches:
             if len(pdf):
-                x = np.stack(pdf["v"].to_list()).astype(float)
-                shift = x[0] if shift is None else shift
-                x = x - shift
-                n, s, ss = n + len(x), (0 if s is None else s) + x.sum(0), (0 if ss is None else ss) + x.T @ x
-        if n:
-            yield pd.DataFrame({"n": [n], "shift": [shift.tolist()], "s": [s.tolist()], "ss": [ss.ravel().tolist()]})
+                x = np.stack(pdf["v"].to_list()).astype(float) - shift
+                total += np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
+        yield pd.DataFrame({"at": np.arange(len(total)), "x": total})
 
-    vectors = df.where(F.col(vector_col).isNotNull()).select(F.col(vector_col).alias("v"))
-    parts = vectors.mapInPandas(partial, "n long, shift array<double>, s array<double>, ss array<double>").toLocalIterator()
-    n, mean, m2 = 0, None, None
-    for p in parts:  # one at a time
-        k, s = p["n"], np.array(p["s"])
-        own = np.array(p["shift"]) + s / k
-        spread = np.array(p["ss"]).reshape(len(s), len(s)) - np.outer(s, s) / k
-        if mean is None:
-            n, mean, m2 = k, own, spread
-        else:
-            d = own - mean
-            m2 = m2 + spread + np.outer(d, d) * n * k / (n + k)
-            mean, n = mean + d * k / (n + k), n + k
+    total = summed(vectors.mapInPandas(partial, "at int, x double"), 1 + d + d * d)
+    n, s = int(total[0]), total[1 : d + 1]
     if n < 2:
         raise ValueError("at least two rows are needed")
-    return mean, m2 / (n - 1), n
+    return shift + s / n, (total[d + 1 :].reshape(d, d) - np.outer(s, s) / n) / (n - 1), n
 
 
 def fit(df: DataFrame, vector_col: str, k: int = 2) -> PCAModel:

@@ -221,6 +221,13 @@ def _(t):
     return scaled.select("vec_id", F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x), 8).alias("total"), F.size("p").cast("long").alias("n"))
 
 
+@query("flatten_embeddings", "SELECT vec_id, CAST(v[1] AS DOUBLE) AS first, CAST(v[64] AS DOUBLE) AS last, CAST(len(v) AS BIGINT) AS n FROM (SELECT vec_id, flatten(list_transform(range(8), lambda i: embedding[8 * i + 1 : 8 * i + 8])) AS v FROM embeddings)")
+def _(t):
+    image = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, F.lit(8)))
+    flat = t("embeddings").select("vec_id", scalars.flatten_pixels(image).alias("v"))
+    return flat.select("vec_id", F.col("v")[0].cast("double").alias("first"), F.col("v")[63].cast("double").alias("last"), F.size("v").cast("long").alias("n"))
+
+
 @query("row_positions_orders", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders")
 def _(t):
     rows = t("orders").select("o_orderkey")

@@ -342,6 +342,10 @@ def test_mlp_gradient_and_fit(spark):
     model = mlp.fit(df, "v", "y", hidden=(16,), classes=3, epochs=15, batches=4, rate=0.03)
     got = mlp.evaluate(model.transform(df, "v"), "y").first()
     assert got.n == 300 and got.accuracy > 0.9 and model.losses[-1] < model.losses[0]
+    more = mlp.fit(df, "v", "y", hidden=(16,), classes=3, epochs=2, batch_size=64, validation=0.1, rate=0.03)
+    assert len(more.held_out_losses) == 2 and all(0 < x < 2 for x in more.held_out_losses)
+    null = spark.createDataFrame([(None,), ([0.0] * 4,)], "v array<double>")
+    assert [r.prediction is None for r in model.transform(null, "v").collect()] == [True, False]
 
 
 def test_stream_and_batch_agree(spark, tmp_path):
