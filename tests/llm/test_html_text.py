@@ -76,3 +76,21 @@ def test_marked_blocks_of_an_article():
     share = "<div class=share><a href=a>Share this page with all of your friends and family</a></div><ul class=social><li>Tweet<li>Mail</ul>"
     page = f"<article><p>{LONG}</p><p class='social'>Social history of the town in those years.</p>{table}{share}<p>See <span class=search>the search</span> for it.</p><div class=ads>{LONG}</div></article>"
     assert main_text(page).split("\n\n") == [LONG.strip(), "Social history of the town in those years.", "Widgets made in the first year of the works", "A thousand and one of them", "See the search for it."]
+
+
+def test_hostile_pages_take_time_in_proportion():
+    import time
+
+    pages = ["<a b " * 200_000, "<div>" * 60_000 + "</p></x>" * 60_000, "<p title=\"a>one</p>" * 50_000, "<!--" * 200_000, "<script>" * 100_000, "'\"<p '\">" * 100_000]
+    for page in pages:
+        began = time.perf_counter()
+        main_text(page)
+        assert time.perf_counter() - began < 6
+
+
+def test_unclosed_quotes_and_the_articles_heading():
+    assert main_text('<article><p title="a>one of these</p><p>two of these</p></article>') == "one of these\n\ntwo of these"
+    text = "Words of the article that follow here and there, and more of them. " * 4
+    page = f'<article><div class="entry-header"><h1>Title</h1></div><p>{text}</p><div class="share-header">Share</div><p>{text}</p></article>'
+    assert main_text(page).startswith("Title\n\n") and "Share" not in main_text(page)
+    assert main_text('<p alt="x > y">kept</p><img alt="a > b">') == "kept"
