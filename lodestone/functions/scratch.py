@@ -7,20 +7,29 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .shipping import ship
+
+_local: dict[str, str] = {}  # temporary folders of local applications
+
 
 class Scratch:
     """Intermediate tables in the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Written tables cut lineage and survive lost executors. Where the setting is absent, as in local tests, a new
-    temporary folder takes its place.
+    Written tables cut lineage and survive lost executors. Where the setting is absent, a new temporary folder takes its
+    place in local mode, as in tests; on a cluster that would be another folder on each machine, so it is an error.
     """
 
     def __init__(self, spark: SparkSession):
+        ship(spark)  # whoever keeps tables sends code to the workers as well
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            base = tempfile.mkdtemp(prefix="spark-")
-            spark.conf.set("spark.checkpoint.dir", base)
+            app = spark.sparkContext.applicationId
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+            if app not in _local:
+                _local[app] = tempfile.mkdtemp(prefix="spark-")
+            base = _local[app]
         self.root = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
