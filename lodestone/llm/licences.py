@@ -1,16 +1,19 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs (lines) are described by word 1- to 3-grams that occur in licence templates. A multinomial logistic
-regression with an L1 penalty, so with few weights, tells families apart and from paragraphs of the corpus that hold
-no licence. Its probabilities are calibrated by a temperature and a threshold for "unknown" on held-out samples. A prediction
-counts only if a template of the predicted family is largely contained in the paragraph, or the paragraph in it.
+Paragraphs (lines, and the sentences of blocks of lines) are described by word 1- to 3-grams that occur in licence
+templates. Logistic regressions with an L1 penalty, so with few weights, tell for each family on its own whether a paragraph
+grants it; so a dual licence shows both. Their probabilities are calibrated by a temperature and a threshold for "unknown" on
+held-out samples and on whole templates that the calibrated fit has not seen. A prediction counts only if a template of the
+family is largely contained in the paragraph, or the paragraph in it.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -19,18 +22,23 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 UNKNOWN = "unknown"
+SENTENCE_END = re.compile(r"[.!?;](?=\s)")
+PART = 5  # distinct pairs of words from which a part of a template counts
 
 # Usual notices of each family and passages of the licences themselves, as their publishers word them.
 TEMPLATES = {
     "AGPL-3.0": (
         "Licensed under the GNU Affero General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
         "SPDX-License-Identifier: AGPL-3.0-or-later",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
         'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+        "Licensed under either of Apache License, Version 2.0 or MIT license at your option.",
+        "Apache License Version 2.0, January 2004",
         "SPDX-License-Identifier: Apache-2.0",
     ),
     "BSD": (
@@ -39,6 +47,7 @@ TEMPLATES = {
         "Licensed under the 2-clause BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         "SPDX-License-Identifier: BSD-3-Clause",
         "SPDX-License-Identifier: BSD-2-Clause",
     ),
@@ -65,11 +74,13 @@ TEMPLATES = {
     "GPL-2.0": (
         "This work is licensed under the GNU General Public License, version 2.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
         "SPDX-License-Identifier: GPL-2.0-only",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
     "ISC": (
@@ -80,6 +91,7 @@ TEMPLATES = {
     "LGPL-3.0": (
         "Licensed under the GNU Lesser General Public License, version 3.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
         "SPDX-License-Identifier: LGPL-3.0-or-later",
     ),
     "MIT": (
@@ -87,11 +99,14 @@ TEMPLATES = {
         "Licensed under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.',
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "Licensed under either of Apache License, Version 2.0 or MIT license at your option.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
         "SPDX-License-Identifier: MIT",
     ),
     "MPL-2.0": (
         "Licensed under the Mozilla Public License, version 2.0.",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+        "Mozilla Public License Version 2.0",
         "SPDX-License-Identifier: MPL-2.0",
     ),
     "Unlicense": (
@@ -119,15 +134,29 @@ def grams(ts: list[str], least: int = 1, most: int = 3) -> set[tuple[str, ...]]:
 
 @dataclass(frozen=True)
 class LicenceModel:
-    families: tuple[str, ...]  # last: UNKNOWN
+    families: tuple[str, ...]
     index: dict[tuple[str, ...], int]
     weights: np.ndarray  # grams x families
     bias: np.ndarray
     temperature: float
     threshold: float
-    templates: dict[str, tuple[frozenset, ...]]
+    templates: dict[str, tuple[frozenset, ...]]  # pairs of words
     agreement: float
 
+    @cached_property
+    def pairs(self) -> frozenset:
+        return frozenset().union(*(t for ts in self.templates.values() for t in ts))
+
+    @cached_property
+    def least_pairs(self) -> int:
+        """Fewer template pairs than this confirm no template, so a paragraph with fewer needs no score."""
+        least = min((len(t) for ts in self.templates.values() for t in ts), default=1)
+        return max(1, math.ceil(self.agreement * min(least, PART) - 1e-9))
+
+    def worth(self, ts: list[str]) -> bool:
+        known = self.pairs
+        return len({p for p in zip(ts, ts[1:]) if p in known}) >= self.least_pairs
+
     def found(self, ts: list[str]) -> list[int]:
         """Columns of the known grams among tokens."""
         known, index = self.index, self.index
@@ -142,34 +171,75 @@ class LicenceModel:
         return sorted(out)
 
     def probabilities(self, ts: list[str]) -> np.ndarray:
-        cols = self.found(ts)
-        z = (self.bias + self.weights[cols].sum(axis=0)) / self.temperature
-        z = np.exp(z - z.max())
-        return z / z.sum()
+        """One for each family; they need not add up to 1."""
+        z = (self.bias + self.weights[self.found(ts)].sum(axis=0)) / self.temperature
+        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
     def confirmed(self, family: str, ts: list[str]) -> float:
         """Largest share of pairs of words that a template has in the paragraph or, for a part of a template, the reverse.
 
-        Single words count where a template is too short for pairs. A part counts from six words on.
+        A part counts from five distinct pairs on.
         """
         own = grams(ts, 2, 2)
         best = 0.0
         for t in self.templates[family]:
             both = len(own & t)
-            best = max(best, both / len(t), both / len(own) if len(ts) >= 6 else 0.0)
+            best = max(best, both / len(t), both / len(own) if len(own) >= PART else 0.0)
         return best
 
-    def classify(self, paragraph: str) -> tuple[str, float, float]:
-        """(family or unknown, probability, agreement with the family's templates)."""
+    def families_of(self, paragraph: str) -> list[tuple[str, float, float]]:
+        """(family, probability, agreement) of every family above the threshold that a template confirms, likeliest first."""
         ts = tokens(paragraph)
-        if len(ts) < 2:
-            return UNKNOWN, 1.0, 0.0
+        if not self.worth(ts):
+            return []
         p = self.probabilities(ts)
-        k = int(p[:-1].argmax())
-        if p[k] < self.threshold or p[k] < p[-1]:
-            return UNKNOWN, float(p[-1]), 0.0
-        same = self.confirmed(self.families[k], ts)
-        return (self.families[k] if same >= self.agreement else UNKNOWN), float(p[k]), same
+        got = [(self.families[k], float(p[k]), self.confirmed(self.families[k], ts)) for k in np.flatnonzero(p >= self.threshold)]
+        return sorted((g for g in got if g[2] >= self.agreement), key=lambda g: (-g[1], g[0]))
+
+    def classify(self, paragraph: str) -> tuple[str, float, float]:
+        """(likeliest family, probability, agreement with its templates), or unknown."""
+        ts = tokens(paragraph)
+        best = next(iter(self.families_of(paragraph)), None)
+        return best or (UNKNOWN, float(1 - self.probabilities(ts).max()), 0.0)
+
+    def scan(self, text: str) -> tuple[int, list[tuple[int, str, float, float]]]:
+        """(lines that are not blank, hits (line, family, probability, agreement)).
+
+        Lines are judged whole, then the sentences of each block of lines between blank ones, as they run on over line
+        ends. A family shows once in a block, by its first line or else the line on which its sentence begins.
+        """
+        count, hits, block = 0, [], []
+        for line in [*text.split("\n"), ""]:
+            if line.strip():
+                block.append(line)
+                continue
+            if block:
+                hits += self._block(block, count)
+                count += len(block)
+                block = []
+        return count, hits
+
+    def _block(self, lines: list[str], first: int) -> list[tuple[int, str, float, float]]:
+        whole = "\n".join(lines)
+        if not self.worth(tokens(whole)):
+            return []
+        hits, seen = [], set()
+
+        def keep(at: int, part: str) -> None:
+            for family, p, same in self.families_of(part):
+                if family not in seen:
+                    seen.add(family)
+                    hits.append((first + at, family, p, same))
+
+        for k, line in enumerate(lines):
+            keep(k, line)
+        at = 0
+        for end in [*(m.end() for m in SENTENCE_END.finditer(whole)), len(whole)]:
+            if (at or end < len(whole) or len(lines) > 1) and whole[at:end].strip():
+                begin = at + len(whole[at:end]) - len(whole[at:end].lstrip())
+                keep(whole.count("\n", 0, begin), whole[at:end])
+            at = end
+        return sorted(hits)
 
 
 def _varied(rng: random.Random, text: str, filler: list[str]) -> str:
@@ -187,52 +257,76 @@ def _varied(rng: random.Random, text: str, filler: list[str]) -> str:
     return " ".join(ws)
 
 
-def fit(unknown: list[str], copies: int = 40, penalty: float = 1e-4, steps: int = 300, agreement: float = 0.75, seed: int = 7) -> LicenceModel:
-    """Fits on variations of the templates against `unknown` paragraphs and NEAR_MISSES; a quarter is held out to calibrate."""
-    rng = random.Random(seed)
-    families = (*sorted(TEMPLATES), UNKNOWN)
-    index: dict[tuple[str, ...], int] = {}
-    for f in families[:-1]:
-        for t in TEMPLATES[f]:
-            for g in sorted(grams(tokens(t))):
-                index.setdefault(g, len(index))
-    rows = [(_varied(rng, t, unknown) if c else t, k) for k, f in enumerate(families[:-1]) for t in TEMPLATES[f] for c in range(copies)]
-    rows += [(t, len(families) - 1) for t in [*unknown, *NEAR_MISSES * copies]]
-    rows += [(" ".join(rng.choice(unknown or ["a b"]).split()[: rng.randrange(1, 60)]), len(families) - 1) for _ in range(len(unknown))]
-    rng.shuffle(rows)
-    held = len(rows) // 4
-    shell = LicenceModel(families, index, np.zeros((len(index), len(families))), np.zeros(len(families)), 1.0, 0.5, {}, agreement)
-    x = np.zeros((len(rows), len(index)), np.float32)
-    for r, (t, _) in enumerate(rows):
+def _design(texts: list[str], shell: LicenceModel) -> np.ndarray:
+    x = np.zeros((len(texts), len(shell.index)), np.float32)
+    for r, t in enumerate(texts):
         x[r, shell.found(tokens(t))] = 1
-    y = np.eye(len(families), dtype=np.float32)[[k for _, k in rows]]
-    xt, yt = x[held:], y[held:]
+    return x
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
-    def soft(z):
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
 
+def _descend(x: np.ndarray, y: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of a logistic regression a column of y with an L1 penalty, by accelerated proximal steps."""
     v = np.ones(x.shape[1], np.float32)
     for _ in range(20):
-        v = xt.T @ (xt @ v)
+        v = x.T @ (x @ v)
         v /= np.linalg.norm(v)
-    step = 2 * len(xt) / (float(np.linalg.norm(xt @ v) ** 2) + len(xt))
-    w = prev = np.zeros((x.shape[1], len(families)), np.float32)
-    b = np.zeros(len(families), np.float32)
+    step = 4 * len(x) / (float(np.linalg.norm(x @ v) ** 2) + len(x))
+    w = prev = np.zeros((x.shape[1], y.shape[1]), np.float32)
+    b = np.zeros(y.shape[1], np.float32)
     t = 1.0
     for _ in range(steps):
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         u = w + np.float32((t - 1) / t2) * (w - prev)
-        g = soft(xt @ u + b) - yt
-        new = u - step * (xt.T @ g) / len(xt)
+        g = _sigmoid(x @ u + b) - y
+        new = u - step * (x.T @ g) / len(x)
         new = np.sign(new) * np.maximum(0, np.abs(new) - np.float32(step * penalty))
         b = b - step * g.mean(axis=0)
         w, prev, t = new.astype(np.float32), w, t2
-    z, truth = x[:held] @ w + b, y[:held].argmax(axis=1)
-    loss = lambda temp: -np.log(soft(z / temp)[np.arange(held), truth] + 1e-12).mean()
-    temperature = float(min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0), key=loss)) if held else 1.0
-    false = np.sort(soft(z / temperature)[truth == len(families) - 1, :-1].max(axis=1)) if held else np.array([0.5])
+    return w, b
+
+
+def fit(unknown: list[str], copies: int = 40, penalty: float = 1e-4, steps: int = 300, agreement: float = 0.75, seed: int = 7) -> LicenceModel:
+    """Fits on variations of the templates against `unknown` paragraphs and NEAR_MISSES.
+
+    A first fit leaves out a quarter of the rows and a whole template of each family with four and more; on these the
+    temperature and the threshold are set. The fit that is kept has all rows.
+    """
+    rng = random.Random(seed)
+    families = tuple(sorted(TEMPLATES))
+    index: dict[tuple[str, ...], int] = {}
+    owners: dict[str, set[int]] = {}
+    for k, f in enumerate(families):
+        for t in TEMPLATES[f]:
+            owners.setdefault(t, set()).add(k)
+            for g in sorted(grams(tokens(t))):
+                index.setdefault(g, len(index))
+    unseen = {TEMPLATES[f][1] for f in families if len(TEMPLATES[f]) >= 4}
+    rows = [(_varied(rng, t, unknown) if c else t, ks, t in unseen) for t, ks in owners.items() for c in range(copies)]
+    short = {f: TEMPLATES[f][-1].rpartition(": ")[2] for f in families}
+    for _ in range(2 * copies):  # a choice of two
+        a, b = rng.sample(range(len(families)), 2)
+        for text in (f"SPDX-License-Identifier: {short[families[a]]} OR {short[families[b]]}", f"{TEMPLATES[families[a]][0]} {TEMPLATES[families[b]][0]}"):
+            rows.append((text, {a, b}, False))
+    rows += [(t, set(), False) for t in [*unknown, *NEAR_MISSES * copies]]
+    rows += [(" ".join(rng.choice(unknown or ["a b"]).split()[: rng.randrange(1, 60)]), set(), False) for _ in range(len(unknown))]
+    rng.shuffle(rows)
+    shell = LicenceModel(families, index, np.zeros((len(index), len(families))), np.zeros(len(families)), 1.0, 0.5, {}, agreement)
+    x = _design([t for t, _, _ in rows], shell)
+    y = np.zeros((len(rows), len(families)), np.float32)
+    for r, (_, ks, _) in enumerate(rows):
+        y[r, list(ks)] = 1
+    held = np.array([new or r < len(rows) // 4 for r, (_, _, new) in enumerate(rows)])
+    w, b = _descend(x[~held], y[~held], penalty, steps)
+    z, truth = x[held] @ w + b, y[held]
+    loss = lambda temp: -np.log(np.abs(1 - truth - _sigmoid(z / temp)) + 1e-12).mean()
+    temperature = float(min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0), key=loss))
+    false = np.sort(_sigmoid(z / temperature)[truth.sum(axis=1) == 0].max(axis=1))
     threshold = float(min(0.95, max(0.5, false[int(0.995 * (len(false) - 1))] if len(false) else 0.5)))
+    w, b = _descend(x, y, penalty, steps)
     pairs = {f: tuple(frozenset(grams(tokens(t), 2, 2)) for t in ts) for f, ts in TEMPLATES.items()}
     return LicenceModel(families, index, w.astype(float), b.astype(float), temperature, threshold, pairs, agreement)
 
@@ -248,28 +342,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_d
 
 
 def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_paragraphs, licences (families found, ascending), licence (the most probable), and
-    hits: (paragraph, family, probability, agreement) of each paragraph with a licence.
+    """One row a document: doc_id, n_paragraphs, licences (families found, ascending), licence (the most probable; of equal
+    ones the last by name), and hits: (paragraph, family, probability, agreement) by paragraph and family.
 
-    Every paragraph of the whole text is classified. Null and empty texts have none; extra columns are ignored.
+    A paragraph is a line that is not blank; licences that run over line ends count where they begin. The whole text is
+    read, however long; time is in proportion to it. Null and empty texts have no paragraph. Repeated rows come out as
+    often as they occur, an empty table gives an empty one, extra columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size follows the templates
     hit = "array<struct<paragraph: int, family: string, probability: double, agreement: double>>"
 
     @F.pandas_udf(f"n_paragraphs long, hits {hit}")
     def run(texts: pd.Series) -> pd.DataFrame:
-        m, rows, seen = shared.value, [], {}
+        rows = []
         for t in texts:
-            ps = [p for p in (t or "").split("\n") if p.strip()]
-            hits = []
-            for k, p in enumerate(ps):
-                if (got := seen.get(p)) is None:
-                    got = m.classify(p)
-                    if len(p) < 500 and len(seen) < 20_000:
-                        seen[p] = got
-                if got[0] != UNKNOWN:
-                    hits.append({"paragraph": k, "family": got[0], "probability": got[1], "agreement": got[2]})
-            rows.append((len(ps), hits))
+            n, hits = shared.value.scan(t or "")
+            rows.append((n, [dict(zip(("paragraph", "family", "probability", "agreement"), h)) for h in hits]))
         return pd.DataFrame(rows, columns=["n_paragraphs", "hits"])
 
     out = docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("r")).select("doc_id", "r.*")

@@ -52,3 +52,28 @@ def test_edges(spark, model):
     assert got[5].licence == "CC-BY-NC-4.0"
     assert licences.scan(df.limit(0), model).count() == 0
     assert licences.train(df.limit(0)).classify("Released under the MIT License.")[0] == "MIT"
+
+
+def test_several_licences(model):
+    for text in ("Dual licensed under the MIT License and the Apache License, Version 2.0.", "SPDX-License-Identifier: MIT OR Apache-2.0", "Licensed under either of Apache-2.0 or MIT at your option."):
+        assert sorted(f for f, _, _ in model.families_of(text)) == ["Apache-2.0", "MIT"]
+    one_line = "Some words first. Released under the MIT License. " + "Other words follow here. " * 200 + "Licensed under CC BY-NC 4.0."
+    assert {h[1] for h in model.scan(one_line)[1]} == {"MIT", "CC-BY-NC-4.0"}
+
+
+def test_titles_bodies_and_wrapped_lines(model):
+    assert model.classify("GNU GENERAL PUBLIC LICENSE\tVersion 2, June 1991")[0] == "GPL-2.0"
+    words = licences.TEMPLATES["MIT"][2].split()
+    wrapped = "Copyright 2020 somebody\n\n" + "\n".join(" ".join(words[k : k + 4]) for k in range(0, len(words), 4)) + "\n\nmore"
+    n, hits = model.scan(wrapped)
+    assert n == 2 + -(-len(words) // 4)
+    assert [(h[0], h[1]) for h in hits] == [(1, "MIT")]
+
+
+def test_screen_loses_nothing(docs, model):
+    """What is passed over without a score could not have been confirmed."""
+    lines = sorted({p for r in docs.limit(300).collect() for p in (r.text or "").split("\n")} | {"mit " * 9, "the mit license the mit license"})
+    for p in lines:
+        ts = licences.tokens(p)
+        likely = [f for f, x in zip(model.families, model.probabilities(ts)) if x >= model.threshold]
+        assert sorted(f for f in likely if model.confirmed(f, ts) >= model.agreement) == sorted(f for f, _, _ in model.families_of(p))
