@@ -143,11 +143,26 @@ def crosstab(df: DataFrame, rows: str, columns: str, levels: list[str]) -> DataF
 
 
 def group_quartiles(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(level, n, min, p25, p50, p75, max): what a violin or box chart draws."""
-    v = F.col(value).cast("double")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(F.col(group).alias("level")).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"))
-    return out.select("level", "n", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+    """(level, n, min, p25, p50, p75, max): what a violin or box chart draws; a missing level is a level, missing values are skipped.
+
+    Exact, with linear interpolation, whatever a group's size: counts of distinct values are range-partitioned by group and
+    value, and only totals of (group, partition) say where a rank lies. No task holds all values of a group.
+    """
+    scratch = Scratch(df.sparkSession)
+    counts = df.where(~missing(df, value)).groupBy(F.col(f"`{group}`").alias("level"), F.col(f"`{value}`").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ranged = scratch.table(counts.repartitionByRange("level", "v").withColumn("part", F.spark_partition_id()), "ranged")
+    # a group lies in adjoining partitions, so there are no more totals than groups and partitions together
+    before = Window.partitionBy("level").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("level", "part").agg(F.sum("n").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
+    parts = parts.select("level", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"), *[f(c).over(Window.partitionBy("level")).alias(c) for f, c in ((F.sum, "m"), (F.min, "low"), (F.max, "high"))])
+    here = Window.partitionBy("level", "part").orderBy("v")
+    placed = ranged.withColumn("upto", F.sum("n").over(here)).join(parts.withColumnRenamed("level", "l"), F.col("level").eqNullSafe(F.col("l")) & (ranged["part"] == parts["part"]))
+    placed = placed.select("level", "v", "m", "low", "high", (F.col("start") + F.col("upto") - F.col("n")).alias("first"), (F.col("start") + F.col("upto") - 1).alias("last"))
+    q = {p: F.lit(p / 100) * (F.col("m") - 1) for p in (25, 50, 75)}
+    at = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank <= F.col("last")), F.col("v")))
+    got = placed.groupBy("level").agg(F.first("m").alias("n"), F.first("low").alias("min"), F.first("high").alias("max"), *[x for p, r in q.items() for x in (at(F.floor(r)).alias(f"a{p}"), at(F.ceil(r)).alias(f"b{p}"))])
+    between = [(F.col(f"a{p}") + (F.col(f"b{p}") - F.col(f"a{p}")) * (F.lit(p / 100) * (F.col("n") - 1) - F.floor(F.lit(p / 100) * (F.col("n") - 1)))).alias(f"p{p}") for p in q]
+    return got.select("level", "n", "min", *between, "max")
 
 
 def head(df: DataFrame, id_col: str, n: int = 5) -> DataFrame:

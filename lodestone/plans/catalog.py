@@ -462,11 +462,11 @@ def _(t):
 # ---- principal components
 
 
-@query("pca_covariance_embeddings", " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(covar_samp(CAST(embedding[{i + 1}] AS DOUBLE), CAST(embedding[{j + 1}] AS DOUBLE)), 8) AS cov FROM embeddings" for i in range(4) for j in range(4)))
+@query("pca_covariance_embeddings", "WITH e AS (SELECT vec_id, unnest(range(64)) AS k, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) SELECT CAST(a.k AS INTEGER) AS i, CAST(b.k AS INTEGER) AS j, round(covar_samp(a.x, b.x), 8) AS cov FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2")
 def _(t):
     v = t("embeddings")
     _, cov, _ = pca.covariance(v, "embedding")
-    return v.sparkSession.createDataFrame([(i, j, round(float(cov[i, j]), 8)) for i in range(4) for j in range(4)], "i int, j int, cov double")
+    return v.sparkSession.createDataFrame([(i, j, round(float(x), 8)) for i, row in enumerate(cov) for j, x in enumerate(row)], "i int, j int, cov double")
 
 
 @query("pca_total_variance", "SELECT round(sum(v), 8) AS total FROM (SELECT var_samp(x) AS v FROM (SELECT unnest(range(64)) AS k, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY k)")
