@@ -353,7 +353,7 @@ def _(t):
 @query("kmeans_restarts")
 def _(t):
     rows = t("customer").select("c_custkey", "c_acctbal", "c_nationkey")
-    model = kmeans.kmeans(rows, ["c_acctbal", "c_nationkey"], 2, n_init=3, id_col="c_custkey")
+    model = kmeans.kmeans(rows, ["c_acctbal", "c_nationkey"], 2, n_init=10, id_col="c_custkey")
     return charts.scatter_series(model.transform(rows), "c_acctbal", "c_nationkey")
 
 
