@@ -34,9 +34,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; those of which nothing is left go.
 
+    Passages are runs of whole sentences of 25 words or more, and stretches of more than 50 words wherever they begin and end.
     Null and blank texts that had nothing removed stay. Of rows that share an id and a text all stay; a null id is last.
     """
-    out = substrings.dedup(docs).where("n_removed = 0 or text rlike '\\\\S'")
+    out = substrings.dedup(docs, within_sentences=True).where("n_removed = 0 or text rlike '\\\\S'")
     chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
     return out.select(*[chars if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
