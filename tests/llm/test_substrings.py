@@ -35,6 +35,40 @@ def brute(rows, m):
     return out
 
 
+def brute_with_words(rows, m, span):
+    """What is left of each text, without white space, if every later occurrence of a run of sentences, as brute() has
+    them, and of a stretch of span words goes."""
+    first, runs, spans, places = {}, {}, {}, {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        ws = [s.lower().split() for s, _ in substrings.sentences(t or "")]
+        at = [0]
+        for w in ws:
+            at.append(at[-1] + len(w))
+        places[i], flat = at, sum(ws, [])
+        for a in range(len(ws)):
+            for b in range(a, len(ws)):
+                n = at[b + 1] - at[a]
+                if n >= m and (ws[a] and n - len(ws[b]) < m or ws[b] and n - len(ws[a]) < m):
+                    key = " ".join(flat[at[a] : at[b + 1]])
+                    runs.setdefault(i, set()).update(() if first.setdefault(key, (i, a, b)) == (i, a, b) else range(at[a], at[b + 1]))
+                if n - len(ws[a]) >= m:
+                    break
+        for k in range(len(flat) - span + 1):
+            if spans.setdefault(" ".join(flat[k : k + span]), (i, k)) != (i, k):
+                runs.setdefault(i, set()).update(range(k, k + span))
+    return {i: "".join(w for k, w in enumerate(w for s, _ in substrings.sentences(t or "") for w in s.split()) if k not in runs.get(i, ())) for i, t in rows}
+
+
+def test_words_and_sentences_match_brute_force(spark):
+    random.seed(11)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(3))
+    bank = [" ".join(word() for _ in range(random.choice([30, 51, 52, 70, 120]))) for _ in range(8)]
+    piece = lambda: random.choice([lambda: random.choice(bank), lambda: " ".join(word() + random.choice(["", "", ".", "\n"]) for _ in range(random.randrange(40)))])()
+    rows = [(i, " ".join(piece() for _ in range(random.randrange(6)))) for i in range(60)]
+    got = {r.doc_id: "".join(r.text.split()) for r in substrings.dedup(frame(spark, rows).repartition(5), within_sentences=True).collect()}
+    assert got == brute_with_words(rows, 25, 51)
+
+
 def test_matches_brute_force(spark):
     random.seed(9)
     bank = [" ".join(random.choice("abcde") for _ in range(random.randrange(1, 9))) + random.choice([". ", "!\n", "\n\n", "? "]) for _ in range(25)]
