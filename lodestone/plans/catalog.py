@@ -350,7 +350,36 @@ def _(t):
     return rounded(charts.position_series(rows, "event_id", "value", model), "centre")
 
 
-@query("kmeans_restarts")
+def lloyd_rounds_sql(rounds: int) -> str:
+    """k-means of p (id, x, y) from the centres in start (g, c, x, y), each g on its own, until none moves or rounds are over.
+
+    last has the centres at the end, near (g, id, c, d2) the nearest one of each row."""
+    side = "SELECT g, id, arg_min(c, d2) AS c, min(d2) AS d2, any_value(px) AS px, any_value(py) AS py FROM (SELECT g, c, id, p.x AS px, p.y AS py, (p.x - k.x) * (p.x - k.x) + (p.y - k.y) * (p.y - k.y) AS d2 FROM {0} k CROSS JOIN p) GROUP BY g, id"
+    return f"""
+lloyd(g, n, c, x, y, moved) AS (
+  SELECT g, 0, c, x, y, CAST('inf' AS DOUBLE) FROM start
+  UNION ALL
+  SELECT g, n + 1, c, x, y, max(greatest(abs(x - ox), abs(y - oy))) OVER (PARTITION BY g) FROM (
+    SELECT o.g, o.n, o.c, coalesce(m.x, o.x) AS x, coalesce(m.y, o.y) AS y, o.x AS ox, o.y AS oy
+    FROM lloyd o LEFT JOIN (SELECT g, c, avg(px) AS x, avg(py) AS y FROM ({side.format("lloyd")}) GROUP BY g, c) m ON m.g = o.g AND m.c = o.c
+    WHERE o.moved > 1e-9 AND o.n < {rounds})),
+last AS (SELECT g, c, x, y FROM lloyd QUALIFY n = max(n) OVER (PARTITION BY g)),
+near AS ({side.format("last")})"""
+
+
+def spread_sql(ks) -> str:
+    """The starts of k-means at even quantiles of x and the mean of y."""
+    return "start AS (" + " UNION ALL ".join(f"SELECT {k} AS g, {i} AS c, quantile_cont(x, {(i + 0.5) / k!r}) AS x, avg(y) AS y FROM p" for k in ks for i in range(k)) + ")"
+
+
+RESTARTS = f"""WITH RECURSIVE p AS (SELECT c_custkey AS id, CAST(c_acctbal AS DOUBLE) AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer),
+start AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY md5(g || ':' || id), id) AS c, x, y FROM p CROSS JOIN (SELECT unnest(range(42, 52)) AS g) QUALIFY c <= 2), {lloyd_rounds_sql(300)},
+best AS (SELECT g FROM near GROUP BY g ORDER BY round(sum(d2), 3), g LIMIT 1),
+ranked AS (SELECT c, CAST(row_number() OVER (ORDER BY x, y) - 1 AS INTEGER) AS cluster FROM last JOIN best USING (g))
+SELECT px AS x, CAST(py AS INTEGER) AS y, cluster FROM near JOIN best USING (g) JOIN ranked USING (c)"""
+
+
+@query("kmeans_restarts", RESTARTS)
 def _(t):
     rows = t("customer").select("c_custkey", "c_acctbal", "c_nationkey")
     model = kmeans.kmeans(rows, ["c_acctbal", "c_nationkey"], 2, n_init=10, id_col="c_custkey")
@@ -362,9 +391,13 @@ def _(t):
     return rounded(kmeans.elbow(t("part"), ["p_retailprice"], range(1, 2)), "sse", to=2)
 
 
-@query("elbow_sse")
+PARTS = "p AS (SELECT p_partkey AS id, CAST(p_retailprice AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y FROM part)"
+ELBOW = f"WITH RECURSIVE {PARTS}, {spread_sql(range(1, 6))}, {lloyd_rounds_sql(50)} SELECT CAST(g AS INTEGER) AS k, round(sum(d2), 2) AS sse FROM near GROUP BY g"
+
+
+@query("elbow_sse", ELBOW)
 def _(t):
-    return kmeans.elbow(t("part"), ["p_retailprice", "p_size"], max_iter=50)
+    return rounded(kmeans.elbow(t("part"), ["p_retailprice", "p_size"], max_iter=50), "sse", to=2)
 
 
 DBSCAN = """
@@ -475,17 +508,40 @@ def _(t):
     return v.sparkSession.createDataFrame([(round(pca.fit(v, "embedding").total_variance, 8),)], "total double")
 
 
-@query("pca_scores")
-def _(t):
+def scores_sql(d: int = 64, doublings: int = 24) -> str:
+    """s (vec_id, pc1, pc2): the covariance matrix, its power by doubling, whose columns tend to the leading component; the same again without that."""
+    steps = ["e AS MATERIALIZED (SELECT vec_id, k, x - avg(x) OVER (PARTITION BY k) AS x FROM (SELECT vec_id, unnest(range(%d)) AS k, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings))" % d,
+             "a0 AS MATERIALIZED (SELECT a.k AS i, b.k AS j, sum(a.x * b.x) AS w FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2)"]
+    for s, name in ((0, "a"), (1, "b")):
+        for k in range(doublings):
+            steps.append(f"{name}{k + 1} AS MATERIALIZED (SELECT i, j, w / sqrt(sum(w * w) OVER ()) AS w FROM (SELECT p.i, q.j, sum(p.w * q.w) AS w FROM {name}{k} p JOIN {name}{k} q ON p.j = q.i GROUP BY 1, 2))")
+        # the column with the largest entry on the diagonal, its largest loading positive, of length 1
+        steps.append(f"v{s} AS MATERIALIZED (SELECT i, w / sqrt(sum(w * w) OVER ()) * sign(arg_max(w, abs(w)) OVER ()) AS w FROM {name}{doublings} WHERE j = (SELECT arg_max(i, w) FROM {name}{doublings} WHERE i = j))")
+        if not s:
+            steps.append("b0 AS MATERIALIZED (SELECT a0.i, a0.j, a0.w - l * x.w * y.w AS w FROM a0 JOIN v0 x ON x.i = a0.i JOIN v0 y ON y.i = a0.j CROSS JOIN (SELECT sum(a0.w * x.w * y.w) AS l FROM a0 JOIN v0 x ON x.i = a0.i JOIN v0 y ON y.i = a0.j))")
+    return ", ".join(steps) + ", s AS MATERIALIZED (SELECT vec_id, sum(x * v0.w) AS pc1, sum(x * v1.w) AS pc2 FROM e JOIN v0 ON v0.i = k JOIN v1 ON v1.i = k GROUP BY 1)"
+
+
+SCORES = f"WITH {scores_sql()} SELECT vec_id, round(pc1, 6) AS pc1, round(pc2, 6) AS pc2 FROM s"
+PCA_KMEANS = f"""WITH RECURSIVE {scores_sql()}, p AS MATERIALIZED (SELECT vec_id AS id, pc1 AS x, pc2 AS y FROM s), {spread_sql([8])}, {lloyd_rounds_sql(50)},
+ranked AS (SELECT c, CAST(row_number() OVER (ORDER BY x, y) - 1 AS INTEGER) AS cluster FROM last)
+SELECT id AS vec_id, round(px, 6) AS pc1, round(py, 6) AS pc2, cluster FROM near JOIN ranked USING (c)"""
+
+
+def leading_scores(t) -> DataFrame:
     v = t("embeddings").select("vec_id", "embedding")
     return pca.fit(v, "embedding").transform(v, "embedding").select("vec_id", F.col("scores")[0].alias("pc1"), F.col("scores")[1].alias("pc2"))
 
 
-@query("pca_kmeans_clusters")
+@query("pca_scores", SCORES)
 def _(t):
-    v = t("embeddings").select("vec_id", "embedding")
-    scores = pca.fit(v, "embedding").transform(v, "embedding").select("vec_id", F.col("scores")[0].alias("pc1"), F.col("scores")[1].alias("pc2"))
-    return kmeans.kmeans(scores, ["pc1", "pc2"], 8, max_iter=50).transform(scores)
+    return rounded(leading_scores(t), "pc1", "pc2", to=6)
+
+
+@query("pca_kmeans_clusters", PCA_KMEANS)
+def _(t):
+    scores = leading_scores(t)
+    return rounded(kmeans.kmeans(scores, ["pc1", "pc2"], 8, max_iter=50).transform(scores), "pc1", "pc2", to=6)
 
 
 # ---- sentiment
