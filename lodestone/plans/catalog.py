@@ -6,6 +6,7 @@ them by the same rule (null where event_id is a multiple of 13).
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -583,14 +584,45 @@ def _(t):
     return sentiment.sample(t("documents"), 200).select("doc_id")
 
 
-@query("sentiment_rules")
+NEGATED = "replace({0}, '''', '') IN (" + ", ".join(f"'{w}'" for w in sorted(sentiment.NEGATIONS)) + ") OR {0} LIKE '%n''t'"
+PUSH_SQL = "boost(token, push) AS (VALUES " + ", ".join(f"('{w}', {v})" for w, v in sentiment.BOOSTERS.items()) + ")"
+
+
+def rules_sql() -> str:
+    """r (doc_id, text, neg, neu, pos, compound): words with their places, the three before each, and sums by text."""
+    space = "[\\s\\x0B\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+    marks = "'" + string.punctuation.replace("'", "''") + "'"
+    steps = [
+        LEXICON_SQL, PUSH_SQL, "d AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '\\S'))",
+        f"w0 AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '{space}'), lambda x: x <> '')) AS w, generate_subscripts(list_filter(string_split_regex(text, '{space}'), lambda x: x <> ''), 1) AS place FROM d)",
+        f"w1 AS (SELECT doc_id, place, CASE WHEN length(trim(w, {marks})) > 2 THEN trim(w, {marks}) ELSE w END AS w FROM w0 WHERE length(trim(w, {marks})) > 1 OR lower(w) IN (SELECT token FROM lex))",
+        "w2 AS (SELECT doc_id, place, lower(w) AS low, w = upper(w) AND w <> lower(w) AS up FROM w1)",
+        "w3 AS (SELECT doc_id, place, low, up AND bool_or(up) OVER doc AND NOT bool_and(up) OVER doc AS loud, min(CASE WHEN low = 'but' THEN place END) OVER doc AS but, CASE WHEN push IS NULL THEN coalesce(valence, 0) ELSE 0 END AS v0, valence IS NULL AS open, coalesce(push, 0) AS push FROM w2 LEFT JOIN lex ON low = lex.token LEFT JOIN boost ON low = boost.token WINDOW doc AS (PARTITION BY doc_id))",
+        "w4 AS (SELECT *, " + ", ".join(f"coalesce(lag(open, {k}) OVER doc, FALSE) AS open{k}, lag(push, {k}) OVER doc AS push{k}, lag(loud, {k}) OVER doc AS loud{k}, coalesce(lag(low, {k}) OVER doc, '') AS low{k}" for k in (1, 2, 3)) + f", v0 + CASE WHEN loud THEN sign(v0) * {sentiment.CAPS} ELSE 0 END AS v FROM w3 WINDOW doc AS (PARTITION BY doc_id ORDER BY place))",
+    ]
+    v = "v"
+    for k, fade in enumerate(sentiment.FADE, 1):
+        pushed = f"{v} + CASE WHEN open{k} AND push{k} <> 0 THEN {fade} * sign(v0) * ({sentiment.BOOST} * push{k} + CASE WHEN loud{k} THEN {sentiment.CAPS} ELSE 0 END) ELSE 0 END"
+        steps.append(f"x{k} AS (SELECT * REPLACE (({pushed}) * CASE WHEN open{k} AND ({NEGATED.format(f'low{k}')}) THEN {sentiment.NEGATE} ELSE 1 END AS v) FROM {'w4' if k == 1 else f'x{k - 1}'})")
+    steps += [
+        f"y AS (SELECT doc_id, place, CASE WHEN v0 = 0 THEN 0 ELSE v END * CASE WHEN place < but THEN {sentiment.BEFORE_BUT} WHEN place > but THEN {sentiment.AFTER_BUT} ELSE 1 END AS s FROM x3)",
+        "z AS (SELECT doc_id, fsum(s ORDER BY place) AS total, coalesce(sum(s + 1) FILTER (s > 0), 0) AS p, coalesce(sum(1 - s) FILTER (s < 0), 0) AS n, count(*) FILTER (s = 0) AS u FROM y GROUP BY 1)",
+        f"m AS (SELECT doc_id, text, coalesce(total, 0) AS total, coalesce(p, 0) AS p, coalesce(n, 0) AS n, coalesce(u, 0) AS u, least(length(text) - length(replace(text, '!', '')), 4) * {sentiment.EXCLAIM} + CASE WHEN length(text) - length(replace(text, '?', '')) > 3 THEN {sentiment.MANY_QUESTIONS} WHEN length(text) - length(replace(text, '?', '')) > 1 THEN (length(text) - length(replace(text, '?', ''))) * {sentiment.QUESTION} ELSE 0 END AS marks FROM d LEFT JOIN z USING (doc_id))",
+        "q AS (SELECT doc_id, text, total + sign(total) * marks AS total, p + CASE WHEN p > n THEN marks ELSE 0 END AS p, n + CASE WHEN p < n THEN marks ELSE 0 END AS n, u FROM m)",
+        f"r AS (SELECT doc_id, text, coalesce(n / nullif(p + n + u, 0), 0) AS neg, coalesce(u / nullif(p + n + u, 0), 0) AS neu, coalesce(p / nullif(p + n + u, 0), 0) AS pos, CASE WHEN p + n + u = 0 THEN 0 ELSE total / sqrt(total * total + {sentiment.NORMALISER}) END AS compound FROM q)",
+        f"l AS (SELECT *, CASE WHEN compound >= {sentiment.POSITIVE} THEN 'positive' WHEN compound <= {sentiment.NEGATIVE} THEN 'negative' ELSE 'neutral' END AS label FROM r)",
+    ]
+    return "WITH " + ", ".join(steps)
+
+
+@query("sentiment_rules", rules_sql() + " SELECT doc_id, round(neg, 6) AS neg, round(neu, 6) AS neu, round(pos, 6) AS pos, round(compound, 6) AS compound, label FROM l")
 def _(t):
-    return sentiment.analyse(t("documents"), lexicon(t)).select("doc_id", "scores.*", "label")
+    return rounded(sentiment.analyse(t("documents"), lexicon(t)).select("doc_id", "scores.*", "label"), "neg", "neu", "pos", "compound", to=6)
 
 
-@query("sentiment_examples")
+@query("sentiment_examples", rules_sql() + " SELECT doc_id, substr(regexp_replace(text, '[\\s\\x0B]+', ' ', 'g'), 1, 80) AS start, round(compound, 6) AS compound, upper(label[1]) || label[2:] AS label FROM l ORDER BY doc_id LIMIT 5")
 def _(t):
-    return sentiment.examples(sentiment.analyse(t("documents"), lexicon(t)))
+    return rounded(sentiment.examples(sentiment.analyse(t("documents"), lexicon(t))), "compound", to=6)
 
 
 # ---- classifier
