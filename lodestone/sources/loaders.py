@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, StructType
+from pyspark.sql.types import DoubleType, FloatType, StringType, StructField, StructType
 
 from ..functions.scalars import valid_utf8
 
@@ -60,11 +60,23 @@ def _loaded(read, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, required: Iterable[str] = (), strict: bool = False) -> DataFrame:
-    """CSV with a header. Without a schema types are inferred. strict: a line that does not fit fails the read when it runs."""
-    reader = spark.read.option("header", True).option("mode", "FAILFAST" if strict else "PERMISSIVE")
+    """CSV with a header. Without a schema types are inferred.
+
+    strict: looks through the whole source first and raises ParseError with a line that does not fit. Otherwise what does
+    not fit is null.
+    """
+    reader = spark.read.option("header", True)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    df = _loaded(reader.csv, path)
-    return nan_to_null(require_rows(require_columns(df, required)))
+    df = require_rows(require_columns(_loaded(reader.csv, path), required))
+    if strict:
+        bad = "_corrupt_record"
+        while bad in df.columns:
+            bad = f"_{bad}"
+        whole = StructType([*df.schema.fields, StructField(bad, StringType())])
+        line = spark.read.option("header", True).option("columnNameOfCorruptRecord", bad).schema(whole).csv(path).where(F.col(bad).isNotNull()).first()
+        if line:
+            raise ParseError(f"{path}: a line does not fit the schema: {line[bad][:200]}")
+    return nan_to_null(df)
 
 
 def read_parquet(spark: SparkSession, path: str, required: Iterable[str] = ()) -> DataFrame:

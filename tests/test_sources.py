@@ -21,6 +21,18 @@ def test_csv(spark, tmp_path):
     assert loaders.read_csv(spark, f"{tmp_path}/out").count() == 3
 
 
+def test_strict_csv(spark, tmp_path):
+    (tmp_path / "good.csv").write_text("a,_corrupt_record\n1,x\n2,\n")
+    (tmp_path / "long.csv").write_text("a,b\n1,x\n2,y,z\n")
+    (tmp_path / "type.csv").write_text("a,b\n1,x\ntwo,y\n")
+    assert loaders.read_csv(spark, f"{tmp_path}/good.csv", strict=True).count() == 2
+    with pytest.raises(loaders.ParseError, match="2,y,z"):
+        loaders.read_csv(spark, f"{tmp_path}/long.csv", strict=True)
+    with pytest.raises(loaders.ParseError, match="two,y"):
+        loaders.read_csv(spark, f"{tmp_path}/type.csv", "a int, b string", strict=True)
+    assert [r.a for r in loaders.read_csv(spark, f"{tmp_path}/type.csv", "a int, b string").collect()] == [1, None]
+
+
 def test_texts(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.txt").write_bytes(b"plain \xc3\xa9 \xff bad")
