@@ -1,9 +1,11 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from lodestone.llm import quality
+from lodestone.llm import quality, registry
 
 DOCS = "doc_id long, text string, score string, predicted int, quality int, _y string, extra string"
 
@@ -27,6 +29,39 @@ def test_held_out_accuracy(spark):
     assert again == model
 
 
+def plain_statistics(text):
+    """STATS by name, counted letter by letter and word by word."""
+    raw, words, lines = (text or "").encode("utf-8", "replace"), (text or "").split(), [x for x in (text or "").split("\n") if x.strip()]
+    share = lambda good: sum(map(good, raw)) / max(1, len(raw))
+    among = lambda marks: share(lambda b: chr(b) in marks)
+    of_words = lambda good: sum(map(good, words)) / max(1, len(words))
+    return {
+        "log_chars": math.log(1 + len(raw)), "log_words": math.log(1 + len(words)), "word_length": of_words(len), "long_words": of_words(lambda w: len(w) > 20),
+        "upper": share(lambda b: 65 <= b <= 90), "digit": share(lambda b: 48 <= b <= 57), "symbol": among("#$%&*<>{}[]_=+~^@/\\"), "exclaim": among("!?"), "pipe": among("|"),
+        "comma_stop": among(",."), "space": among(" \n\t\r"), "non_ascii": share(lambda b: b > 127), "distinct_words": len(set(words)) / max(1, len(words)),
+        "distinct_lines": len(set(lines)) / max(1, len(lines)), "top_word": max(Counter(words).values(), default=0) / max(1, len(words)),
+        "line_length": math.log(1 + len(raw) / max(1, len(lines))), "word_symbol_ends": of_words(lambda w: w[-1] in "#$%&*!|"), "upper_words": of_words(str.isupper),
+    }
+
+
+def test_query_matches_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in registry.op2_quality_classifier(spark, d).collect()}
+    assert got.keys() == texts.keys() and model.rules
+    for i, t in texts.items():
+        x = plain_statistics(t)
+        assert list(x) == list(quality.STATS) and list(x.values()) == pytest.approx(quality.statistics_of(t), rel=1e-12)
+        # at a threshold the last digit decides, so the rules are tried on the operator's own statistics
+        x = dict(zip(quality.STATS, quality.statistics_of(t)))
+        z = model.intercept + sum(w for r, w in zip(model.rules, model.weights) if all(x[n] > cut if above else x[n] <= cut for n, above, cut in r.tests))
+        want = 1 / (1 + math.exp(-z))
+        assert got[i].score == pytest.approx(want, abs=1e-12) and got[i].predicted == (got[i].score >= 0.7)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
 def test_compiled_rules_score_as_numpy_does(spark):
     rng = np.random.default_rng(1)
     texts = [" ".join(rng.choice(["the", "of!!", "A|", "long" * 9, "7", "é"], rng.integers(0, 60))) for _ in range(150)]
