@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprint, html_text, licences, minhash, mixing, pieces, quality, substrings, vectors, warc
+from . import codes, fingerprint, html_text, licences, minhash, mixing, periodic, pieces, quality, substrings, vectors, warc
+from .common import words
 
 
 def _read(spark, sf_dir, table):
@@ -63,7 +64,37 @@ def op10_warc_round_trip(spark, sf_dir):
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_quality_classifier, op3_html_extraction, op4_minhash_near_dedup, op5_substring_dedup, op6_licence_scan, op7_document_fingerprints, op8_sentencepiece, op9_source_mixing, op10_warc_round_trip)}
+def made_periodic(docs):
+    """doc_id and text, which in a tenth of the documents repeats a stretch of words to its end, as the query's contract fixes."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, words(F.col("text"))).alias("w"), F.floor(h / 10).alias("g"))
+    rows = rows.withColumn("n", F.when(F.size("w") > 0, F.size("w").cast("long")))
+    rows = rows.withColumn("a", F.col("g") % F.col("n"))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    repeated = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("w", place(i).cast("int")))
+    return rows.select("doc_id", F.when(F.col("n").isNotNull(), F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    out = periodic.runs(made_periodic(_read(spark, sf_dir, "documents")))
+    out = out.withColumn("best", F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", (-F.col("best.less")).alias("length"), "best.period",
+        F.floor(-1000 * F.col("best.less") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+def op13_vector_codes(spark, sf_dir):
+    out, books = codes.compress(_read(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("numbers", lambda k: F.lower(F.lpad(F.hex(k), 2, "0"))), "")
+    return out.select("vec_id", code.alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_quality_classifier, op3_html_extraction, op4_minhash_near_dedup, op5_substring_dedup, op6_licence_scan, op7_document_fingerprints, op8_sentencepiece, op9_source_mixing, op10_warc_round_trip, op12_periodic_runs, op13_vector_codes)}
+
 # a block of all pairs: at the size of the oracle's tables this is quick
 OP1_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -108,4 +139,43 @@ SELECT page_id, CAST(size AS BIGINT) AS payload_bytes,
 FROM bits
 """
 
-SQL = {"op1_embedding_near_dedup": OP1_SQL, "op3_html_extraction": OP3_SQL, "op4_minhash_near_dedup": OP4_SQL, "op10_warc_round_trip": OP10_SQL}
+# stretches of six equal words at two places of a document; a run holds one. CRC-32 bit by bit
+OP12_SQL = """
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda y, i: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)), 4294967295) AS h FROM documents),
+e AS (SELECT doc_id, w, h, h // 10 AS g, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+f AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS w FROM e),
+six AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 6], ' ') AS s FROM (SELECT doc_id, w, unnest(range(n - 5)) AS i FROM f WHERE n > 5)),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM six x JOIN six y ON x.doc_id = y.doc_id AND x.s = y.s AND x.i < y.i),
+o AS (SELECT doc_id, i, q, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM m),
+r AS (SELECT doc_id, min(i) AS start, max(i) - min(i) + 6 + q AS length, q FROM o GROUP BY doc_id, q, k),
+runs AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM r WHERE length >= greatest(12, 2 * q) GROUP BY 1, 2, 3),
+t AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS s FROM runs GROUP BY 1),
+best AS (SELECT doc_id, arg_min(struct_pack(s := start, l := length, p := period), row(-length, start, period)) AS b FROM runs GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(w[i + 1], ' ' ORDER BY i) AS c FROM (SELECT doc_id, w, unnest(range(n)) AS i FROM f) ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT f.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.p AS period, 1000 * b.l // b.p AS exponent_milli,
+  sha256(coalesce(s, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256, CAST(n AS BIGINT) AS n_words
+FROM f LEFT JOIN t USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+_NEAREST = """, a{k} AS MATERIALIZED (SELECT x.vec_id, x.part, arg_min(e.entry, row(list_sum(list_transform(list_zip(x.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e.entry)) AS entry,
+  min(list_sum(list_transform(list_zip(x.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM x JOIN e{k} e ON x.part = e.part GROUP BY 1, 2)"""
+_MEANS = """, e{next} AS MATERIALIZED (SELECT e.part, e.entry, coalesce(m.v, e.v) AS v FROM e{k} e LEFT JOIN (
+  SELECT part, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY pos) AS v FROM (SELECT a.part, a.entry, pos, sum(x.v[pos]) AS s, count(*) AS n FROM a{k} a JOIN x USING (vec_id, part), range(1, 17) r(pos) GROUP BY 1, 2, 3) GROUP BY 1, 2
+  ) m USING (part, entry))"""
+# rounds are written out; vectors of 64 components
+OP13_SQL = """
+WITH ok AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda c: NOT isfinite(c))) = 0),
+x AS MATERIALIZED (SELECT vec_id, part, q[16 * part + 1 : 16 * part + 16] AS v FROM ok, range(4) r(part)),
+e0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM x WHERE vec_id IN (SELECT vec_id FROM ok ORDER BY vec_id LIMIT 256))
+""" + "".join(_NEAREST.format(k=k) + _MEANS.format(k=k, next=k + 1) for k in range(4)) + _NEAREST.format(k=4) + """
+, c AS (SELECT vec_id, string_agg(lpad(printf('%x', CAST(entry AS INTEGER)), 2, '0'), '' ORDER BY part) AS code, sum(d) AS error FROM a4 GROUP BY 1)
+SELECT vec_id, code, CAST(error AS BIGINT) AS error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM e4) AS codebooks_sha256
+FROM c JOIN ok USING (vec_id)
+"""
+
+SQL = {"op1_embedding_near_dedup": OP1_SQL, "op3_html_extraction": OP3_SQL, "op4_minhash_near_dedup": OP4_SQL, "op10_warc_round_trip": OP10_SQL, "op12_periodic_runs": OP12_SQL, "op13_vector_codes": OP13_SQL}
