@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import codes, fingerprint, html_text, licences, minhash, mixing, periodic, pieces, quality, substrings, vectors, warc
+from . import codes, fingerprint, html_text, licences, minhash, mixing, periodic, pieces, quality, secret_scan, substrings, vectors, warc
 from .common import words
 
 
@@ -64,6 +64,14 @@ def op10_warc_round_trip(spark, sf_dir):
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_secret_scan(spark, sf_dir):
+    out = secret_scan.scan(_read(spark, sf_dir, "documents"))
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    kinds = F.transform("spans", lambda s: s["kind"])
+    n = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
+    return out.select("doc_id", *n, F.sha2(written(F.filter("spans", lambda s: s["kind"] != "random")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 def made_periodic(docs):
     """doc_id and text, which in a tenth of the documents repeats a stretch of words to its end, as the query's contract fixes."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -93,7 +101,7 @@ def op13_vector_codes(spark, sf_dir):
     return out.select("vec_id", code.alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_quality_classifier, op3_html_extraction, op4_minhash_near_dedup, op5_substring_dedup, op6_licence_scan, op7_document_fingerprints, op8_sentencepiece, op9_source_mixing, op10_warc_round_trip, op12_periodic_runs, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_quality_classifier, op3_html_extraction, op4_minhash_near_dedup, op5_substring_dedup, op6_licence_scan, op7_document_fingerprints, op8_sentencepiece, op9_source_mixing, op10_warc_round_trip, op11_secret_scan, op12_periodic_runs, op13_vector_codes)}
 
 # a block of all pairs: at the size of the oracle's tables this is quick
 OP1_SQL = """
