@@ -158,7 +158,7 @@ def matrix(column: pa.ListArray, width: int) -> np.ndarray:
     flat = column.flatten().to_numpy()
     size = pc.list_value_length(column).to_numpy()
     if (size == width).all():
-        return flat.reshape(-1, width)
+        return flat.reshape(len(size), width)
     out = np.zeros((len(size), width), np.int64)
     out[np.arange(width) < size[:, None]] = flat
     return out

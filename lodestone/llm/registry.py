@@ -147,6 +147,39 @@ SELECT page_id, CAST(size AS BIGINT) AS payload_bytes,
 FROM bits
 """
 
+# places by adding up the lengths of what lies before; RE2 finds the same matches without a look behind
+_ASSIGN = r"""(?:[pP][aA][sS][sS](?:[wW][oO][rR][dD]|[wW][dD])|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?"""
+_MATCHES = "SELECT doc_id, {kind} AS kind, {least} AS least, regexp_extract_all(t, '{p}', 0) AS hits, regexp_extract_all(t, '{p}', {g}) AS parts, string_split_regex(t, '{p}') AS gaps FROM d WHERE regexp_matches(t, '{p}')"
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (""" + " UNION ALL ".join(
+    _MATCHES.format(kind=k, least=n, p=p, g=g)
+    for k, n, p, g in ((0, 8, f"{_ASSIGN}([A-Za-z0-9+/_.=-]+)", 1), (1, 16, "AKIA[A-Z0-9]+", 0), (2, 32, "[0-9a-f]+", 0), (3, 20, f"{_ASSIGN}[A-Za-z0-9+/_.=-]+|([A-Za-z0-9+/_-]{{20,}})={{0,2}}", 1))
+) + """),
+n AS (SELECT *, list_transform(hits, lambda x: length(x)) AS h, list_transform(gaps, lambda x: length(x)) AS g FROM m),
+u AS (SELECT doc_id, kind, least, h, g, parts, unnest(list_filter(range(1, len(hits) + 1), lambda i: length(parts[i]) >= least)) AS i FROM n),
+s AS MATERIALIZED (SELECT doc_id, kind, CAST(list_sum(g[:i]) + coalesce(list_sum(h[:i - 1]), 0) AS BIGINT) AS a, CAST(list_sum(g[:i]) + list_sum(h[:i]) AS BIGINT) AS z, parts[i] AS part FROM u),
+c AS (SELECT DISTINCT part, CASE WHEN regexp_full_match(part, '[0-9]+') THEN {'e': 'decimal', 'x': '0123456789'} WHEN regexp_full_match(part, '[0-9a-f]+') THEN {'e': 'hex', 'x': '0123456789abcdef'}
+    WHEN regexp_full_match(part, '[0-9A-F]+') THEN {'e': 'upper hex', 'x': '0123456789ABCDEF'} WHEN regexp_full_match(part, '[a-z]+') THEN {'e': 'letters', 'x': low}
+    WHEN regexp_full_match(part, '[A-Z]+') THEN {'e': 'upper letters', 'x': upper(low)} WHEN regexp_full_match(part, '[A-Z2-7]+') THEN {'e': 'base32', 'x': upper(low) || '234567'}
+    WHEN regexp_full_match(part, '[0-9a-z]+') THEN {'e': 'base36', 'x': low || '0123456789'} WHEN regexp_full_match(part, '[0-9A-Z]+') THEN {'e': 'upper base36', 'x': upper(low) || '0123456789'}
+    WHEN regexp_full_match(part, '[0-9A-Za-z]+') THEN {'e': 'base62', 'x': low || upper(low) || '0123456789'} WHEN regexp_full_match(part, '[0-9A-Za-z+/]+') THEN {'e': 'base64', 'x': low || upper(low) || '0123456789+/'}
+    WHEN regexp_full_match(part, '[0-9A-Za-z_-]+') THEN {'e': 'base64url', 'x': low || upper(low) || '0123456789-_'} END AS b
+  FROM s, (SELECT 'etaoinshrdlucmfwypvbgkjqxz' AS low) WHERE kind = 3 AND NOT regexp_matches(part, 'AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}')),
+v AS (SELECT part, b.e AS e, length(part) AS n, length(b.x) AS k, CASE WHEN length(part) < 32 THEN 3 WHEN length(part) < 64 THEN 5 ELSE 9 END AS c, list_transform(string_split(part, ''), lambda y: instr(b.x, y) - 1) AS v FROM c WHERE b IS NOT NULL),
+w AS (SELECT *, list_sum(list_transform(list_transform(range(c), lambda j: {'o': len(list_filter(v, lambda y: y * c // k = j)), 'w': n * (ceil((j + 1) * k / c) - ceil(j * k / c)) / k}), lambda y: (y.o - y.w) * (y.o - y.w) / y.w)) AS uneven,
+  2 * list_sum(list_transform(range(1, n), lambda i: CASE WHEN (v[i] * 2 < k) <> (v[i + 1] * 2 < k) THEN 1 ELSE 0 END)) - (n - 1) AS runs, list_sum(list_transform(range(1, n), lambda i: (2 * v[i] - k + 1) * (2 * v[i + 1] - k + 1))) AS serial FROM v),
+q AS (SELECT part, e, n, c, (uneven + runs * runs / (n - 1) + CAST(serial AS DOUBLE) * serial / (((k * k - 1) / 3.0) * ((k * k - 1) / 3.0) * (n - 1))) / 2 AS h FROM w),
+p AS (SELECT part, e || ':' || CAST(floor(log2(n)) AS INTEGER) AS stratum, CAST(floor(1000 * exp(-h) * (1 + h + CASE WHEN c >= 5 THEN h * h / 2 ELSE 0 END + CASE WHEN c = 9 THEN h * h * h / 6 + h * h * h * h / 24 ELSE 0 END)) AS INTEGER) AS level FROM q),
+l AS (SELECT stratum, level, count(*) AS n FROM p GROUP BY 1, 2),
+f AS (SELECT stratum, level, sum(n) OVER (PARTITION BY stratum ORDER BY level DESC) AS below, sum(CASE WHEN level >= 500 THEN n ELSE 0 END) OVER (PARTITION BY stratum) AS half FROM l),
+cut AS (SELECT stratum, min(level) AS cut FROM f WHERE 1000 * below - 2 * half * (1000 - level) <= 0.1 * 1000 * below GROUP BY 1),
+spans AS (SELECT doc_id, a, kind, z FROM s WHERE kind < 3 UNION ALL SELECT doc_id, a, 3, z FROM s JOIN p USING (part) JOIN cut USING (stratum) WHERE kind = 3 AND level >= cut),
+o AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_random,
+  string_agg(x, ',' ORDER BY a, kind) FILTER (kind < 3) AS base, string_agg(x, ',' ORDER BY a, kind) AS spans FROM (SELECT *, ['assign', 'access', 'hex', 'random'][kind + 1] || ':' || a || ':' || z AS x FROM spans) GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_random, 0) AS n_random, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN o USING (doc_id)
+"""
+
 # stretches of six equal words at two places of a document; a run holds one. CRC-32 bit by bit
 OP12_SQL = """
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
@@ -186,4 +219,4 @@ SELECT vec_id, code, CAST(error AS BIGINT) AS error, CAST(sum(error) OVER (PARTI
 FROM c JOIN ok USING (vec_id)
 """
 
-SQL = {"op1_embedding_near_dedup": OP1_SQL, "op3_html_extraction": OP3_SQL, "op4_minhash_near_dedup": OP4_SQL, "op10_warc_round_trip": OP10_SQL, "op12_periodic_runs": OP12_SQL, "op13_vector_codes": OP13_SQL}
+SQL = {"op1_embedding_near_dedup": OP1_SQL, "op3_html_extraction": OP3_SQL, "op4_minhash_near_dedup": OP4_SQL, "op10_warc_round_trip": OP10_SQL, "op11_secret_scan": OP11_SQL, "op12_periodic_runs": OP12_SQL, "op13_vector_codes": OP13_SQL}

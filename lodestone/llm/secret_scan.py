@@ -70,14 +70,17 @@ def matches(df: DataFrame, text: str, patterns: dict[str, tuple[str, int]]) -> D
     them. Texts without a match are looked at once, most of them for a part of the pattern only.
     """
     some = {k: F.col(text).rlike(GATES[k]) & F.col(text).rlike(p) if k in GATES else F.col(text).rlike(p) for k, (p, _) in patterns.items()}
-    hits = {k: (F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.regexp_extract_all(text, F.lit(p), F.lit(g)), F.split(text, p, -1)) for k, (p, g) in patterns.items()}
+    # a step for each array that is used more than once, or it would be made for each use
+    once = {k: F.struct(F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("hits"), F.regexp_extract_all(text, F.lit(p), F.lit(g)).alias("group"), F.split(text, p, -1).alias("gaps")) for k, (p, g) in patterns.items()}
     length = lambda x: F.char_length(x).cast("long")
-    sizes = {k: F.zip_with(F.slice(gap, F.lit(1), F.size(hit)), hit, lambda g, h: F.struct(length(g).alias("gap"), length(h).alias("hit"))) for k, (hit, _, gap) in hits.items()}
-    df = df.select("*", *[F.when(some[k], F.struct(sizes[k].alias("sizes"), group.alias("group"))).alias(f"_m_{k}") for k, (_, group, _) in hits.items()])
-    df = df.select("*", *[prefix_sums(F.transform(F.col(f"_m_{k}.sizes"), lambda x: x["gap"] + x["hit"])).alias(f"_e_{k}") for k in patterns])
-    ends = lambda k: F.transform(f"_e_{k}", lambda e, i: F.struct((e - F.get(F.col(f"_m_{k}.sizes"), i)["hit"]).alias("start"), e.alias("end"), F.get(F.col(f"_m_{k}.group"), i).alias("group")))
+    widths = lambda m: F.zip_with(F.slice(f"{m}.gaps", F.lit(1), F.size(f"{m}.hits")), f"{m}.hits", lambda g, h: F.struct((length(g) + length(h)).alias("both"), length(h).alias("hit")))
+    span = lambda k: F.transform(f"_e_{k}", lambda e, i: F.struct((e - F.get(F.col(f"_w_{k}"), i)["hit"]).alias("start"), e.alias("end"), F.get(F.col(f"_m_{k}.group"), i).alias("group")))
     none = F.array().cast("array<struct<start: long, end: long, group: string>>")
-    return df.select("*", *[F.coalesce(F.when(F.col(f"_m_{k}").isNotNull(), ends(k)), none).alias(k) for k in patterns]).drop(*[f"_{x}_{k}" for k in patterns for x in "me"])
+    df = df.select("*", *[F.when(some[k], once[k]).alias(f"_m_{k}") for k in patterns])
+    df = df.select("*", *[widths(f"_m_{k}").alias(f"_w_{k}") for k in patterns])
+    df = df.select("*", *[F.transform(f"_w_{k}", lambda x: x["both"]).alias(f"_v_{k}") for k in patterns])
+    df = df.select("*", *[prefix_sums(F.col(f"_v_{k}")).alias(f"_e_{k}") for k in patterns])
+    return df.select("*", *[F.coalesce(F.when(F.col(f"_m_{k}").isNotNull(), span(k)), none).alias(k) for k in patterns]).drop(*[f"_{x}_{k}" for k in patterns for x in "mwve"])
 
 
 def chi_squared_tail(x: Column, half: Column, most: int = 5) -> Column:
