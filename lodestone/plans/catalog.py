@@ -323,8 +323,7 @@ def price_model(t) -> tuple[DataFrame, kmeans.KMeansModel]:
     raw = t("events").select("event_id", F.when(F.col("event_id") % 13 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("value"))
     rows = prepare.drop_missing(prepare.coerce(raw, ["value"]), ["value"])
     low, mid, high = rows.agg(F.min("value"), F.avg("value"), F.max("value")).first()
-    centres, inertia, rounds = kmeans.lloyd(rows, ["value"], [(low,), (mid,), (high,)], max_iter=ROUNDS, tol=-1.0)
-    return rows, kmeans.KMeansModel(("value",), tuple(centres), inertia, rounds)
+    return rows, kmeans.kmeans(rows, ["value"], 3, init=[(low,), (mid,), (high,)], max_iter=ROUNDS, tol=-1.0)
 
 
 @query("kmeans_price_k3", lloyd_sql(PRICE, "SELECT CAST(cluster AS INTEGER) AS cluster, count(*) AS n_points, round(any_value(CASE cluster WHEN 0 THEN a WHEN 1 THEN b ELSE c END), 4) AS center FROM l GROUP BY 1"))
@@ -401,6 +400,41 @@ def _(t):
     return rounded(kmeans.elbow(t("part"), ["p_retailprice", "p_size"], max_iter=50), "sse", to=2)
 
 
+def seeds_sql(k: int, seed: int, rounds: int = 5) -> str:
+    """k-means|| over p (id, x, y), rounds written out; start (g, c, x, y) has the k picks in their order."""
+    u = lambda step, at="": f"(('0x' || substr(md5('{seed}:{step}:' || {at}id), 1, 12))::BIGINT / 281474976710656.0)"
+    d2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)"
+    steps = [f"c0 AS MATERIALIZED (SELECT id, x, y FROM p ORDER BY {u('first')}, id LIMIT 1)"]
+    for r in range(1, rounds + 1):
+        steps.append(f"d{r} AS MATERIALIZED (SELECT a.id, a.x, a.y, min({d2}) AS d FROM p a CROSS JOIN c{r - 1} b GROUP BY a.id, a.x, a.y)")
+        steps.append(f"c{r} AS MATERIALIZED (SELECT id, x, y FROM c{r - 1} UNION ALL SELECT id, x, y FROM d{r} WHERE {u(f'round {r}')} * (SELECT sum(d) FROM d{r}) < {2 * k}.0 * d)")
+    steps.append(f"own AS (SELECT a.id, arg_min(b.id, row({d2}, b.id)) AS c FROM p a CROSS JOIN c{rounds} b GROUP BY a.id)")
+    steps.append(f"w AS MATERIALIZED (SELECT b.id, x, y, count(own.c) AS w FROM c{rounds} b LEFT JOIN own ON own.c = b.id GROUP BY 1, 2, 3)")
+    steps.append(f"s0 AS MATERIALIZED (SELECT 0 AS c, id, x, y FROM w WHERE w > 0 ORDER BY -ln(1 - {u('pick 0')}) / w LIMIT 1)")
+    for j in range(1, k):
+        steps.append(f"s{j} AS MATERIALIZED (SELECT * FROM s{j - 1} UNION ALL (SELECT {j}, id, x, y FROM (SELECT a.id, a.x, a.y, any_value(a.w) AS w, min({d2}) AS d FROM w a CROSS JOIN s{j - 1} b GROUP BY a.id, a.x, a.y) WHERE w * d > 0 ORDER BY -ln(1 - {u(f'pick {j}')}) / (w * d) LIMIT 1))")
+    steps.append(f"start AS (SELECT 1 AS g, c, x, y FROM s{k - 1})")
+    return ", ".join(steps)
+
+
+@query("kmeans_seeds", f"WITH {PARTS}, {seeds_sql(8, 42)} SELECT CAST(c AS INTEGER) AS pick, x AS price, y AS size FROM start")
+def _(t):
+    rows = kmeans.complete(t("part"), ["p_retailprice", "p_size"], "p_partkey")
+    picked = kmeans.seeded_starts(rows, ["x0", "x1"], 8, [42], "id")[0]
+    return rows.sparkSession.createDataFrame([(j, *c) for j, c in enumerate(picked)], "pick int, price double, size double")
+
+
+PLUS_PLUS = f"""WITH RECURSIVE p AS (SELECT event_id AS id, CAST(value AS DOUBLE) AS x, 0.0 AS y FROM events WHERE event_id % 13 <> 0), {seeds_sql(3, 42)}, {lloyd_rounds_sql(50)},
+ranked AS (SELECT c, x, CAST(row_number() OVER (ORDER BY x) - 1 AS INTEGER) AS cluster FROM last)
+SELECT cluster, count(*) AS n_points, round(any_value(x), 4) AS center FROM near JOIN ranked USING (c) GROUP BY 1"""
+
+
+@query("kmeans_plus_plus", PLUS_PLUS)
+def _(t):
+    model = kmeans.kmeans(holes(t), ["value"], 3, init="k-means++", id_col="event_id", max_iter=50)
+    return rounded(model.summary(holes(t)).withColumnRenamed("c0", "center"), "center")
+
+
 DBSCAN = """
 WITH RECURSIVE p AS (SELECT c_custkey AS id, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER () AS x, (c_nationkey - avg(c_nationkey) OVER ()) / stddev_pop(c_nationkey) OVER () AS y FROM customer),
 e AS (SELECT a.id AS s, b.id AS d FROM p a JOIN p b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.1),
