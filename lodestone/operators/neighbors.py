@@ -2,17 +2,18 @@
 
 A distance predicate alone would compare every row with every other. Rows are keyed by the grid cell (side eps) of their
 first features; a row meets only rows of its own and the adjoining cells, by an equi-join on the cell. What comes out is a
-sparse list of pairs, never a full matrix.
+sparse list of pairs, never a full matrix. nearest() is in knn.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import squared_distance
+from .knn import nearest
+
+__all__ = ["core_distances", "eps_pairs", "mutual_reachability", "nearest", "neighbor_counts", "pairs_between", "reachability"]
 
 GRID_FEATURES = 3  # 27 cells meet; more features only filter
 
@@ -65,36 +66,3 @@ def mutual_reachability(pairs: DataFrame, cores: DataFrame) -> DataFrame:
     a = c.select(F.col("id").alias("src"), F.col("core_distance").alias("ca"))
     b = c.select(F.col("id").alias("dst"), F.col("core_distance").alias("cb"))
     return pairs.where("src < dst").join(a, "src").join(b, "dst").select("src", "dst", F.greatest("ca", "cb", "dist").alias("reach"))
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(a), len(b)))
-    for k in range(a.shape[1]):
-        d = a[:, k, None] - b[None, :, k]
-        out += d * d
-    return np.sqrt(out)
-
-
-def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 2, block: int = 1024) -> DataFrame:
-    """(query, rank, neighbor, dist): the k nearest rows of every row by Euclidean distance, ties by id.
-
-    A row is normally its own first neighbour. Rows are dealt into blocks; a task compares two blocks and returns k
-    candidates for each of its queries, and the k best over all tasks remain. Null vectors take no part.
-    """
-    pts = df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    blocks = max(1, -(-pts.count() // block))
-    pts = pts.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    sides = pts.select("id", "v", F.col("b").alias("i"), every.alias("j"), F.lit(True).alias("q")).union(pts.select("id", "v", every.alias("i"), F.col("b").alias("j"), F.lit(False).alias("q")))
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, x = pdf[pdf["q"]], pdf[~pdf["q"]].sort_values("id")
-        if q.empty or x.empty:
-            return pd.DataFrame({"query": [], "neighbor": [], "dist": []}).astype({"query": "int64", "neighbor": "int64"})
-        d = _distances(np.stack(q["v"].to_list()), np.stack(x["v"].to_list()))
-        at = np.argsort(d, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query": np.repeat(q["id"].to_numpy(), at.shape[1]), "neighbor": x["id"].to_numpy()[at].ravel(), "dist": np.take_along_axis(d, at, 1).ravel()})
-
-    found = sides.groupBy("i", "j").applyInPandas(best, "query long, neighbor long, dist double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("dist", "neighbor"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "neighbor", "dist")

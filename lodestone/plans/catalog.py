@@ -149,6 +149,18 @@ def _(t):
     return profile.crosstab(t("lineitem"), "l_returnflag", "l_linestatus", ["F", "O"])
 
 
+@query(
+    "violin_density_value_by_type",
+    """WITH s AS (SELECT event_type AS level, count(*) AS n, min(value) AS low, max(value) AS high, stddev_samp(value) * pow(count(*), -0.2) AS h FROM events GROUP BY 1 HAVING max(value) > min(value)),
+p AS (SELECT level, low, n, h, high, (high - low) / 1023 AS step, (value - low) / ((high - low) / 1023) AS x FROM events JOIN s ON level = event_type),
+b AS (SELECT level, least(floor(x), 1022) + d AS bin, sum(CASE d WHEN 0 THEN 1 - (x - least(floor(x), 1022)) ELSE x - least(floor(x), 1022) END) AS w FROM p, range(2) r(d) GROUP BY 1, 2),
+g AS (SELECT level, n, h, low, (high - low) / 1023 AS step, place, low - 2 * h + (high - low + 4 * h) * place / 99 AS y FROM s, range(100) r(place))
+SELECT level, CAST(place AS INTEGER) AS place, round(y, 6) AS "at", round(sum(w * exp(-pow((y - low - bin * step) / h, 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 8) AS density FROM g JOIN b USING (level) GROUP BY level, place, y""",
+)
+def _(t):
+    return rounded(rounded(profile.density_grid(t("events"), "event_type", "value"), "at", to=6), "density", to=8)
+
+
 @query("violin_stats_value_by_type", "SELECT event_type AS level, count(*) AS n, round(min(value), 4) AS min, round(quantile_cont(value, 0.25), 4) AS p25, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.75), 4) AS p75, round(max(value), 4) AS max FROM events GROUP BY 1")
 def _(t):
     return rounded(profile.group_quartiles(t("events"), "event_type", "value"), "min", "p25", "p50", "p75", "max")
@@ -300,6 +312,12 @@ def _(t):
     return rounded(neighbors.nearest(t("embeddings"), "vec_id", "embedding", 2), "dist")
 
 
+@query("knn3_customer", "WITH q AS (SELECT c_custkey AS id, CAST(c_acctbal AS DOUBLE) AS x, 100.0 * c_nationkey AS y FROM customer) SELECT query, CAST(rank AS INTEGER) AS rank, neighbor, round(dist, 4) AS dist FROM (SELECT a.id AS query, b.id AS neighbor, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.id) AS rank FROM q a CROSS JOIN q b) WHERE rank <= 3")
+def _(t):
+    rows = t("customer").select("c_custkey", F.array(F.col("c_acctbal").cast("double"), F.col("c_nationkey") * F.lit(100.0)).alias("v"))
+    return rounded(neighbors.nearest(rows, "c_custkey", "v", 3, block=256), "dist")
+
+
 # ---- clustering
 
 ROUNDS = 6

@@ -372,3 +372,20 @@ def test_group_quartiles(spark):
         assert got[g].n == len(vs)
         assert np.allclose([got[g][k] for k in ("min", "p25", "p50", "p75", "max")], np.percentile(vs, [0, 25, 50, 75, 100]))
     assert profile.group_quartiles(df.limit(0), "g", "v").count() == 0
+
+
+def test_density_grid(spark):
+    rng = np.random.default_rng(6)
+    groups = {"a": rng.normal(size=400), "b": rng.exponential(3, 150), None: rng.uniform(size=60), "one": np.array([2.0]), "same": np.array([3.0] * 9)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("a", float("nan"))]
+    got = {}
+    for r in sorted(profile.density_grid(spark.createDataFrame(rows, "`g.h` string, x double").repartition(4), "g.h", "x", points=50).collect(), key=lambda r: r.place):
+        got.setdefault(r.level, []).append((r["at"], r.density))
+    assert set(got) == {"a", "b", None}
+    for g in got:
+        x = groups[g]
+        h = x.std(ddof=1) * len(x) ** -0.2
+        at, density = np.array(got[g]).T
+        assert np.allclose(at, np.linspace(x.min() - 2 * h, x.max() + 2 * h, 50))
+        want = np.exp(-(((at[:, None] - x) / h) ** 2) / 2).sum(1) / (len(x) * h * np.sqrt(2 * np.pi))
+        assert np.allclose(density, want, atol=1e-4 * want.max())
