@@ -19,9 +19,13 @@ def valid_utf8(content: Column) -> Column:
     return F.translate(F.make_valid_utf8(content.cast("string")), "�", "")
 
 
+# White space as Unicode has it.
+SPACES = r"\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+
+
 def is_blank(text: Column) -> Column:
     """Null, empty or white space only."""
-    return ~F.coalesce(text.rlike(r"\S"), F.lit(False))
+    return ~F.coalesce(text.rlike(f"[^{SPACES}]"), F.lit(False))
 
 
 def recode(c: Column, level: str) -> Column:

@@ -672,6 +672,11 @@ def _(t):
     return rounded(sentiment.analyse(t("documents"), lexicon(t)).select("doc_id", "scores.*", "label"), "neg", "neu", "pos", "compound", to=6)
 
 
+@query("sentiment_rules_fold", SQL["sentiment_rules"])
+def _(t):
+    return rounded(sentiment.analyse(t("documents"), lexicon(t), fold=True).select("doc_id", "scores.*", "label"), "neg", "neu", "pos", "compound", to=6)
+
+
 @query("sentiment_examples", rules_sql() + " SELECT doc_id, substr(regexp_replace(text, '[\\s\\x0B]+', ' ', 'g'), 1, 80) AS start, round(compound, 6) AS compound, upper(label[1]) || label[2:] AS label FROM l ORDER BY doc_id LIMIT 5")
 def _(t):
     return rounded(sentiment.examples(sentiment.analyse(t("documents"), lexicon(t))), "compound", to=6)
