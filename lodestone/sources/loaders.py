@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StringType, StructField, StructType
 
-from ..functions.scalars import valid_utf8
+from ..functions.scalars import to_number, valid_utf8
+from ..functions.scratch import Scratch
 
 
 class SourceNotFound(FileNotFoundError):
@@ -83,14 +86,41 @@ def read_parquet(spark: SparkSession, path: str, required: Iterable[str] = ()) -
     return nan_to_null(require_columns(_loaded(spark.read.parquet, path), required))
 
 
-def read_texts(spark: SparkSession, folder: str, extension: str = ".txt") -> DataFrame:
-    """(path, text) of all files below folder whose name ends with extension in any case.
+def read_texts(spark: SparkSession, folder: str, extension: str = ".txt", unreadable: str = "raise") -> DataFrame:
+    """(path, text) of all files below folder whose name ends with extension in any case; files without a byte have ''.
 
-    Bytes that are not UTF-8 are dropped. Files without a byte do not come out.
+    Bytes that are not UTF-8 are dropped. Folders are listed once, which gives the driver the paths; files are read
+    in tasks by Spark's own readers, whatever the store. Names that begin with a dot or an underscore are not listed.
+    unreadable: "raise", or "empty" for '' in place of what cannot be read; the texts are then written as a table
+    first, as only reading tells. SourceNotFound if there is no such folder.
     """
-    files = _loaded(spark.read.format("binaryFile").option("recursiveFileLookup", True).load, folder)
-    named = files.where(F.endswith(F.lower("path"), F.lit(extension.lower())))
-    return named.select("path", valid_utf8(F.col("content")).alias("text"))
+    if unreadable not in ("raise", "empty"):
+        raise ValueError("unreadable has to be raise or empty")
+    pattern = "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.lower() != c.upper() else c for c in extension)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    files = _loaded(reader.option("ignoreCorruptFiles", unreadable == "empty").load, folder)
+    texts = files.select("path", valid_utf8(F.col("content")).alias("text"))
+    if unreadable == "empty":
+        texts = Scratch(spark).table(texts, "texts")
+    paths = [(unquote(re.sub("^file:///", "file:/", p)),) for p in files.inputFiles()]
+    # a scan has no part for an empty file; contents are not read for their paths
+    absent = spark.createDataFrame(paths, "path string").join(texts.select("path"), "path", "left_anti")
+    return texts.union(absent.select("path", F.lit("").alias("text")))
+
+
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """(token, valence) of a file with a token, a tab and its valence on each line; what follows a second tab is left out.
+
+    Blank lines are skipped; of repeated tokens the last counts. SourceNotFound, EmptySource, or ParseError with the line.
+    """
+    whole = _loaded(spark.read.option("wholetext", True).text, path)  # a lexicon is one file of moderate size, and its lines have an order
+    lines = whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line")).where(F.col("line").rlike(r"\S"))
+    parts = F.split("line", "\t")
+    entries = lines.select("at", "line", parts[0].alias("token"), to_number(F.get(parts, F.lit(1))).alias("valence"))
+    bad = entries.where("valence is null or token = ''").orderBy("at").first()
+    if bad:
+        raise ParseError(f"{path}: no token and number on line {bad['at'] + 1}: {bad['line'][:200]}")
+    return require_rows(entries.groupBy("token").agg(F.max_by("valence", "at").alias("valence")))
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
