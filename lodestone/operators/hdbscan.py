@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import squared_distance
 from ..functions.scratch import Scratch
 from .neighbors import GRID_FEATURES, core_distances, pairs_between
+from .prepare import drop_missing, require_long_ids
 
 
 def first_side(pts: DataFrame, names: list[str], k: int) -> float:
@@ -195,7 +196,7 @@ def condense(tree: list[tuple[float, int, int]], n: int, least: int) -> tuple[np
 def hierarchy(df: DataFrame, id_col: str, features: list[str], min_samples: int, scratch: Scratch) -> DataFrame:
     """(src, dst, reach): the spanning tree of the rows with all features present, whose ids have to be unique."""
     names = [f"x{k}" for k in range(len(features))]
-    pts = df.select(F.col(id_col).alias("id"), *[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(features, names)]).dropna()
+    pts = df.select(F.col(f"`{id_col}`").alias("id"), *[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(features, names)]).dropna()
     pts = scratch.table(pts, "points")
     if pts.count() < max(2, min_samples):
         return df.sparkSession.createDataFrame([], "src long, dst long, reach double")
@@ -207,12 +208,12 @@ def hierarchy(df: DataFrame, id_col: str, features: list[str], min_samples: int,
 def hdbscan(df: DataFrame, id_col: str, features: list[str], min_cluster_size: int = 10, min_samples: int | None = None) -> DataFrame:
     """(id, cluster, probability) for rows with all features present; -1 with 0 is noise.
 
-    min_samples (default min_cluster_size) counts the point itself. Clusters are numbered by their smallest id. The whole
+    Ids have to be whole numbers. min_samples (default min_cluster_size) counts the point itself. Clusters are numbered by their smallest id. The whole
     table is never one cluster; with fewer rows than min_samples all are noise.
     """
     if min_cluster_size < 2 or (min_samples is not None and min_samples < 1):
         raise ValueError("min_cluster_size has to be 2 at least and min_samples 1 at least")
-    scratch = Scratch(df.sparkSession)
+    scratch = Scratch(require_long_ids(df, id_col).sparkSession)
     tree = hierarchy(df, id_col, features, min_samples or min_cluster_size, scratch)
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -226,6 +227,6 @@ def hdbscan(df: DataFrame, id_col: str, features: list[str], min_cluster_size: i
     # the tree's edges are three numbers for each row; its order is sequential
     found = scratch.table(tree.groupBy((F.col("src") * 0).alias("all")).applyInPandas(label, "id long, first long, probability double"), "found")
     number = found.where("first is not null").select("first").distinct().withColumn("cluster", (F.dense_rank().over(Window.orderBy("first")) - 1).cast("int"))
-    rows = df.dropna(subset=features).select(F.col(id_col).alias("id"))
+    rows = drop_missing(df, features).select(F.col(f"`{id_col}`").alias("id"))
     out = rows.join(found, "id", "left").join(number, "first", "left")
     return out.select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("probability", F.lit(0.0)).alias("probability"))

@@ -26,7 +26,7 @@ def eps_pairs(df: DataFrame, id_col: str, features: list[str], eps: float) -> Da
     if not eps > 0:
         raise ValueError("eps has to be above 0")
     names = [f"x{k}" for k in range(len(features))]
-    pts = df.select(F.col(id_col).alias("id"), *[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(features, names)]).dropna()
+    pts = df.select(F.col(f"`{id_col}`").alias("id"), *[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(features, names)]).dropna()
     return pairs_between(pts, pts, names, eps)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scratch import Scratch
 from .graph import components
 from .neighbors import core_distances, eps_pairs
-from .prepare import impute
+from .prepare import impute, require_long_ids
 
 SCHEMA = "id long, run_start long, pos long, reachability double, core_distance double"
 
@@ -55,14 +55,16 @@ def order_component(edges: pd.DataFrame) -> pd.DataFrame:
 def optics(df: DataFrame, id_col: str, features: list[str], eps: float = 5000.0, min_pts: int = 5, missing: str = "mean") -> DataFrame:
     """(id, ordering, reachability, core_distance); ordering counts from 0, undefined distances are null.
 
-    Missing features take the column's mean. Raises ValueError unless eps > 0 and 2 <= min_pts <= rows.
+    Ids have to be whole numbers. Missing features take the column's mean. Raises ValueError unless eps > 0 and 2 <= min_pts <= rows.
     """
-    rows = impute(df, features, missing).select(F.col(id_col).alias("id"), *features)
+    names = [f"x{j}" for j in range(len(features))]
+    filled = impute(require_long_ids(df, id_col), features, missing)
+    rows = filled.select(F.col(f"`{id_col}`").alias("id"), *[F.col(f"`{c}`").alias(x) for c, x in zip(features, names)])
     n = rows.count()
     if not eps > 0 or not 2 <= min_pts <= n:
         raise ValueError(f"eps has to be above 0 and min_pts between 2 and the number of rows, {n}")
     scratch = Scratch(df.sparkSession)
-    pairs = scratch.table(eps_pairs(rows, "id", features, eps), "pairs")
+    pairs = scratch.table(eps_pairs(rows, "id", names, eps), "pairs")
     parts = components(scratch, pairs.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     cores = core_distances(pairs, min_pts)
     edges = pairs.join(parts.withColumnRenamed("id", "src"), "src").join(cores.select(F.col("id").alias("src"), F.col("core_distance").alias("core")), "src")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import IntegralType, NumericType
 
 from ..functions.scalars import to_number
 from ..sources.loaders import require_columns
-from .profile import quantiles
+from .profile import column_quantiles, missing
 
 
 def require_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -24,28 +24,34 @@ def coerce(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: to_number(F.col(f"`{c}`")) for c in columns})
 
 
+def _complete(df: DataFrame, columns: list[str]) -> Column:
+    """Whether all the columns are present."""
+    full = F.lit(True)
+    for c in columns:
+        full = full & ~missing(df, c)
+    return full
+
+
 def drop_missing(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with all the columns present (neither null nor NaN)."""
-    return df.dropna(subset=columns)
+    return df.where(_complete(df, columns)) if columns else df
 
 
 def dropped_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """(n_before, n_after, n_dropped) of drop_missing, in one pass."""
-    full = F.lit(True)
-    for c in columns:
-        full = full & F.col(f"`{c}`").isNotNull()
-    one = df.agg(F.count(F.lit(1)).alias("n_before"), F.count_if(full).alias("n_after"))
+    one = df.agg(F.count(F.lit(1)).alias("n_before"), F.count_if(_complete(df, columns)).alias("n_after"))
     return one.withColumn("n_dropped", F.col("n_before") - F.col("n_after"))
 
 
 def fill_statistics(df: DataFrame, columns: list[str], how: str, in_one_pass: int = 5_000_000) -> dict[str, float]:
     """Mean or exact median of each column, missing skipped. A column without any value raises ValueError.
 
-    Medians of tables too large for one task's state come from profile.quantiles().
+    Medians of tables too large for one task's state come from profile.column_quantiles().
     """
     f = {"mean": F.avg, "median": F.median}[how]
     if how == "median" and df.count() > in_one_pass:
-        got = [quantiles(df, c, [0.5])[0] for c in columns]
+        found = column_quantiles(df, columns, [0.5])
+        got = [found[c][0] for c in columns]
     else:
         got = df.agg(*[f(_present(c)).alias(f"s{k}") for k, c in enumerate(columns)]).first()
     empty = [c for k, c in enumerate(columns) if got[k] is None]
@@ -117,26 +123,39 @@ def _present(c: str) -> Column:
     return F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
 
 
-def _with_stats(df: DataFrame, stats: list[Column]) -> DataFrame:
-    return df.crossJoin(F.broadcast(df.agg(*stats)))  # one row
+def _scaled(df: DataFrame, columns: list[str], stats, scale) -> DataFrame:
+    """df with the columns scaled by a row of statistics, which lies beside them in a struct of an unused name."""
+    name = unused(df, "stats")
+    one = df.agg(F.struct(*[f(_present(c)).alias(f"{k}{n}") for n, c in enumerate(columns) for k, f in stats.items()]).alias(name))
+    made = {c: scale(_present(c), *[F.col(f"{name}.{k}{n}") for k in stats]) for n, c in enumerate(columns)}
+    out = df.crossJoin(F.broadcast(one))  # one row
+    return out.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in df.columns])
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name with as many underscores before it as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - mean) / population standard deviation; 0 where a column is constant. Missing stays missing."""
-    out = _with_stats(df, [f(_present(c)).alias(f"_{k}_{n}") for n, c in enumerate(columns) for k, f in (("m", F.avg), ("s", F.stddev_pop))])
-    for n, c in enumerate(columns):
-        x = _present(c)
-        out = out.withColumn(c, F.when(F.col(f"_s_{n}") > 0, (x - F.col(f"_m_{n}")) / F.col(f"_s_{n}")).when(x.isNotNull(), 0.0))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+    return _scaled(df, columns, {"m": F.avg, "s": F.stddev_pop}, lambda x, m, s: F.when(s > 0, (x - m) / s).when(x.isNotNull(), 0.0))
 
 
 def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - min) / (max - min); 0 where a column is constant. Missing stays missing."""
-    out = _with_stats(df, [f(_present(c)).alias(f"_{k}_{n}") for n, c in enumerate(columns) for k, f in (("l", F.min), ("h", F.max))])
-    for n, c in enumerate(columns):
-        x, low, high = _present(c), F.col(f"_l_{n}"), F.col(f"_h_{n}")
-        out = out.withColumn(c, F.when(high > low, (x - low) / (high - low)).when(x.isNotNull(), 0.0))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+    return _scaled(df, columns, {"l": F.min, "h": F.max}, lambda x, low, high: F.when(high > low, (x - low) / (high - low)).when(x.isNotNull(), 0.0))
+
+
+def require_long_ids(df: DataFrame, id_col: str) -> DataFrame:
+    """df itself, or ValueError unless the ids are whole numbers; others can be numbered by row_positions()."""
+    require_columns(df, [id_col])
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"ids have to be whole numbers: {id_col}")
+    return df
 
 
 def attach_labels(df: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
@@ -149,9 +168,11 @@ def row_positions(df: DataFrame, id_col: str, scratch, out: str = "pos") -> Data
 
     Rows are range-partitioned and sorted; the counts of earlier partitions (a row for each) give the offset.
     """
-    ranged = df.repartitionByRange(F.col(id_col)).withColumn("_part", F.spark_partition_id())
+    key, (part, n, offset, local) = F.col(f"`{id_col}`"), [unused(df, k) for k in ("part", "n", "offset", "local")]
+    ranged = df.repartitionByRange(key).withColumn(part, F.spark_partition_id())
     ranged = scratch.table(ranged, "ranged")
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(id_col)) - 1
-    return ranged.withColumn("_local", local).join(offsets, "_part").withColumn(out, (F.col("_offset") + F.col("_local")).cast("long")).drop("_part", "_offset", "_local")
+    counts = ranged.groupBy(part).agg(F.count(F.lit(1)).alias(n))
+    offsets = counts.withColumn(offset, F.coalesce(F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop(n)
+    placed = ranged.withColumn(local, F.row_number().over(Window.partitionBy(part).orderBy(key)) - 1).join(offsets, part)
+    names = [F.col(f"`{c}`") for c in df.columns if c != out]
+    return placed.select(*names, (F.col(offset) + F.col(local)).cast("long").alias(out))

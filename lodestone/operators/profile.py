@@ -29,51 +29,57 @@ def _unpivot(one: DataFrame, names: list[str], fields: list[str]) -> DataFrame:
     return one.select(F.explode(items).alias("r")).select("r.*")
 
 
-def quantiles(df: DataFrame, column: str, qs: list[float]) -> list[float | None]:
-    """Exact quantiles with linear interpolation, for tables of any size.
+def _ranked(values: DataFrame, qs: list[float]) -> DataFrame:
+    """(level, n, min, max, q) of values (level, v): exact quantiles of each level with linear interpolation, q an array.
 
-    Counts of distinct values are range-partitioned; partition totals (a row for each) say in which partition a rank
-    lies, and only there it is looked up. Spark's percentile holds all distinct values of a column in one task.
+    Counts of distinct values are range-partitioned by level and value, and only totals of (level, partition) say where a
+    rank lies; there it is looked up. However many levels there are, and whatever their sizes, it takes one shuffle by range
+    and no task holds all values of a level.
     """
-    scratch = Scratch(df.sparkSession)
-    counts = df.where(~missing(df, column)).groupBy(F.col(f"`{column}`").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    ranged = scratch.table(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "ranged")
-    totals = ranged.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
-    size = sum(r["n"] for r in totals)
-    if not size:
-        return [None] * len(qs)
-    ranks = sorted({r for q in qs for r in (int(q * (size - 1)), min(int(q * (size - 1)) + 1, size - 1))})
-    held, at = {}, 0
-    for r in totals:
-        held |= {rank: (r["part"], rank - at) for rank in ranks if at <= rank < at + r["n"]}
-        at += r["n"]
-    here = ranged.where(F.col("part").isin(sorted({p for p, _ in held.values()})))
-    upto = here.withColumn("upto", F.sum("n").over(Window.partitionBy("part").orderBy("v")))
-    hit = F.lit(False)
-    for p, k in held.values():
-        hit = hit | ((F.col("part") == p) & (F.col("upto") > k) & (F.col("upto") - F.col("n") <= k))
-    found = upto.where(hit).collect()  # at most two rows for each quantile
-    value = {rank: next(r["v"] for r in found if r["part"] == p and r["upto"] - r["n"] <= k < r["upto"]) for rank, (p, k) in held.items()}
-    out = []
-    for q in qs:
-        x = q * (size - 1)
-        low, high = value[int(x)], value[min(int(x) + 1, size - 1)]
-        out.append(low + (high - low) * (x - int(x)))
-    return out
+    scratch = Scratch(values.sparkSession)
+    counts = values.groupBy("level", "v").agg(F.count(F.lit(1)).alias("n"))
+    ranged = scratch.table(counts.repartitionByRange("level", "v").withColumn("part", F.spark_partition_id()), "ranged")
+    # a level lies in adjoining partitions, so there are no more totals than levels and partitions together
+    before = Window.partitionBy("level").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("level", "part").agg(F.sum("n").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
+    parts = parts.select("level", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"), *[f(c).over(Window.partitionBy("level")).alias(c) for f, c in ((F.sum, "m"), (F.min, "low"), (F.max, "high"))])
+    here = Window.partitionBy("level", "part").orderBy("v")
+    placed = ranged.withColumn("upto", F.sum("n").over(here)).join(parts.withColumnRenamed("level", "l"), F.col("level").eqNullSafe(F.col("l")) & (ranged["part"] == parts["part"]))
+    placed = placed.select("level", "v", "m", "low", "high", (F.col("start") + F.col("upto") - F.col("n")).alias("first"), (F.col("start") + F.col("upto") - 1).alias("last"))
+    rank = [F.lit(q) * (F.col("m") - 1) for q in qs]
+    at = lambda r: F.max(F.when((F.col("first") <= r) & (r <= F.col("last")), F.col("v")))
+    got = placed.groupBy("level").agg(F.first("m").alias("n"), F.first("low").alias("min"), F.first("high").alias("max"), *[x for k, r in enumerate(rank) for x in (at(F.floor(r)).alias(f"a{k}"), at(F.ceil(r)).alias(f"b{k}"))])
+    part = [F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1)) for q in qs]
+    return got.select("level", "n", "min", "max", F.array(*[F.col(f"a{k}") + (F.col(f"b{k}") - F.col(f"a{k}")) * x for k, x in enumerate(part)]).alias("q"))
+
+
+def column_quantiles(df: DataFrame, columns: list[str], qs: list[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of each column with linear interpolation, for tables of any size; None where a column has no values.
+
+    All columns go through the same few jobs; Spark's percentile holds all distinct values of a column in one task.
+    """
+    clean = [F.struct(F.lit(k).alias("level"), F.when(~missing(df, n), F.col(f"`{n}`").cast("double")).alias("v")) for k, n in enumerate(columns)]
+    got = {r["level"]: r["q"] for r in _ranked(df.select(F.inline(F.array(*clean))).where("v is not null"), qs).collect()}
+    return {n: got.get(k, [None] * len(qs)) for k, n in enumerate(columns)}
+
+
+def quantiles(df: DataFrame, column: str, qs: list[float]) -> list[float | None]:
+    """column_quantiles() of one column."""
+    return column_quantiles(df, [column], qs)[column]
 
 
 def describe(df: DataFrame, columns: list[str] | None = None, in_one_pass: int = 5_000_000) -> DataFrame:
     """(column, count, mean, std, min, p25, p50, p75, max) of numeric columns; quartiles interpolate linearly.
 
     Missing values are skipped; std has n - 1 below the line. Up to in_one_pass rows the exact quartiles come with the other
-    statistics in a single pass; beyond, where their state would outgrow a task, from quantiles().
+    statistics in a single pass; beyond, where their state would outgrow a task, from column_quantiles().
     """
-    names = columns or numeric_columns(df)
-    apart = df.count() > in_one_pass
+    names, parts = columns or numeric_columns(df), [0.25, 0.5, 0.75]
+    apart = column_quantiles(df, names, parts) if df.count() > in_one_pass else None
     stats = []
     for k, n in enumerate(names):
         c = F.when(~missing(df, n), F.col(f"`{n}`").cast("double"))
-        q = F.array(*[F.lit(v) for v in quantiles(df, n, [0.25, 0.5, 0.75])]).cast("array<double>") if apart else F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        q = F.array(*[F.lit(v) for v in apart[n]]).cast("array<double>") if apart else F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         stats.append(F.struct(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), F.max(c).alias("max")).alias(f"s{k}"))
     return _unpivot(df.agg(*stats), names, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
 
@@ -146,24 +152,10 @@ def crosstab(df: DataFrame, rows: str, columns: str, levels: list[str]) -> DataF
 def group_quartiles(df: DataFrame, group: str, value: str) -> DataFrame:
     """(level, n, min, p25, p50, p75, max): what a violin or box chart draws; a missing level is a level, missing values are skipped.
 
-    Exact, with linear interpolation, whatever a group's size: counts of distinct values are range-partitioned by group and
-    value, and only totals of (group, partition) say where a rank lies. No task holds all values of a group.
+    Exact, with linear interpolation, whatever a group's size; see _ranked().
     """
-    scratch = Scratch(df.sparkSession)
-    counts = df.where(~missing(df, value)).groupBy(F.col(f"`{group}`").alias("level"), F.col(f"`{value}`").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    ranged = scratch.table(counts.repartitionByRange("level", "v").withColumn("part", F.spark_partition_id()), "ranged")
-    # a group lies in adjoining partitions, so there are no more totals than groups and partitions together
-    before = Window.partitionBy("level").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = ranged.groupBy("level", "part").agg(F.sum("n").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
-    parts = parts.select("level", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"), *[f(c).over(Window.partitionBy("level")).alias(c) for f, c in ((F.sum, "m"), (F.min, "low"), (F.max, "high"))])
-    here = Window.partitionBy("level", "part").orderBy("v")
-    placed = ranged.withColumn("upto", F.sum("n").over(here)).join(parts.withColumnRenamed("level", "l"), F.col("level").eqNullSafe(F.col("l")) & (ranged["part"] == parts["part"]))
-    placed = placed.select("level", "v", "m", "low", "high", (F.col("start") + F.col("upto") - F.col("n")).alias("first"), (F.col("start") + F.col("upto") - 1).alias("last"))
-    q = {p: F.lit(p / 100) * (F.col("m") - 1) for p in (25, 50, 75)}
-    at = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank <= F.col("last")), F.col("v")))
-    got = placed.groupBy("level").agg(F.first("m").alias("n"), F.first("low").alias("min"), F.first("high").alias("max"), *[x for p, r in q.items() for x in (at(F.floor(r)).alias(f"a{p}"), at(F.ceil(r)).alias(f"b{p}"))])
-    between = [(F.col(f"a{p}") + (F.col(f"b{p}") - F.col(f"a{p}")) * (F.lit(p / 100) * (F.col("n") - 1) - F.floor(F.lit(p / 100) * (F.col("n") - 1)))).alias(f"p{p}") for p in q]
-    return got.select("level", "n", "min", *between, "max")
+    rows = df.where(~missing(df, value)).select(F.col(f"`{group}`").alias("level"), F.col(f"`{value}`").cast("double").alias("v"))
+    return _ranked(rows, [0.25, 0.5, 0.75]).select("level", "n", "min", *[F.col("q")[k].alias(c) for k, c in enumerate(("p25", "p50", "p75"))], "max")
 
 
 def density_grid(df: DataFrame, group: str, value: str, points: int = 100, cut: float = 2.0, bins: int = 1024) -> DataFrame:

@@ -389,3 +389,43 @@ def test_density_grid(spark):
         assert np.allclose(at, np.linspace(x.min() - 2 * h, x.max() + 2 * h, 50))
         want = np.exp(-(((at[:, None] - x) / h) ** 2) / 2).sum(1) / (len(x) * h * np.sqrt(2 * np.pi))
         assert np.allclose(density, want, atol=1e-4 * want.max())
+
+
+def test_quantiles_of_all_columns(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 50, (400, 3)).astype(float)
+    x[::5, 1] = np.nan
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a.b", "c", "d"])).withColumn("none", F.lit(None).cast("double")).repartition(5)
+    qs = [0.0, 0.1, 0.5, 0.99, 1.0]
+    got = profile.column_quantiles(df, ["a.b", "c", "d", "none"], qs)
+    assert got["none"] == [None] * 5
+    for k, n in enumerate(["a.b", "c", "d"]):
+        assert got[n] == pytest.approx(np.nanquantile(x[:, k], qs).tolist())
+    jobs = []
+    for columns in (["c"], ["a.b", "c", "d"]):
+        before = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+        profile.column_quantiles(df, columns, qs)
+        jobs.append(spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - before)
+    assert jobs[0] == jobs[1]
+    assert profile.describe(df, in_one_pass=0).collect() == profile.describe(df).collect()
+
+
+def test_dropped_rows_and_drop_missing_agree(spark):
+    df = spark.createDataFrame([(1.0, "x"), (float("nan"), "y"), (None, "z"), (2.0, None), (3.0, "NaN")], "`a.b` double, t string")
+    for columns, kept in ((["a.b"], 3), (["a.b", "t"], 2), (["t"], 4), ([], 5)):
+        out = prepare.drop_missing(df, columns)
+        assert out.count() == kept and prepare.dropped_rows(df, columns).first() == (5, kept, 5 - kept)
+
+
+def test_names_cannot_clash(spark):
+    df = spark.createDataFrame([(k, float(k), k, k, k, k) for k in (3, 1, 2)], "`i.d` long, `a.b` double, stats int, part int, n int, offset int")
+    assert sorted(r["a.b"] for r in prepare.min_max(df, ["a.b"]).collect()) == [0.0, 0.5, 1.0]
+    out = prepare.row_positions(df, "i.d", Scratch(spark))
+    assert out.columns == [*df.columns, "pos"] and sorted((r["i.d"], r.pos, r.part, r.n) for r in out.collect()) == [(1, 0, 1, 1), (2, 1, 2, 2), (3, 2, 3, 3)]
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    df = spark.createDataFrame([(c, 1.0) for c in "abcdef"], "id string, x double")
+    for f in (hdbscan.hdbscan, optics.optics):
+        with pytest.raises(ValueError, match="whole numbers"):
+            f(df, "id", ["x"])
