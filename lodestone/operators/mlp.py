@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import argmax
-from ..functions.sums import summed
+from ..functions.scratch import Scratch
+from ..functions.sums import SCHEMA, blocks, summed
+from .prepare import row_positions
 
 Layers = list[tuple[np.ndarray, np.ndarray]]
 
+ROWS_A_FILE = 100_000
+
 
 def initial_layers(sizes: list[int], seed: int) -> Layers:
     rng = np.random.default_rng(seed)
@@ -82,43 +86,66 @@ class MLPModel:
         return out.withColumn("prediction", argmax(F.col("probability"))).withColumn("confidence", F.array_max("probability"))
 
 
-def fit(df: DataFrame, vector_col: str, label_col: str, hidden: tuple[int, ...] = (128, 64), classes: int = 10, epochs: int = 3, batches: int = 8, rate: float = 0.001, seed: int = 42, batch_size: int | None = None, validation: float = 0.0) -> MLPModel:
-    """Synchronous Adam: each step takes the rows of one hashed batch, sums their gradients where they lie and updates
-    the weights, whose number is fixed by the layers, on the driver. Order of rows and partitions only moves rounding.
+def laid_out(df: DataFrame, vector_col: str, label_col: str, batches: int, batch_size: int | None, validation: float, order_col: str | None, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(rows (v, y, batch), number of batches): a table with a folder for each batch, so that a step reads its own rows only.
 
-    batch_size, if given, sets the number of batches. `validation` is the share of rows, by hash, that is left out of the
-    steps; the loss on them after each epoch is kept.
+    Batches are dealt by hash. Batch -1 are the rows left out for validation: the last share by order_col, or without
+    one a share by hash.
     """
-    rows = df.where(F.col(vector_col).isNotNull() & F.col(label_col).isNotNull())
-    held = F.pmod(F.xxhash64(F.lit("held out"), vector_col), F.lit(10_000)) < validation * 10_000
-    rows = rows.select(F.col(vector_col).alias("v"), F.col(label_col).cast("int").alias("y"), held.alias("held"), F.xxhash64(vector_col).alias("h")).persist()
-    dim = rows.select(F.size("v")).first()
-    if dim is None:
+    rows = df.where(F.col(f"`{vector_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull())
+    v = F.col(f"`{vector_col}`")
+    names = [v.cast("array<double>").alias("v"), F.col(f"`{label_col}`").cast("int").alias("y"), F.xxhash64(v).alias("h")]
+    if validation and order_col:
+        placed = row_positions(rows.select(*names, F.col(f"`{order_col}`").alias("at")), "at", scratch)
+        n = placed.count()
+        rows = placed.select("v", "y", "h", (F.col("pos") >= int(n * (1 - validation))).alias("held"))
+    else:
+        n = rows.count()
+        rows = rows.select(*names, (F.pmod(F.xxhash64(F.lit("held out"), v), F.lit(10_000)) < validation * 10_000).alias("held"))
+    if not n:
         raise ValueError("no rows to learn from")
     if batch_size:
-        batches = max(1, -(-rows.where("not held").count() // batch_size))
-    sizes = [dim[0], *hidden, classes]
+        batches = max(1, -(-(n - int(n * validation)) // batch_size))
+    rows = rows.withColumn("batch", F.when(F.col("held"), -1).otherwise(F.pmod("h", F.lit(batches))).cast("int"))
+    files = F.pmod(F.xxhash64("h"), F.lit(max(1, n // batches // ROWS_A_FILE)))
+    path = scratch.path("batches")
+    rows.repartition("batch", files).select("v", "y", "batch").write.partitionBy("batch").parquet(path)
+    return df.sparkSession.read.schema("v array<double>, y int, batch int").parquet(path), batches
+
+
+def fit(df: DataFrame, vector_col: str, label_col: str, hidden: tuple[int, ...] = (128, 64), classes: int = 10, epochs: int = 3, batches: int = 8, rate: float = 0.001, seed: int = 42, batch_size: int | None = None, validation: float = 0.0, order_col: str | None = None) -> MLPModel:
+    """Synchronous Adam: each step reads the rows of one batch, sums their gradients where they lie and updates the weights,
+    whose number is fixed by the layers, on the driver. Order of rows and partitions only moves rounding.
+
+    batch_size, if given, sets the number of batches. `validation` is the share of rows that is left out of the steps, the
+    last ones by order_col or else by hash; the loss on them after each epoch is kept. Rows without a vector or label are
+    left out.
+    """
+    rows, batches = laid_out(df, vector_col, label_col, batches, batch_size, validation, order_col, Scratch(df.sparkSession))
+    sizes = [rows.select(F.size("v")).first()[0], *hidden, classes]
     flat = _flat(initial_layers(sizes, seed))
 
-    def totals(part: DataFrame, layers: Layers) -> np.ndarray:
-        """Sums over rows: the gradient, the loss, the number of rows."""
+    def totals(batch: int, layers: Layers) -> np.ndarray:
+        """Sums over the rows of a batch: the gradient, the loss, the number of rows."""
 
-        def partial(pdfs):
+        def partial(parts):
             total = np.zeros(len(flat) + 2)
-            for pdf in pdfs:
-                if len(pdf):
-                    g, loss = gradient(layers, np.stack(pdf["v"].to_list()).astype(float), pdf["y"].to_numpy())
-                    total += np.concatenate([g, [loss, len(pdf)]])
-            yield pd.DataFrame({"at": np.arange(len(total)), "x": total})
+            for part in parts:
+                if part.num_rows:
+                    x = part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    g, loss = gradient(layers, x, part.column(1).to_numpy())
+                    total += np.concatenate([g, [loss, part.num_rows]])
+            if total[-1]:
+                yield from blocks(total)
 
-        return summed(part.select("v", "y").mapInPandas(partial, "at int, x double"), len(flat) + 2)
+        return summed(rows.where(F.col("batch") == batch).select("v", "y").mapInArrow(partial, SCHEMA), len(flat) + 2)
 
     m = s = np.zeros_like(flat)
     losses, outside, t = [], [], 0
     for _ in range(epochs):
         loss = n = 0
         for k in range(batches):
-            total = totals(rows.where(~F.col("held") & (F.pmod("h", F.lit(batches)) == k)), _shaped(flat, sizes))
+            total = totals(k, _shaped(flat, sizes))
             count = total[-1]
             if not count:
                 continue
@@ -128,9 +155,8 @@ def fit(df: DataFrame, vector_col: str, label_col: str, hidden: tuple[int, ...]
             flat = flat - rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-7)
         losses.append(float(loss / n) if n else float("nan"))
         if validation:
-            total = totals(rows.where("held"), _shaped(flat, sizes))
+            total = totals(-1, _shaped(flat, sizes))
             outside.append(float(total[-2] / total[-1]) if total[-1] else float("nan"))
-    rows.unpersist()
     return MLPModel(_shaped(flat, sizes), tuple(losses), tuple(outside))
 
 

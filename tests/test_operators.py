@@ -429,3 +429,55 @@ def test_ids_that_are_no_numbers_are_refused(spark):
     for f in (hdbscan.hdbscan, optics.optics):
         with pytest.raises(ValueError, match="whole numbers"):
             f(df, "id", ["x"])
+
+
+def plain_fit(x, y, batch, hidden, classes, epochs, batches, rate, seed=42):
+    """Adam over given batches on one machine."""
+    layers = mlp.initial_layers([x.shape[1], *hidden, classes], seed)
+    flat, sizes = mlp._flat(layers), [x.shape[1], *hidden, classes]
+    m = s = np.zeros_like(flat)
+    losses, t = [], 0
+    for _ in range(epochs):
+        total = n = 0
+        for k in range(batches):
+            rows = batch == k
+            if rows.any():
+                g, loss = mlp.gradient(mlp._shaped(flat, sizes), x[rows], y[rows])
+                total, n, t = total + loss, n + rows.sum(), t + 1
+                g = g / rows.sum()
+                m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
+                flat = flat - rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-7)
+        losses.append(total / n)
+    return flat, losses
+
+
+def test_mlp_matches_numpy(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(240, 70))  # 4,000 weights and more: several blocks
+    y = (x[:, 0] > 0).astype(int) + (x[:, 1] > 1)
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))], "id long, `v.x` array<double>, y int").repartition(5)
+    rows, n = mlp.laid_out(df, "v.x", "y", 3, None, 0.25, "id", Scratch(spark))
+    known = {tuple(v): i for i, v in enumerate(x.tolist())}
+    batch = np.empty(240, int)
+    for r in rows.collect():
+        batch[known[tuple(r.v)]] = r.batch
+    assert n == 3 and (batch[180:] == -1).all() and (batch[:180] >= 0).all()  # the last quarter by id
+    model = mlp.fit(df, "v.x", "y", hidden=(60,), classes=3, epochs=3, batches=3, rate=0.01, validation=0.25, order_col="id")
+    flat, losses = plain_fit(x, y, batch, (60,), 3, 3, 3, 0.01)
+    assert np.allclose(mlp._flat(model.layers), flat, atol=1e-9) and model.losses == pytest.approx(losses)
+    _, outside = mlp.gradient(mlp._shaped(flat, [70, 60, 3]), x[180:], y[180:])
+    assert model.held_out_losses[-1] == pytest.approx(outside / 60)
+    one = rows.where("batch = 1")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(batch" in one  # a step reads its own batch
+
+
+def test_wide_pca(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(120, 8)) * [9, 7, 5, 3, 1, 0.5, 0.2, 0.1] @ rng.normal(size=(8, 60)) + rng.normal(size=(120, 60)) * 0.01 + 3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "id long, `v.x` array<double>").repartition(3)
+    exact, wide = pca.fit(df, "v.x", 3), pca.fit(df, "v.x", 3, widest=10)
+    assert np.allclose(exact.explained_variance, wide.explained_variance) and exact.total_variance == pytest.approx(wide.total_variance)
+    a, b = ([r.scores for r in m.transform(df.where("id < 999"), "`v.x`").orderBy("id").collect()] for m in (exact, wide))
+    assert np.allclose(a, b, atol=1e-6)
+    with pytest.raises(ValueError):
+        pca.leading(df.limit(0), "v.x", 2)
