@@ -16,6 +16,7 @@ from ..functions import scalars
 from ..functions.scratch import Scratch
 from ..functions.shipping import ship
 from ..operators import charts, dbscan, hdbscan, kmeans, mlp, neighbors, optics, pca, prepare, profile, sentiment
+from ..sources import loaders
 from ..streaming import scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,7 +27,12 @@ def query(name: str, sql: str | None = None):
     def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship(spark)
-            return f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+            def table(name: str) -> DataFrame:
+                return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+            table.in_order = lambda name: loaders.read_parquet_in_order(spark, f"{sf_dir}/{name}.parquet")
+            return f(table)
 
         QUERIES[name] = run
         if sql:
@@ -241,6 +247,16 @@ def _(t):
     return flat.select("vec_id", F.col("v")[0].cast("double").alias("first"), F.col("v")[63].cast("double").alias("last"), F.size("v").cast("long").alias("n"))
 
 
+@query("file_positions_orders", "SELECT o_orderkey, row_number() OVER () - 1 AS pos FROM orders")
+def _(t):
+    return t.in_order("orders").select("o_orderkey", "pos")
+
+
+@query("file_head_customer", "SELECT c_custkey, c_name, CAST(pos AS BIGINT) AS pos FROM (SELECT *, row_number() OVER () - 1 AS pos FROM customer) WHERE pos < 5")
+def _(t):
+    return loaders.first_rows(t.in_order("customer")).select("c_custkey", "c_name", "pos")
+
+
 @query("row_positions_orders", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders")
 def _(t):
     rows = t("orders").select("o_orderkey")
@@ -475,6 +491,12 @@ def _(t):
     return customer_clusters(t)
 
 
+@query("dbscan_scatter", DBSCAN + "SELECT c_acctbal AS x, c_nationkey AS y, cluster FROM customer JOIN l ON id = c_custkey")
+def _(t):
+    rows = dbscan.dbscan_attach(t("customer"), customer_clusters(t), "c_custkey")
+    return charts.scatter_series(rows, "c_acctbal", "c_nationkey", "cluster_label")
+
+
 @query("dbscan_summary", DBSCAN + "SELECT cluster AS label, count(*) AS n FROM l GROUP BY 1")
 def _(t):
     return profile.label_counts(customer_clusters(t), "cluster")

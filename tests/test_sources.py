@@ -94,3 +94,13 @@ def test_sentiment_run(spark, tmp_path):
     assert runs.sentiment_run(spark, f"{tmp_path}/none", f"{tmp_path}/lex.txt").report().startswith("Texts analysed: 0")
     with pytest.raises(ValueError):
         runs.sentiment_run(spark, f"{tmp_path}/mails", f"{tmp_path}/lex.txt", most=0)
+
+
+def test_file_order(spark, tmp_path):
+    for k, rows in (("b", [5, 3]), ("a", [9, 1, 7]), ("c", [2])):
+        spark.createDataFrame([(v, 1) for v in rows], "v int, pos int").coalesce(1).write.parquet(f"{tmp_path}/t/part={k}")
+    df = loaders.read_parquet_in_order(spark, f"{tmp_path}/t", out="at")
+    assert [(r.part, r.v, r.pos, r["at"]) for r in df.orderBy("at").collect()] == [("a", 9, 1, 0), ("a", 1, 1, 1), ("a", 7, 1, 2), ("b", 5, 1, 3), ("b", 3, 1, 4), ("c", 2, 1, 5)]
+    assert [r.v for r in loaders.first_rows(df, 4, "at").collect()] == [9, 1, 7, 5]
+    with pytest.raises(loaders.MissingColumns):
+        loaders.read_parquet_in_order(spark, f"{tmp_path}/t", ["w"])
