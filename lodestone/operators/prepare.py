@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, NumericType
 
 from ..functions.scalars import to_number
+from ..functions.scratch import Scratch
 from ..sources.loaders import require_columns
 from .profile import column_quantiles, missing
 
@@ -176,3 +177,14 @@ def row_positions(df: DataFrame, id_col: str, scratch, out: str = "pos") -> Data
     placed = ranged.withColumn(local, F.row_number().over(Window.partitionBy(part).orderBy(key)) - 1).join(offsets, part)
     names = [F.col(f"`{c}`") for c in df.columns if c != out]
     return placed.select(*names, (F.col(offset) + F.col(local)).cast("long").alias(out))
+
+
+def in_order(df: DataFrame, out: str = "pos") -> DataFrame:
+    """The rows of files just read, of any format, with their 0-based places in the order of paths and places within files.
+
+    Where a format has no row numbers, as CSV, rows are sorted by file, block and place in the block, over all tasks.
+    """
+    scratch = Scratch(df.sparkSession)
+    key = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.alias("key"))
+    return row_positions(scratch.table(rows, "rows"), "key", scratch, "at").select("row.*", F.col("at").alias(out))
