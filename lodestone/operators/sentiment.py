@@ -1,7 +1,7 @@
 """Lexicon-based sentiment of texts after Hutto and Gilbert 2014: word valences, optional context rules, labels.
 
 The rules run in one of two ways with the same results. With a lexicon that fits a worker, texts go through Python in Arrow
-batches, which was measured to take a fifth of the time. With any lexicon they run as expressions over an array of each
+batches, which was measured to take a third of the time. With any lexicon they run as expressions over an array of each
 text's words (fold): every word looks at the lexicon once and at the words beside it, and nothing leaves the JVM. There a
 lexicon of moderate size becomes an array of small maps, one of which a word's hash points at; a larger one is joined by
 word, and each text gets the entries it has.
