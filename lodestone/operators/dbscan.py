@@ -22,6 +22,7 @@ from .prepare import attach_labels, standardise
 
 GRID_FEATURES = 3  # those of widest range; 27 coarse cells meet, other features only filter
 LISTED = 4096  # pairs of points of two boxes that are compared one by one
+FEW = 64  # points of a box that are looked at one by one for a count
 DEALT = 10_000  # points of a cell under one key
 SLACK = 1 + 1e-9  # boxes decide only what rounding cannot change
 
@@ -99,22 +100,72 @@ class _Grid:
         return left.join(right, ["bcell", "deal"]).where(self.exact("a", "b"))
 
 
+def _around(grid: _Grid, points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, around): how many rows of other cells lie within eps of each of the points (aid, acell, ax0, ...).
+
+    Boxes wholly near count as they are, small ones by their points; what is large and undecided is halved and asked again,
+    so a point meets only boxes that its circle cuts, however full the cells are.
+    """
+    scratch, d, counted = grid.scratch, grid.d, []
+    point = ["aid", *[f"a{x}" for x in grid.x]]
+    ask = grid.asked(points, pairs).select(*point, "bcell", "bn", "bm", grid.whole("a", "b").alias("whole"))
+    ask, level, key = scratch.table(ask, "asked"), 0, ["cell"]
+    while True:
+        counted.append(ask.where("whole").select("aid", F.col("bn").alias("w")))
+        open_, few = ask.where("not whole"), F.col("bm") <= FEW
+        side = grid.points.select(*grid.x, "w", "cell", *([grid.cell(level).alias("sub")] if level else []))
+        listed = open_.where(few).select(*point, *[f"b{k}" for k in key]).join(_named(side, "b", [*key, "w", *grid.x]), [f"b{k}" for k in key])
+        counted.append(listed.where(grid.exact("a", "b")).select("aid", F.col("bw").alias("w")))
+        todo = open_.where(~few).select(*point, *[f"b{k}" for k in key])
+        if todo.isEmpty():
+            break
+        level += 1
+        halves = grid.points.join(todo.select(F.col("bcell").alias("cell")).distinct(), "cell", "left_semi").withColumn("sub", grid.cell(level))
+        halves = halves.groupBy("cell", "sub").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("m"), *_box(d))
+        halves = halves.withColumn("within", F.transform("sub", lambda s: F.floor(s / 2)))
+        of = _named(halves, "b", ["cell", "sub", "within", "n", "m", *grid.box])
+        todo = todo.withColumnRenamed("bsub", "bwithin").join(of, ["bcell", *(["bwithin"] if level > 1 else [])])
+        todo = todo.select("*", *[F.col(f"ax{j}").alias(f"a{k}{j}") for j in range(d) for k in "lh"])
+        ask = todo.where(grid.near("a", "b")).select(*point, "bcell", "bsub", "bn", "bm", grid.whole("a", "b").alias("whole"))
+        ask, key = scratch.table(ask, "asked"), ["cell", "sub"]
+    out = counted[0]
+    for c in counted[1:]:
+        out = out.union(c)
+    return out.groupBy(F.col("aid").alias("id")).agg(F.sum("w").alias("around"))
+
+
 def _core_ids(grid: _Grid, pairs: DataFrame, min_samples: int) -> DataFrame:
-    """The points with is_core: all of full cells, others if boxes and listed points near them add up to min_samples."""
-    d = grid.d
-    sized = grid.points.join(grid.cells.select("cell", "n", "m"), "cell")
-    sparse = sized.where(F.col("n") < min_samples)
-    ask = grid.asked(_named(sparse, "a", ["id", "cell", "n", *grid.x]), pairs)
-    ask = ask.select("aid", *[f"ax{j}" for j in range(d)], "bcell", "bn", "bm", grid.whole("a", "b").alias("whole"))
-    ask = grid.scratch.table(ask, "asked")
-    right = _named(sized, "b", ["id", "cell", "w", "m", *grid.x])
-    counted = ask.where("whole").select("aid", F.col("bn").alias("w")).union(grid.listed(ask.where("not whole").drop("bn"), right).select("aid", F.col("bw").alias("w")))
-    counted = counted.groupBy(F.col("aid").alias("id")).agg(F.sum("w").alias("around"))
+    """The points with is_core: all of full cells, others if they and what is around add up to min_samples."""
+    sized = grid.points.join(grid.cells.select("cell", "n"), "cell")
+    counted = _around(grid, _named(sized.where(F.col("n") < min_samples), "a", ["id", "cell", *grid.x]), pairs)
     out = sized.join(counted, "id", "left")
     out = out.select("id", *grid.x, "w", "cell", (F.col("n") + F.coalesce("around", F.lit(0)) >= min_samples).alias("is_core"))
     return grid.scratch.table(out, "judged")
 
 
+def neighbor_counts(df: DataFrame, id_col: str, features: list[str], eps: float) -> DataFrame:
+    """(id, n_neighbors): how many rows lie within eps of each row with all features present, itself counted.
+
+    The counts of neighbors.neighbor_counts(), without a list of pairs: full cells count as a whole.
+    """
+    rows, grid = _gridded(df, id_col, features, eps, False)
+    sized = grid.points.join(grid.cells.select("cell", "n"), "cell")
+    around = _around(grid, _named(grid.points, "a", ["id", "cell", *grid.x]), grid.adjoining())
+    counts = sized.join(around, "id", "left").select(*grid.x, (F.col("n") + F.coalesce("around", F.lit(0))).alias("n_neighbors"))
+    return rows.join(grid.scratch.table(counts, "counts"), grid.x).select("id", "n_neighbors")
+
+
+def _gridded(df: DataFrame, id_col: str, features: list[str], eps: float, scale: bool) -> tuple[DataFrame, _Grid]:
+    """The complete rows (id, x0, x1, ...) and a grid of them, in which equal rows are one point."""
+    if not eps > 0:
+        raise ValueError("eps has to be above 0")
+    scratch, d = Scratch(df.sparkSession), len(features)
+    names = [f"x{j}" for j in range(d)]
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), *[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(features, names)]).dropna()
+    rows = scratch.table(standardise(rows, names) if scale else rows, "rows")
+    return rows, _Grid(rows.groupBy(*names).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")), d, float(eps), scratch)
+
+
 def _links(grid: _Grid, core: DataFrame, boxes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b): the least core ids of two cells that hold core points within eps of each other."""
     scratch, d, found = grid.scratch, grid.d, []
@@ -159,14 +210,8 @@ def dbscan(df: DataFrame, id_col: str, features: list[str], eps: float = 0.5, mi
     """
     if min_samples < 1:
         raise ValueError("min_samples has to be 1 at least")
-    if not eps > 0:
-        raise ValueError("eps has to be above 0")
-    scratch, d = Scratch(df.sparkSession), len(features)
-    names = [f"x{j}" for j in range(d)]
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), *[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(features, names)]).dropna()
-    rows = scratch.table(standardise(rows, names) if scale else rows, "rows")
-    # equal rows are one point
-    grid = _Grid(rows.groupBy(*names).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")), d, float(eps), scratch)
+    rows, grid = _gridded(df, id_col, features, eps, scale)
+    scratch, d, names = grid.scratch, grid.d, grid.x
     pairs = grid.adjoining()
     points = _core_ids(grid, pairs, min_samples)
     core = points.where("is_core")

@@ -301,6 +301,11 @@ def _(t):
     return neighbors.neighbor_counts(customer_pairs(t))
 
 
+@query("cell_neighbor_counts", SQL["eps_neighbor_counts"])
+def _(t):
+    return dbscan.neighbor_counts(t("customer"), "c_custkey", ["c_acctbal"], 15.0)
+
+
 @query("core_distance_customer", f"WITH {CUSTOMERS}, {CORE} SELECT id, round(core_distance, 4) AS core_distance FROM cores")
 def _(t):
     return rounded(neighbors.core_distances(customer_pairs(t), 5), "core_distance")
@@ -517,7 +522,7 @@ OPTICS_CORE = "WITH pts AS (SELECT c_custkey AS id, c_acctbal AS x, CAST(c_natio
 @query("optics_core", OPTICS_CORE + " SELECT id, round(core_distance, 4) AS core_distance FROM cores")
 def _(t):
     # no ordering is needed for these
-    pairs = neighbors.eps_pairs(t("customer"), "c_custkey", ["c_acctbal", "c_nationkey"], 15.0)
+    pairs = neighbors.eps_pairs(t("customer"), "c_custkey", ["c_acctbal"], 15.0)
     return rounded(neighbors.core_distances(pairs, 5), "core_distance")
 
 

@@ -43,6 +43,7 @@ def test_matches_plain(spark, seed, d, eps, least):
 def test_large_boxes_are_halved(spark, monkeypatch):
     monkeypatch.setattr(dbscan, "LISTED", 1)
     monkeypatch.setattr(dbscan, "DEALT", 3)
+    monkeypatch.setattr(dbscan, "FEW", 2)
     rng = np.random.default_rng(9)
     # two strips whose nearest points are eps apart or a little more
     strip = rng.uniform(0, 1, (60, 2)) * [0.3, 0.5]
@@ -57,6 +58,18 @@ def test_a_hundred_thousand_equal_rows(spark):
     df = df.union(spark.createDataFrame([(100_000, 1.3, 2.0), (100_001, 9.0, 9.0)], "id long, x double, y double"))
     got = dbscan.dbscan(df, "id", ["x", "y"], eps=0.5, min_samples=10, scale=False)
     assert sorted(map(tuple, got.groupBy("cluster", "is_core").count().collect())) == [(-1, False, 1), (0, True, 100_001)]
+    counts = dbscan.neighbor_counts(df, "id", ["x", "y"], 0.5).groupBy("n_neighbors").count()
+    assert sorted(map(tuple, counts.collect())) == [(1, 1), (100_001, 100_001)]
+
+
+@pytest.mark.parametrize("few", [1, 64])
+def test_neighbor_counts(spark, monkeypatch, few):
+    monkeypatch.setattr(dbscan, "FEW", few)
+    rng = np.random.default_rng(12)
+    x = np.round(np.concatenate([rng.normal(size=(200, 2)) * 0.2, rng.uniform(-2, 2, (60, 2))]), 2)
+    x = np.concatenate([x, x[:20]])
+    got = dbscan.neighbor_counts(points(spark, x.tolist()), "id", ["f.0", "f.1"], 0.3).orderBy("id").collect()
+    assert [r.n_neighbors for r in got] == (np.sqrt(((x[:, None] - x) ** 2).sum(-1)) <= 0.3).sum(1).tolist()
 
 
 def test_full_cells_side_by_side(spark):
