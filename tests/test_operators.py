@@ -358,11 +358,12 @@ def test_stream_and_batch_agree(spark, tmp_path):
     assert sorted(spark.table("counts").collect()) == sorted(scoring.cluster_counts(df, model).collect())
 
 
-def test_group_quartiles(spark):
+@pytest.mark.parametrize("in_one_pass", [0, 100_000])
+def test_group_quartiles(spark, in_one_pass):
     rng = np.random.default_rng(5)
     rows = [("hot", float(x)) for x in rng.integers(0, 400, 3000)] + [(g, float(x)) for g in "abc" for x in rng.normal(size=7)] + [("one", 2.0), ("hot", None), ("a", float("nan")), (None, 1.0), (None, 4.0)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(5)
-    got = {r.level: r for r in profile.group_quartiles(df, "g", "v").collect()}
+    got = {r.level: r for r in profile.group_quartiles(df, "g", "v", in_one_pass).collect()}
     want = {}
     for g, v in rows:
         if v is not None and v == v:
@@ -371,7 +372,7 @@ def test_group_quartiles(spark):
     for g, vs in want.items():
         assert got[g].n == len(vs)
         assert np.allclose([got[g][k] for k in ("min", "p25", "p50", "p75", "max")], np.percentile(vs, [0, 25, 50, 75, 100]))
-    assert profile.group_quartiles(df.limit(0), "g", "v").count() == 0
+    assert profile.group_quartiles(df.limit(0), "g", "v", in_one_pass).count() == 0
 
 
 def test_density_grid(spark):
