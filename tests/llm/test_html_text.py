@@ -94,3 +94,60 @@ def test_unclosed_quotes_and_the_articles_heading():
     page = f'<article><div class="entry-header"><h1>Title</h1></div><p>{text}</p><div class="share-header">Share</div><p>{text}</p></article>'
     assert main_text(page).startswith("Title\n\n") and "Share" not in main_text(page)
     assert main_text('<p alt="x > y">kept</p><img alt="a > b">') == "kept"
+
+
+FOOT = "<div><a href=/a>About</a></div><div><a href=/b>Jobs</a></div><div><a href=/c>Help</a></div><div>All rights</div>"
+STORY = f"<h1>Head</h1><p>{LONG}</p><p>Short end.</p>"
+WANT = ["Head", LONG.strip(), "Short end."]
+
+
+def test_wrappers_that_hold_the_article():
+    for tag in ('div class="story related-page"', 'div class="page-with-sidebar"', 'form id="aspnetForm"', 'div class="no-comments single"', "header", "aside", 'section role="complementary"'):
+        name = tag.split()[0]
+        assert main_text(f"<body><{tag}>{STORY}</{name}>{FOOT}</body>").split("\n\n") == WANT, tag
+        assert main_text(f"<body><nav>Menu</nav><main><{tag}>{STORY}<div class=comments><p>{LONG}</p><p>{LONG}</p></div></{name}></main>{FOOT}</body>").split("\n\n") == WANT, tag
+    both = f'<form id="f"><div class="page-with-sidebar">{STORY}</div><div class="sidebar">Ads here.</div></form>'
+    assert main_text(both).split("\n\n") == WANT
+
+
+def test_long_elements_that_hold_no_article():
+    few = f"<article><p>{LONG}</p></article>"
+    for other in ("<div class=comments>", "<div id=disqus>", "<div class='cookie consent'>", "<div class=sidebar>", "<aside>"):
+        end = "</aside>" if other == "<aside>" else "</div>"
+        assert main_text(f"{few}{other}{f'<p>{LONG}</p>' * 2}{end}") == LONG.strip(), other
+    assert main_text(f"<div><p>{LONG}</p></div><div class=comments>{f'<p>{LONG}</p>' * 9}</div>") == LONG.strip()
+    assert main_text(f"<div class=comments><p>{LONG}</p></div>") == ""
+    assert main_text(f"<nav>{LONG}</nav>") == main_text(f"<div hidden><h1>x</h1>{LONG}</div>") == ""
+
+
+def test_short_parts_of_a_text():
+    links = "".join(f"<div><a href=/{k}>Item {k}</a></div>" for k in range(4))
+    assert main_text(f"<body><div><p>{LONG}</p>{links}<p>Last words.</p></div>{FOOT}</body>").split("\n\n") == [LONG.strip(), "Last words."]
+    assert main_text(f"<body><div><h1>Head</h1></div><nav>Menu</nav><div><p>{LONG}</p></div>{FOOT}</body>").split("\n\n") == ["Head", LONG.strip()]
+    assert main_text(f"<body><div><p>{LONG}</p></div><aside>Other</aside><div><p>Last words of it.</p></div>{FOOT}</body>").split("\n\n") == [LONG.strip(), "Last words of it."]
+    assert main_text(f"<body><div><p>{LONG}</p></div><aside>Other</aside><div>© 2020 The Company. All rights reserved.</div></body>") == LONG.strip()
+
+
+def test_links_that_belong_to_the_article():
+    cited = "".join(f"<li><a href=/{k}>Work {k}</a></li>" for k in range(4))
+    works = [f"Work {k}" for k in range(4)]
+    assert main_text(f"<article><p>{LONG}</p><h2>References</h2><ul>{cited}</ul></article>").split("\n\n") == [LONG.strip(), "References", *works]
+    long = "".join(f"<li><a href=/{k}>A longer title of the work with number {k}</a></li>" for k in range(4))
+    assert main_text(f"<article><p>{LONG}</p><ol>{long}</ol><p>End.</p></article>").count("A longer title") == 4
+    assert main_text(f"<article><p><a href=x>{LONG}</a></p><p><a href=y>{LONG}</a></p></article>").split("\n\n") == [LONG.strip()] * 2
+    assert main_text(f"<article><p>{LONG}</p><p class=comment>So much for that.</p></article>").split("\n\n")[0] == LONG.strip()
+    note = "The author adds that nothing of this is certain as yet."
+    assert note in main_text(f"<article><p>{LONG}</p><p class=comment>{note}</p></article>")
+
+
+def test_depth_and_marked_inline_elements():
+    for depth in (3, 70, 500):
+        page = "<div>" * depth + f"<div><p>{LONG}</p><div class=ad>Buy</div><p>End.</p></div><div class=ad>Buy</div><div>All rights</div>" + "</div>" * depth
+        assert main_text(page).split("\n\n") == [LONG.strip(), "End."]
+    assert main_text(f"<p>{LONG}</p><p><span class=ad>Buy <span>now</span></span> the text goes on here for a while.</p>").split("\n\n") == [LONG.strip(), "the text goes on here for a while."]
+    import time
+
+    deep = "".join(f"<div><p>a{k}</p><nav></nav>" for k in range(20_000)) + "<p>end</p></div>" * 20_000
+    began = time.perf_counter()
+    main_text(deep)
+    assert time.perf_counter() - began < 6
