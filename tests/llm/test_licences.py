@@ -77,3 +77,63 @@ def test_screen_loses_nothing(docs, model):
         ts = licences.tokens(p)
         likely = [f for f, x in zip(model.families, model.probabilities(ts)) if x >= model.threshold]
         assert sorted(f for f in likely if model.confirmed(f, ts) >= model.agreement) == sorted(f for f, _, _ in model.families_of(p))
+
+
+def test_titles_short_forms_and_bodies(model):
+    found = {
+        "MIT License": "MIT", "The MIT License (MIT)": "MIT", "Code is MIT licensed.": "MIT", "License: BSD-3-Clause": "BSD", "This software is distributed under GPLv3.": "GPL-3.0", "GPL-3.0-or-later": "GPL-3.0",
+        "Apache-2.0": "Apache-2.0", "Eclipse Public License - v 2.0": "EPL-2.0", "Licensed under the EUPL, Version 1.2": "EUPL-1.2", "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0", "zlib License": "Zlib",
+        "Released under a BSD license.": "BSD", "It is released under CC BY-SA 4.0": "CC-BY-SA-4.0", licences.TEMPLATES["Apache-2.0"][5]: "Apache-2.0",
+        "Activities other than copying, distribution and modification are not covered by this License; they are outside its scope. The act of running the Program is not restricted.": "GPL-2.0",
+    }
+    for text, family in found.items():
+        assert {h[1] for h in model.scan(text)[1]} == {family}, text
+    for text in ("This project is not licensed under the MIT License.", "The MIT License is popular among students.", "We compared the MIT License with the GPLv3.", "Is the MIT License good?", "license", "The MIT license of the car was revoked by the court yesterday."):
+        assert not model.scan(text)[1], text
+
+
+def plain_scan(model, text):
+    """scan() without screens, caches or shared loops: every line and every sentence against every family and template."""
+
+    def judged(part):
+        ts = re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", part.lower())
+        pairs = {(a, b) for a, b in zip(ts, ts[1:])}
+        columns = {model.index[g] for n in (1, 2, 3) for i in range(len(ts) - n + 1) if (g := tuple(ts[i : i + n])) in model.index}
+        out = []
+        for k, f in enumerate(model.families):
+            z = (model.bias[k] + sum(model.weights[c, k] for c in columns)) / model.temperature
+            shares = [len(pairs & t) / len(t) for t in model.templates[f]]
+            shares += [len(pairs & t) / len(pairs) for t in model.templates[f] if len(pairs) >= 5]
+            shares += [len(pairs & t) / max(len(pairs), len(t)) for t in model.titles[f] if pairs and len(ts) <= 10]
+            if 1 / (1 + 2.718281828459045 ** -max(-60.0, min(60.0, z))) >= model.threshold and max(shares) >= model.agreement:
+                out.append(f)
+        return out
+
+    hits, n = set(), 0
+    for block in re.split(r"(?:^|\n)(?:[^\S\n]*(?:\n|$))+", text):
+        lines = block.split("\n") if block.strip() else []
+        own, seen = {}, set()
+        for k, line in enumerate(lines):
+            for f in judged(line):
+                own.setdefault(f, n + k)
+        seen = set(own)
+        if len(lines) > 1 or re.search(r"[.!?;]\s", block):
+            at = 0
+            for part in re.split(r"(?<=[.!?;])(?=\s)", block):
+                where = n + block.count("\n", 0, at + len(part) - len(part.lstrip()))
+                at += len(part)
+                for f in judged(part) if part.strip() else []:
+                    if f not in seen:
+                        own[f] = min(own.get(f, where), where)
+        hits |= {(line, f) for f, line in own.items()}
+        n += len(lines)
+    return n, sorted(hits)
+
+
+def test_scan_against_a_plain_reading(spark, model):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = [t for ts in licences.TEMPLATES.values() for t in ts] + ["One.\nMIT License\n\nWords; it is MIT licensed.\nEnd", "a\n \nReleased under\nthe MIT License.", "MIT License\nApache-2.0"]
+    docs = docs.union(spark.createDataFrame([(-k, t) for k, t in enumerate(texts, 1)], docs.schema)).cache()
+    want = {r.doc_id: plain_scan(model, r.text or "") for r in docs.collect()}
+    got = {r.doc_id: (r.n_paragraphs, sorted((h.paragraph, h.family) for h in r.hits)) for r in licences.scan(docs, model).collect()}
+    assert got == want and sum(bool(h) for _, h in want.values()) > 100
