@@ -238,13 +238,37 @@ class LicenceModel:
     def title_pairs(self) -> frozenset:
         return frozenset().union(*(t for ts in self.titles.values() for t in ts))
 
-    def worth(self, ts: list[str], lines: list[list[str]] | None = None) -> bool:
-        """Whether a template may be confirmed in the words, or a title in one of the lines (the words as one, if none are given)."""
-        named = self.title_pairs
-        if any(len(own) <= TITLE and not named.isdisjoint(zip(own, own[1:])) for own in (lines or [ts])):
-            return True
-        known = self.pairs
-        return len({p for p in zip(ts, ts[1:]) if p in known}) >= self.least_pairs
+    @cached_property
+    def holders(self) -> dict[tuple[str, str], list[tuple[int, int, int, bool]]]:
+        """For each pair of words the (number, family, size, whether it is a title) of the templates that have it."""
+        out: dict = {}
+        every = [(k, t, title) for k, f in enumerate(self.families) for ts, title in ((self.templates[f], False), (self.titles.get(f, ()), True)) for t in ts]
+        for n, (k, t, title) in enumerate(every):
+            for p in t:
+                out.setdefault(p, []).append((n, k, len(t), title))
+        return out
+
+    def worth(self, ts: list[str]) -> bool:
+        """Whether a template may be confirmed somewhere in the words, or a title in a line of them."""
+        known, named = self.pairs, self.title_pairs
+        own = {p for p in zip(ts, ts[1:]) if p in known or p in named}
+        return len(own) >= self.least_pairs and len(own & known) >= self.least_pairs or not own.isdisjoint(named)
+
+    def agreements(self, ts: list[str]) -> dict[int, float]:
+        """confirmed() of the families that share a pair of words with the paragraph."""
+        own = set(zip(ts, ts[1:]))
+        both: dict = {}
+        for p in own:
+            for t in self.holders.get(p, ()):
+                both[t] = both.get(t, 0) + 1
+        best: dict[int, float] = {}
+        for (_, k, size, title), n in both.items():
+            if title:
+                share = n / max(size, len(own)) if len(ts) <= TITLE else 0.0
+            else:
+                share = max(n / size, n / len(own) if len(own) >= PART else 0.0)
+            best[k] = max(best.get(k, 0.0), share)
+        return best
 
     def found(self, ts: list[str]) -> list[int]:
         """Columns of the known grams among tokens."""
@@ -284,9 +308,11 @@ class LicenceModel:
         ts = tokens(paragraph)
         if not self.worth(ts):
             return []
+        same = {k: v for k, v in self.agreements(ts).items() if v >= self.agreement}
+        if not same:
+            return []
         p = self.probabilities(ts)
-        got = [(self.families[k], float(p[k]), self.confirmed(self.families[k], ts)) for k in np.flatnonzero(p >= self.threshold)]
-        return sorted((g for g in got if g[2] >= self.agreement), key=lambda g: (-g[1], g[0]))
+        return sorted(((self.families[k], float(p[k]), v) for k, v in same.items() if p[k] >= self.threshold), key=lambda g: (-g[1], g[0]))
 
     def classify(self, paragraph: str) -> tuple[str, float, float]:
         """(likeliest family, probability, agreement with its templates), or unknown."""
@@ -313,9 +339,7 @@ class LicenceModel:
 
     def _block(self, lines: list[str], first: int) -> list[tuple[int, str, float, float]]:
         whole = "\n".join(lines)
-        ends = [m.end() for m in SENTENCE_END.finditer(whole)]
-        parts = [whole[a:b] for a, b in zip([0, *ends], [*ends, len(whole)])]
-        if not self.worth(tokens(whole), [tokens(x) for x in (*lines, *parts)]):
+        if not self.worth(tokens(whole)):
             return []
         hits, seen = [], set()
 
@@ -328,7 +352,7 @@ class LicenceModel:
         for k, line in enumerate(lines):
             keep(k, line)
         at = 0
-        for end in [*ends, len(whole)]:
+        for end in [*(m.end() for m in SENTENCE_END.finditer(whole)), len(whole)]:
             if (at or end < len(whole) or len(lines) > 1) and whole[at:end].strip():
                 begin = at + len(whole[at:end]) - len(whole[at:end].lstrip())
                 keep(whole.count("\n", 0, begin), whole[at:end])
@@ -373,22 +397,28 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _descend(x: np.ndarray, y: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and biases of a logistic regression a column of y with an L1 penalty, by accelerated proximal steps."""
+    """Weights and biases of a logistic regression a column of y with an L1 penalty, by accelerated proximal steps.
+
+    Equal rows are taken together with their number.
+    """
+    total = len(x)
+    _, first, times = np.unique(np.packbits(np.hstack([x, y]) > 0, axis=1), axis=0, return_index=True, return_counts=True)
+    x, y, times = x[first], y[first], times.astype(np.float32)[:, None]
     v = np.ones(x.shape[1], np.float32)
     for _ in range(20):
-        v = x.T @ (x @ v)
+        v = x.T @ (times[:, 0] * (x @ v))
         v /= np.linalg.norm(v)
-    step = 4 * len(x) / (float(np.linalg.norm(x @ v) ** 2) + len(x))
+    step = 4 * total / (float(times[:, 0] @ (x @ v) ** 2) + total)
     w = prev = np.zeros((x.shape[1], y.shape[1]), np.float32)
     b = np.zeros(y.shape[1], np.float32)
     t = 1.0
     for _ in range(steps):
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         u = w + np.float32((t - 1) / t2) * (w - prev)
-        g = _sigmoid(x @ u + b) - y
-        new = u - step * (x.T @ g) / len(x)
+        g = times * (_sigmoid(x @ u + b) - y)
+        new = u - step * (x.T @ g) / total
         new = np.sign(new) * np.maximum(0, np.abs(new) - np.float32(step * penalty))
-        b = b - step * g.mean(axis=0)
+        b = b - step * g.sum(axis=0) / total
         w, prev, t = new.astype(np.float32), w, t2
     return w, b
 
@@ -418,7 +448,7 @@ def fit(unknown: list[str], copies: int = 40, penalty: float = 1e-4, steps: int
     rows = [(_varied(rng, t, unknown) if c else t, ks, t in unseen) for t, ks in owners.items() for c in range(copies)]
     for k, f in enumerate(families):
         named = [(t, {k}, False) for t in titles[f] for _ in range(3)]
-        named += [(_amid(rng, t, unknown) if c else t, {k}, False) for t in notices[f] for c in range(6)]
+        named += [(_amid(rng, t, unknown) if c else t, {k}, False) for t in notices[f] for c in range(4)]
         rows += [(t, ks, n % 10 == 9) for n, (t, ks, _) in enumerate(named)]
     rows += [(_amid(rng, t, unknown) if c else t, set(), n % 10 == 9) for n, t in enumerate(talk) for c in range(3)]
     short = {f: TEMPLATES[f][-1].rpartition(": ")[2] for f in families}
