@@ -16,28 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import squared_distance
 from ..functions.scratch import Scratch
-from .neighbors import GRID_FEATURES, core_distances, pairs_between
+from .neighbors import GRID_FEATURES, core_distances, first_side, pairs_between
 from .prepare import drop_missing, require_long_ids
 
 
-def first_side(pts: DataFrame, names: list[str], k: int) -> float:
-    """A grid side at which a cell of an even table has some k rows; halved while the fullest cell has over 50 times that."""
-    grid = names[:GRID_FEATURES]
-    r = pts.agg(F.count(F.lit(1)).alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in grid]).first()
-    spread = [r[c] for c in grid if r[c]]
-    if not spread:
-        return 1.0
-    side = float(np.exp((np.log(spread).sum() + np.log(min(1.0, 4 * k / r["n"]))) / len(spread)))
-    fullest = None
-    for _ in range(30):
-        cells = pts.groupBy(*[F.floor(F.col(c) / side).alias(c) for c in grid]).count()
-        now = cells.agg(F.max("count")).first()[0]
-        if now <= 50 * k or now == fullest:  # equal rows stay together at any side
-            break
-        side, fullest = side / 2, now
-    return side
-
-
 def all_core_distances(pts: DataFrame, names: list[str], k: int, side: float, scratch: Scratch) -> DataFrame:
     """(id, core): distance to the k-th nearest row, the row itself counted. There have to be k rows."""
     todo, found = pts, None

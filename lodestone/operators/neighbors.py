@@ -2,20 +2,38 @@
 
 A distance predicate alone would compare every row with every other. Rows are keyed by the grid cell (side eps) of their
 first features; a row meets only rows of its own and the adjoining cells, by an equi-join on the cell. What comes out is a
-sparse list of pairs, never a full matrix. nearest() is in knn.
+sparse list of pairs, never a full matrix; full cells are dealt out by a second key, so that no task has more than a
+bounded share of it. Core distances need no pairs: cores_within() looks at cells of few points. nearest() is in knn.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import squared_distance
+from ..functions.scratch import Scratch
 from .knn import nearest
 
-__all__ = ["core_distances", "eps_pairs", "mutual_reachability", "nearest", "neighbor_counts", "pairs_between", "reachability"]
+__all__ = [
+    "core_distances", "cores_within", "eps_pairs", "first_side", "mutual_reachability", "mutual_reachability_within", "nearest", "neighbor_counts", "pairs_between",
+    "reachability", "reachability_within",
+]
 
 GRID_FEATURES = 3  # 27 cells meet; more features only filter
+COMPARED = 8_000_000  # pairs of rows that a task, and a key of the join, compares
+
+
+def _points(df: DataFrame, id_col: str, features: list[str]) -> tuple[DataFrame, list[str]]:
+    names = [f"x{k}" for k in range(len(features))]
+    return df.select(F.col(f"`{id_col}`").alias("id"), *[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(features, names)]).dropna(), names
+
+
+def _cell(names: list[str], side: float) -> list[Column]:
+    return [F.floor(F.col(c) / F.lit(float(side))).alias(f"c{k}") for k, c in enumerate(names[:GRID_FEATURES])]
 
 
 def eps_pairs(df: DataFrame, id_col: str, features: list[str], eps: float) -> DataFrame:
@@ -25,21 +43,44 @@ def eps_pairs(df: DataFrame, id_col: str, features: list[str], eps: float) -> Da
     """
     if not eps > 0:
         raise ValueError("eps has to be above 0")
-    names = [f"x{k}" for k in range(len(features))]
-    pts = df.select(F.col(f"`{id_col}`").alias("id"), *[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(features, names)]).dropna()
-    return pairs_between(pts, pts, names, eps)
-
-
-def pairs_between(left: DataFrame, right: DataFrame, names: list[str], eps: float) -> DataFrame:
-    """(src, dst, dist) for the rows of left and of right (id and the features `names`) within eps of each other."""
-    n = min(GRID_FEATURES, len(names))
-    cell = [F.floor(F.col(c) / F.lit(float(eps))).alias(f"c{k}") for k, c in enumerate(names[:n])]
-    left = left.select(F.col("id").alias("src"), *[F.col(c).alias(f"a{k}") for k, c in enumerate(names)], *cell)
-    for k in range(n):
-        left = left.withColumn(f"c{k}", F.explode(F.sequence(F.col(f"c{k}") - 1, F.col(f"c{k}") + 1)))
-    right = right.select(F.col("id").alias("dst"), *[F.col(c).alias(f"b{k}") for k, c in enumerate(names)], *cell)
+    pts, names = _points(df, id_col, features)
+    return pairs_between(pts, pts, names, eps, dealt=True)
+
+
+def pairs_between(left: DataFrame, right: DataFrame, names: list[str], eps: float, keep: tuple[str, ...] = (), dealt: bool = False) -> DataFrame:
+    """(src, dst, dist) for the rows of left and of right (id and the features `names`) within eps of each other.
+
+    keep: further columns of both, as src_ and dst_ with their names. dealt: the rows of right are counted first, and full
+    cells dealt out.
+    """
+    cell, keys = _cell(names, eps), [f"c{k}" for k in range(min(GRID_FEATURES, len(names)))]
+    a = left.select(F.col("id").alias("src"), *[F.col(c).alias(f"a{k}") for k, c in enumerate(names)], *[F.col(c).alias(f"src_{c}") for c in keep], *cell)
+    for k in keys:
+        a = a.withColumn(k, F.explode(F.sequence(F.col(k) - 1, F.col(k) + 1)))
+    b = right.select(F.col("id").alias("dst"), *[F.col(c).alias(f"b{k}") for k, c in enumerate(names)], *[F.col(c).alias(f"dst_{c}") for c in keep], *cell)
+    if dealt:
+        a, b, keys = _dealt(a, b, keys)
     dist = F.sqrt(squared_distance([F.col(f"a{k}") for k in range(len(names))], [F.col(f"b{k}") for k in range(len(names))]))
-    return left.join(right, [f"c{k}" for k in range(n)]).select("src", "dst", dist.alias("dist")).where(F.col("dist") <= eps)
+    return a.join(b, keys).select("src", "dst", dist.alias("dist"), *[f"{p}_{c}" for c in keep for p in ("src", "dst")]).where(F.col("dist") <= eps)
+
+
+def _dealt(a: DataFrame, b: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of a join on the keys, laid out so that a task compares some COMPARED pairs, however full a cell is.
+
+    The rows of b in a full cell are dealt out by a second key, those of a handed to each part. What few rows make many
+    pairs looks small to Spark, which would put it into few tasks; so the number of tasks is given.
+    """
+    met = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(a.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")), keys)
+    met = met.select(*keys, F.ceil(F.col("n") * F.col("m") / F.lit(COMPARED)).alias("deals"), (F.col("n").cast("double") * F.col("m")).alias("pairs"))
+    total = met.agg(F.max("deals").alias("deals"), F.sum("pairs").alias("pairs")).first()
+    spark = b.sparkSession
+    parts = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, min(20_000, -(-(total["pairs"] or 0) // COMPARED))))
+    if (total["deals"] or 0) > 1:
+        deals = met.select(*keys, "deals")
+        a = a.join(deals, keys).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).drop("deals")
+        b = b.join(deals, keys).withColumn("deal", F.pmod(F.xxhash64("dst"), F.col("deals"))).drop("deals")
+        keys = [*keys, "deal"]
+    return a.repartition(parts, *keys), b.repartition(parts, *keys), keys
 
 
 def neighbor_counts(pairs: DataFrame) -> DataFrame:
@@ -54,6 +95,81 @@ def core_distances(pairs: DataFrame, min_pts: int) -> DataFrame:
     return kth.groupBy(F.col("src").alias("id")).agg(F.max(F.when(F.col("_k") == min_pts, F.col("dist"))).alias("core_distance"))
 
 
+def first_side(pts: DataFrame, names: list[str], k: int) -> float:
+    """A grid side at which a cell of an even table has some k rows; halved while the fullest cell has over 50 times that."""
+    grid = names[:GRID_FEATURES]
+    r = pts.agg(F.count(F.lit(1)).alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in grid]).first()
+    spread = [r[c] for c in grid if r[c]]
+    if not spread:
+        return 1.0
+    side = float(np.exp((np.log(spread).sum() + np.log(min(1.0, 4 * k / r["n"]))) / len(spread)))
+    fullest = None
+    for _ in range(30):
+        cells = pts.groupBy(*[F.floor(F.col(c) / side).alias(c) for c in grid]).count()
+        now = cells.agg(F.max("count")).first()[0]
+        if now <= 50 * k or now == fullest:  # equal rows stay together at any side
+            break
+        side, fullest = side / 2, now
+    return side
+
+
+def cores_within(df: DataFrame, id_col: str, features: list[str], eps: float, min_pts: int) -> DataFrame:
+    """(id, core_distance) as core_distances() has them of eps_pairs(), without a list of pairs.
+
+    Equal rows are one point with a weight. A grid whose side grows up to eps settles the points of full places first, so a
+    point is compared with few more than it needs.
+    """
+    if not eps > 0:
+        raise ValueError("eps has to be above 0")
+    pts, names = _points(df, id_col, features)
+    rows = pts.where(reduce(Column.__and__, [F.abs(x) < F.lit(float("inf")) for x in names]))  # others are near nothing, not even themselves
+    scratch = Scratch(df.sparkSession)
+    places = scratch.table(rows.groupBy(*names).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")), "places")
+    found = cores_of_places(places, names, min_pts, scratch, eps)
+    near = places.join(found, "id", "left").select(*names, F.col("core").alias("core_distance"))
+    return rows.join(scratch.table(near, "near"), names).select("id", "core_distance")
+
+
+def cores_of_places(places: DataFrame, names: list[str], k: int, scratch: Scratch, eps: float = float("inf"), side: float | None = None) -> DataFrame:
+    """(id, core): distance within which lie k rows, of places (id, features, w rows each) that have them within eps."""
+    found = places.where(F.col("w") >= k).select("id", F.lit(0.0).alias("core"))
+    todo, near = places.where(F.col("w") < k), Window.partitionBy("src").orderBy("dist")
+    if todo.isEmpty():
+        return found
+    side = min(eps, side or first_side(places, names, k))
+    while True:
+        pairs = pairs_between(todo, places, names, side, ("w",)).withColumn("rows", F.sum("dst_w").over(near))
+        got = pairs.where(F.col("rows") >= k).groupBy(F.col("src").alias("id")).agg(F.min("dist").alias("core"))
+        got = scratch.table(got, "cores")
+        found = found.union(got)
+        todo = scratch.table(todo.join(got, "id", "left_anti"), "sparse")
+        if side >= eps or todo.isEmpty():
+            return found
+        side = min(eps, 2 * side)
+
+
+def _with_cores(df: DataFrame, id_col: str, features: list[str], eps: float, min_pts: int) -> tuple[DataFrame, list[str]]:
+    """The rows that have a core distance, with it."""
+    pts, names = _points(df, id_col, features)
+    cores = cores_within(df, id_col, features, eps, min_pts).where("core_distance is not null").withColumnRenamed("core_distance", "core")
+    return Scratch(df.sparkSession).table(pts.join(cores, "id"), "points"), names
+
+
+def reachability_within(df: DataFrame, id_col: str, features: list[str], eps: float, min_pts: int) -> DataFrame:
+    """reachability() of the pairs within eps; core distances travel with the rows, so pairs are not shuffled again."""
+    cored, names = _with_cores(df, id_col, features, eps, min_pts)
+    pts, _ = _points(df, id_col, features)
+    pairs = pairs_between(cored, pts.withColumn("core", F.lit(None).cast("double")), names, eps, ("core",), dealt=True)
+    return pairs.select("src", "dst", F.greatest("src_core", "dist").alias("reach"))
+
+
+def mutual_reachability_within(df: DataFrame, id_col: str, features: list[str], eps: float, min_pts: int) -> DataFrame:
+    """mutual_reachability() of the pairs within eps, in the same way."""
+    cored, names = _with_cores(df, id_col, features, eps, min_pts)
+    pairs = pairs_between(cored, cored, names, eps, ("core",), dealt=True)
+    return pairs.where("src < dst").select("src", "dst", F.greatest("src_core", "dst_core", "dist").alias("reach"))
+
+
 def reachability(pairs: DataFrame, cores: DataFrame) -> DataFrame:
     """(src, dst, reach) = max(core distance of src, dist) for sources that have a core distance."""
     c = cores.where(F.col("core_distance").isNotNull()).withColumnRenamed("id", "src")

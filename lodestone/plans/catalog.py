@@ -522,8 +522,7 @@ OPTICS_CORE = "WITH pts AS (SELECT c_custkey AS id, c_acctbal AS x, CAST(c_natio
 @query("optics_core", OPTICS_CORE + " SELECT id, round(core_distance, 4) AS core_distance FROM cores")
 def _(t):
     # no ordering is needed for these
-    pairs = neighbors.eps_pairs(t("customer"), "c_custkey", ["c_acctbal"], 15.0)
-    return rounded(neighbors.core_distances(pairs, 5), "core_distance")
+    return rounded(neighbors.cores_within(t("customer"), "c_custkey", ["c_acctbal", "c_nationkey"], 15.0, 5), "core_distance")
 
 
 @query("optics_ordering")

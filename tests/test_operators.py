@@ -482,3 +482,38 @@ def test_wide_pca(spark):
     assert np.allclose(a, b, atol=1e-6)
     with pytest.raises(ValueError):
         pca.leading(df.limit(0), "v.x", 2)
+
+
+def test_cores_and_reachability_without_pairs(spark):
+    rng = np.random.default_rng(21)
+    xs = np.round(np.concatenate([rng.normal(size=(150, 2)), rng.uniform(-9, 9, (60, 2))]), 1)
+    xs = np.concatenate([xs, xs[:40], np.tile(xs[:1], (12, 1))])
+    df, features = points(spark, xs.tolist()), ["x0", "x1"]
+    for eps in (0.4, 3.0):
+        pairs = neighbors.eps_pairs(df, "id", features, eps)
+        cores = neighbors.core_distances(pairs, 5)
+        want = {r.id: r.core_distance for r in cores.collect()}
+        assert {r.id: r.core_distance for r in neighbors.cores_within(df, "id", features, eps, 5).collect()} == want
+        for f, g in ((neighbors.reachability, neighbors.reachability_within), (neighbors.mutual_reachability, neighbors.mutual_reachability_within)):
+            assert sorted(map(tuple, g(df, "id", features, eps, 5).collect())) == sorted(map(tuple, f(pairs, cores).collect()))
+
+
+def test_cores_of_many_equal_rows(spark):
+    """Their pairs would be 4 * 10^10."""
+    df = spark.range(200_000).select("id", F.lit(1.5).alias("x0")).union(spark.createDataFrame([(200_000, 2.0), (200_001, 9.0)], "id long, x0 double"))
+    got = neighbors.cores_within(df, "id", ["x0"], 1.0, 5).groupBy("core_distance").count()
+    assert sorted(map(tuple, got.collect()), key=str) == [(0.0, 200_000), (0.5, 1), (None, 1)]
+
+
+def test_full_cells_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "COMPARED", 500)
+    xs = [(round(0.01 * i, 2), 0.0) for i in range(120)] + [(5.0, 5.0)]
+    pairs = neighbors.eps_pairs(points(spark, xs), "id", ["x0", "x1"], 2.0)
+    per_task = pairs.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count")).first()[0]
+    assert pairs.count() == 120 * 120 + 1 == pairs.distinct().count() and per_task < 5000
+
+
+def test_round_fast(spark):
+    xs = [0.12345, 0.00005, 1.00015, -2.34565, 2.5, 1e13 + 0.125, float("nan"), float("inf"), None, *np.random.default_rng(2).uniform(-50, 50, 500).round(5).tolist()]
+    df = spark.createDataFrame([(None if x is None else float(x),) for x in xs], "x double")
+    assert df.where(~F.round("x", 4).eqNullSafe(scalars.round_fast(F.col("x"), 4))).count() == 0
