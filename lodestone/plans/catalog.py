@@ -308,7 +308,7 @@ def _(t):
 
 @query("core_distance_customer", f"WITH {CUSTOMERS}, {CORE} SELECT id, round(core_distance, 4) AS core_distance FROM cores")
 def _(t):
-    return rounded(neighbors.core_distances(customer_pairs(t), 5), "core_distance")
+    return rounded(neighbors.cores_within(t("customer"), "c_custkey", ["c_acctbal"], 15.0, 5), "core_distance")
 
 
 @query("reachability_edges", f"WITH {CUSTOMERS}, {CORE} SELECT src, dst, round(greatest(core_distance, dist), 4) AS reach FROM pairs JOIN cores ON src = id WHERE core_distance IS NOT NULL")
