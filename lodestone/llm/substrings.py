@@ -7,8 +7,9 @@ first covers are removed. A repeated passage of at least min_words words, in who
 Passages of more than PASSAGE words are found wherever they begin and end. Of every span of PASSAGE + 1 words the least of
 the hashes of its GRAM-word parts is its anchor (winnowing, Schleimer et al. 2003); equal spans have equal anchors, and few
 parts are anchors. Spans in a row with one anchor are a block. Anchors are joined over the corpus. A block that equals that
-of the anchor's first document, as within copies, stands for its spans; where blocks differ, at the ends of a passage, the
-spans are joined one by one. Words that any occurrence of a span but the first covers are removed.
+of the anchor's first document, as within copies, stands for its spans; where blocks differ, at the ends of a passage,
+chunks of spans are joined, cut where the text itself says so, and of chunks that nothing earlier equals the spans one by
+one. A common passage thus costs a document few rows, not one for each span at its ends. Words that any occurrence of a span but the first covers are removed.
 
 Texts are hashed many at a time. Hashes travel with their places, so what comes back for a text is a list of places to cut.
 """
@@ -33,6 +34,7 @@ BREAK = re.compile(r"[.!?…。！？\n](?:(?<=[.!?…])(\s+)|(?<=[。！？])()
 LAST_ID = (1 << 63) - 1
 WORD = re.compile(r"\S+")
 PASSAGE, GRAM = 50, 20
+CHUNK = 8  # spans in a chunk, on average
 FACTOR = 0x9E3779B97F4A7C15  # any odd number whose powers mix well
 
 
@@ -121,6 +123,26 @@ class Hashed:
         return owner, h, i - self.sents[owner], j - i, again(salted(h, owner))
 
 
+    def chunks(self, anchors: np.ndarray, holders: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, hash, first, number of words, whether the hash comes earlier in the text, first of its spans) of the stretches
+        of spans that have one of the anchors of their text, and (hash, whether it comes earlier in the text) of these spans.
+
+        A chunk ends before a span whose hash says so, so equal stretches are cut alike but at their ends.
+        """
+        owner, place, anchor, own = self.spans()
+        earlier = again(salted(own, owner))
+        ok = np.isin(salted(anchor, owner), salted(anchors, holders))
+        owner, place, own, earlier = owner[ok], place[ok], own[ok], earlier[ok]
+        new = own.view(np.uint64) % np.uint64(CHUNK) == 0
+        new[:1] = True
+        new[1:] |= (np.diff(place) != 1) | (np.diff(owner) != 0)
+        heads = np.flatnonzero(new)
+        size = np.diff(np.r_[heads, len(place)]) + PASSAGE
+        first = place[heads]
+        h = self.stretches(first, first + size)
+        return owner[heads], h, first, size, again(salted(h, owner[heads])), heads, own, earlier
+
+
 def sentences(text: str) -> list[tuple[str, str]]:
     """(sentence, white space after it); together they are the text. Sentences end at .!? before a space, or at a line end."""
     out, at = [], 0
@@ -189,6 +211,7 @@ def strip(text: str | None, runs: list[tuple[int, int]], words: list[tuple[int,
 
 
 FOUND = "doc long, key long, kind boolean, h long, block long, at int, size int, again boolean"
+CHUNKS = FOUND + ", spans array<struct<h: long, again: boolean>>"
 CHARS = 1 << 20  # characters of text that are hashed at a time
 
 
@@ -213,16 +236,16 @@ def found_batch(part: pa.RecordBatch, kind: bool, owner: np.ndarray, *columns: n
     )
 
 
-def shared(found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def shared(found: DataFrame, scratch: Scratch, name: str, how: str = "inner") -> DataFrame:
     """FOUND for the hashes that several documents or one text several times have, with `first`, the least document, `lead`, a
-    block of it, and `mixed`, whether blocks differ or a text has one several times."""
+    block of it, and `mixed`, whether blocks differ or a text has one several times. how: left keeps all others too."""
     # minima and maxima are made before the shuffle, so a hash that every document has costs one row a task
     first = found.groupBy("kind", "h").agg(
         F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("again").alias("any"), F.min_by("block", "doc").alias("lead"), (F.min("block") != F.max("block")).alias("differ"),
     )
     first = first.where("first < last or any").select("kind", "h", "first", "lead", F.expr("differ or any").alias("mixed"))
     # a common passage is a key with a row for each document: plain tables on both sides, so that Spark can split it
-    return found.join(scratch.table(first, name), ["kind", "h"])
+    return found.join(scratch.table(first, name), ["kind", "h"], how)
 
 
 def repeated_runs(texts: DataFrame, text_col: str, min_words: int, scratch: Scratch, within_sentences: bool) -> DataFrame:
@@ -242,12 +265,13 @@ def repeated_runs(texts: DataFrame, text_col: str, min_words: int, scratch: Scra
         for batch in batches:
             for part, texts in groups(batch):
                 hashed = Hashed(texts)
-                owner, place, anchor, own = hashed.spans()
                 known = part.column(3)
                 holder = np.repeat(np.arange(len(texts)), pc.list_value_length(known).to_numpy())
-                ok = np.isin(salted(anchor, owner), salted(known.flatten().to_numpy(), holder))
-                owner, place, own = owner[ok], place[ok], own[ok]
-                yield found_batch(part, True, owner, own, own, place - hashed.at[owner], np.full(len(own), PASSAGE + 1), again(salted(own, owner)))
+                owner, h, place, size, repeats, heads, own, earlier = hashed.chunks(known.flatten().to_numpy(), holder)
+                rows = found_batch(part, True, owner, h, h, place - hashed.at[owner], size, repeats)
+                spans = pa.StructArray.from_arrays([pa.array(own), pa.array(earlier)], ["h", "again"])
+                spans = pa.ListArray.from_arrays(pa.array(np.r_[heads, len(own)].astype(np.int32)), spans)
+                yield pa.RecordBatch.from_arrays([*rows.columns, spans], [*rows.schema.names, "spans"])
 
     found = scratch.table(texts.select("doc", "key", text_col).mapInArrow(occurrences, FOUND), "found")
     both = shared(found, scratch, "repeated").where("doc > first or again or kind and mixed")
@@ -256,10 +280,14 @@ def repeated_runs(texts: DataFrame, text_col: str, min_words: int, scratch: Scra
     later = both.where("not kind and (doc > first or again) or kind and block = lead and doc > first")
     if within_sentences:
         mixed = both.where("kind and (block <> lead or doc = first and mixed)").groupBy("doc", "key").agg(F.collect_set("h").alias("known"))
-        spanned = texts.join(mixed, ["doc", "key"]).select("doc", "key", text_col, "known").mapInArrow(passages, FOUND)
-        spanned = scratch.table(spanned, "spans")
-        spanned = shared(spanned, scratch, "repeated_spans").where("doc > first or again")
-        later = later.unionByName(spanned)
+        chunks = texts.join(mixed, ["doc", "key"]).select("doc", "key", text_col, "known").mapInArrow(passages, CHUNKS)
+        chunks = shared(scratch.table(chunks, "chunks"), scratch, "repeated_chunks", "left")
+        chunks = scratch.table(chunks.withColumn("later", F.coalesce(F.expr("doc > first or again"), F.lit(False))), "judged")
+        # the first occurrence of a span is in no chunk that comes later, so these need not be looked at again
+        spanned = chunks.where("not later").select("doc", "key", "kind", "at", F.posexplode("spans").alias("k", "span"))
+        spanned = spanned.select("doc", "key", "kind", "span.h", F.col("span.h").alias("block"), (F.col("at") + F.col("k")).alias("at"), F.lit(PASSAGE + 1).alias("size"), "span.again")
+        spanned = shared(scratch.table(spanned, "spans"), scratch, "repeated_spans").where("doc > first or again")
+        later = later.unionByName(chunks.where("later").drop("later", "spans")).unionByName(spanned)
     # at most two runs for each sentence of a text and a span for each word, whatever the number of rows with that text
     place = F.struct("at", "size")
     return later.groupBy("doc", "key").agg(F.collect_set(F.when(~F.col("kind"), place)).alias("runs"), F.collect_set(F.when(F.col("kind"), place)).alias("words"))

@@ -124,3 +124,17 @@ def test_passages_that_begin_and_end_within_sentences(spark):
     assert {i: got[i].text.split() for i in want} == want
     assert all(got[i].text == t and got[i].n_removed == 0 for i, t in rows if 900 <= i <= 903)
     assert got[904].text.startswith("Head tail. Next ") and got[904].n_removed == 1 and got[905].text == "Twice or end"
+
+
+def test_a_common_passage_takes_few_rows(spark, monkeypatch):
+    """Spans at the ends of a passage that many documents have are joined by chunks; one by one there were 30 or so a document."""
+    random.seed(8)
+    word = lambda: "".join(random.choice("abcdefghijklm") for _ in range(7))
+    stretch = lambda n: " ".join(word() for _ in range(n))
+    passage, made = stretch(90), []
+    rows = [(i, f"{stretch(60)} {passage} {stretch(60)}") for i in range(200)]
+    plain = substrings.shared
+    monkeypatch.setattr(substrings, "shared", lambda found, scratch, name, how="inner": made.append(plain(found, scratch, name, how)) or made[-1])
+    got = {r.doc_id: r.text.split() for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string"), within_sentences=True).collect()}
+    assert got == {i: t.split() if i == 0 else t.split()[:60] + t.split()[150:] for i, t in rows}
+    assert sum(d.where("doc > first or again").count() for d in made[1:]) < 20 * 200
