@@ -283,7 +283,7 @@ CORE = "cores AS (SELECT src AS id, max(CASE WHEN k = 5 THEN dist END) AS core_d
 
 @query("pairwise_distance_supplier", "WITH " + PAIRS.format(id="s_suppkey", x="s_acctbal", table="supplier", eps=500) + " SELECT src, dst, round(dist, 4) AS dist FROM pairs")
 def _(t):
-    return rounded(neighbors.eps_pairs(t("supplier"), "s_suppkey", ["s_acctbal"], 500.0), "dist")
+    return rounded_pairs(neighbors.eps_pairs(t("supplier"), "s_suppkey", ["s_acctbal"], 500.0), "dist")
 
 
 @query("eps_neighbors_customer", f"WITH {CUSTOMERS} SELECT src, dst, round(dist, 4) AS dist FROM pairs")
