@@ -8,8 +8,8 @@ Passages of more than PASSAGE words are found wherever they begin and end. Of ev
 the hashes of its GRAM-word parts is its anchor (winnowing, Schleimer et al. 2003); equal spans have equal anchors, and few
 parts are anchors. Spans in a row with one anchor are a block. Anchors are joined over the corpus. A block that equals that
 of the anchor's first document, as within copies, stands for its spans; where blocks differ, at the ends of a passage,
-chunks of spans are joined, cut where the text itself says so, and of chunks that nothing earlier equals the spans one by
-one. A common passage thus costs a document few rows, not one for each span at its ends. Words that any occurrence of a span but the first covers are removed.
+chunks of spans are joined, cut where the text itself says so, then parts of the chunks that nothing earlier equals, and of
+such parts the spans one by one. A common passage thus costs a document few rows, not one for each span at its ends. Words that any occurrence of a span but the first covers are removed.
 
 Texts are hashed many at a time. Hashes travel with their places, so what comes back for a text is a list of places to cut.
 """
@@ -34,7 +34,7 @@ BREAK = re.compile(r"[.!?…。！？\n](?:(?<=[.!?…])(\s+)|(?<=[。！？])()
 LAST_ID = (1 << 63) - 1
 WORD = re.compile(r"\S+")
 PASSAGE, GRAM = 50, 20
-CHUNK = 8  # spans in a chunk, on average
+CHUNK, PART = 8, 2  # spans in a chunk and in a part of one, on average; the first is a multiple of the second
 FACTOR = 0x9E3779B97F4A7C15  # any odd number whose powers mix well
 
 
@@ -122,25 +122,27 @@ class Hashed:
         owner, h = np.searchsorted(self.sents, i, side="right") - 1, self.stretches(ends[i], ends[j])
         return owner, h, i - self.sents[owner], j - i, again(salted(h, owner))
 
+    def chunks(self, anchors: np.ndarray, holders: np.ndarray) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray, np.ndarray]:
+        """Of the spans that have one of the anchors of their text, the chunks and the parts of these, each as (text, hash,
+        first, number of words, whether the hash comes earlier in the text, first of its spans); and (hash, whether it comes
+        earlier in the text) of these spans.
 
-    def chunks(self, anchors: np.ndarray, holders: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(text, hash, first, number of words, whether the hash comes earlier in the text, first of its spans) of the stretches
-        of spans that have one of the anchors of their text, and (hash, whether it comes earlier in the text) of these spans.
-
-        A chunk ends before a span whose hash says so, so equal stretches are cut alike but at their ends.
+        A chunk, or a part, ends before a span whose hash says so, so equal stretches are cut alike but at their ends.
         """
         owner, place, anchor, own = self.spans()
         earlier = again(salted(own, owner))
         ok = np.isin(salted(anchor, owner), salted(anchors, holders))
         owner, place, own, earlier = owner[ok], place[ok], own[ok], earlier[ok]
-        new = own.view(np.uint64) % np.uint64(CHUNK) == 0
-        new[:1] = True
-        new[1:] |= (np.diff(place) != 1) | (np.diff(owner) != 0)
-        heads = np.flatnonzero(new)
-        size = np.diff(np.r_[heads, len(place)]) + PASSAGE
-        first = place[heads]
-        h = self.stretches(first, first + size)
-        return owner[heads], h, first, size, again(salted(h, owner[heads])), heads, own, earlier
+        new = np.ones(len(own), bool)
+        new[1:] = (np.diff(place) != 1) | (np.diff(owner) != 0)
+        levels = []
+        for each in (CHUNK, PART):
+            heads = np.flatnonzero(new | (own.view(np.uint64) % np.uint64(each) == 0))
+            size = np.diff(np.r_[heads, len(place)]) + PASSAGE
+            first = place[heads]
+            h = self.stretches(first, first + size)
+            levels.append((owner[heads], h, first, size, again(salted(h, owner[heads])), heads))
+        return levels, own, earlier
 
 
 def sentences(text: str) -> list[tuple[str, str]]:
@@ -211,7 +213,7 @@ def strip(text: str | None, runs: list[tuple[int, int]], words: list[tuple[int,
 
 
 FOUND = "doc long, key long, kind boolean, h long, block long, at int, size int, again boolean"
-CHUNKS = FOUND + ", spans array<struct<h: long, again: boolean>>"
+CHUNKS = FOUND + ", parts array<struct<h: long, at: int, size: int, again: boolean, spans: array<struct<h: long, again: boolean>>>>"
 CHARS = 1 << 20  # characters of text that are hashed at a time
 
 
@@ -248,6 +250,12 @@ def shared(found: DataFrame, scratch: Scratch, name: str, how: str = "inner") ->
     return found.join(scratch.table(first, name), ["kind", "h"], how)
 
 
+def judged(found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """All of shared(), with `later`, whether the row comes after another of its hash."""
+    rows = shared(found, scratch, name, "left")
+    return scratch.table(rows.withColumn("later", F.coalesce(F.expr("doc > first or again"), F.lit(False))), "judged")
+
+
 def repeated_runs(texts: DataFrame, text_col: str, min_words: int, scratch: Scratch, within_sentences: bool) -> DataFrame:
     """(doc, key, runs, words): for each text what is to go, as strip() takes it. texts: doc, key and text."""
 
@@ -267,11 +275,16 @@ def repeated_runs(texts: DataFrame, text_col: str, min_words: int, scratch: Scra
                 hashed = Hashed(texts)
                 known = part.column(3)
                 holder = np.repeat(np.arange(len(texts)), pc.list_value_length(known).to_numpy())
-                owner, h, place, size, repeats, heads, own, earlier = hashed.chunks(known.flatten().to_numpy(), holder)
+                levels, own, earlier = hashed.chunks(known.flatten().to_numpy(), holder)
+                nested = pa.StructArray.from_arrays([pa.array(own), pa.array(earlier)], ["h", "again"])
+                (owner, h, place, size, repeats, heads), (holder, *columns, cuts) = levels
+                nested = pa.ListArray.from_arrays(pa.array(np.r_[cuts, len(own)].astype(np.int32)), nested)
+                columns[1] = columns[1] - hashed.at[holder]
+                columns = [pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int32, np.int32, bool))]
+                nested = pa.StructArray.from_arrays([*columns, nested], ["h", "at", "size", "again", "spans"])
+                nested = pa.ListArray.from_arrays(pa.array(np.r_[np.searchsorted(cuts, heads), len(cuts)].astype(np.int32)), nested)
                 rows = found_batch(part, True, owner, h, h, place - hashed.at[owner], size, repeats)
-                spans = pa.StructArray.from_arrays([pa.array(own), pa.array(earlier)], ["h", "again"])
-                spans = pa.ListArray.from_arrays(pa.array(np.r_[heads, len(own)].astype(np.int32)), spans)
-                yield pa.RecordBatch.from_arrays([*rows.columns, spans], [*rows.schema.names, "spans"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, nested], [*rows.schema.names, "parts"])
 
     found = scratch.table(texts.select("doc", "key", text_col).mapInArrow(occurrences, FOUND), "found")
     both = shared(found, scratch, "repeated").where("doc > first or again or kind and mixed")
@@ -281,13 +294,14 @@ def repeated_runs(texts: DataFrame, text_col: str, min_words: int, scratch: Scra
     if within_sentences:
         mixed = both.where("kind and (block <> lead or doc = first and mixed)").groupBy("doc", "key").agg(F.collect_set("h").alias("known"))
         chunks = texts.join(mixed, ["doc", "key"]).select("doc", "key", text_col, "known").mapInArrow(passages, CHUNKS)
-        chunks = shared(scratch.table(chunks, "chunks"), scratch, "repeated_chunks", "left")
-        chunks = scratch.table(chunks.withColumn("later", F.coalesce(F.expr("doc > first or again"), F.lit(False))), "judged")
-        # the first occurrence of a span is in no chunk that comes later, so these need not be looked at again
-        spanned = chunks.where("not later").select("doc", "key", "kind", "at", F.posexplode("spans").alias("k", "span"))
+        chunks = judged(scratch.table(chunks, "chunks"), scratch, "repeated_chunks")
+        # the first occurrence of a span is in no chunk that comes later, so these need not be looked at again; nor need such parts
+        parts = chunks.where("not later").select("doc", "key", "kind", F.inline("parts")).withColumn("block", F.col("h"))
+        parts = judged(scratch.table(parts, "parts"), scratch, "repeated_parts")
+        spanned = parts.where("not later").select("doc", "key", "kind", "at", F.posexplode("spans").alias("k", "span"))
         spanned = spanned.select("doc", "key", "kind", "span.h", F.col("span.h").alias("block"), (F.col("at") + F.col("k")).alias("at"), F.lit(PASSAGE + 1).alias("size"), "span.again")
         spanned = shared(scratch.table(spanned, "spans"), scratch, "repeated_spans").where("doc > first or again")
-        later = later.unionByName(chunks.where("later").drop("later", "spans")).unionByName(spanned)
+        later = later.unionByName(chunks.where("later").drop("later", "parts")).unionByName(parts.where("later").drop("later", "spans")).unionByName(spanned)
     # at most two runs for each sentence of a text and a span for each word, whatever the number of rows with that text
     place = F.struct("at", "size")
     return later.groupBy("doc", "key").agg(F.collect_set(F.when(~F.col("kind"), place)).alias("runs"), F.collect_set(F.when(F.col("kind"), place)).alias("words"))
