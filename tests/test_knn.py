@@ -68,3 +68,15 @@ def test_edges(spark):
         knn.nearest(frame(spark, rows), "i.d", "v", 0)
     with pytest.raises(ValueError):
         knn.nearest(frame(spark, [(1, [1]), (2, [1, 2])]), "i.d", "v")
+
+
+def test_rows_without_structure_are_sent_to_few_bundles(spark):
+    """A row was sent to every block it had to look at, some 100 here, so that what was sent grew with the square of the rows."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 24)).astype(np.float32)
+    rows = list(zip(range(1500), x.tolist()))
+    frames = [frame(spark, rows), spark.createDataFrame(rows, "`i.d` long, v array<float>").repartition(3)]
+    for df in frames:
+        s = knn.search(df, "i.d", "v", 3, 16)
+        assert s.visits.count() <= 25 * 1500 and len(s.cell) > 90
+        assert got(s.result()) == plain(rows, 3)
