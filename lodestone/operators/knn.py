@@ -41,6 +41,12 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.cumsum(d * d, axis=1)[:, -1]) if d.shape[1] else np.zeros(len(d))
 
 
+def _closest(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The closest pivot of each row, with SLICE distances held at once."""
+    step = max(1, SLICE // len(pivots))
+    return np.concatenate([_rough(x[a : a + step], pivots)[0].argmin(axis=1) for a in range(0, max(1, len(x)), step)])
+
+
 def best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, sizes: np.ndarray, k: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of q, id, distance) of the k nearest ids of each row of q, by distance and id; only those within bound, if given.
 
@@ -108,7 +114,7 @@ class PivotSearch:
         def assign(batches):
             for batch in batches:
                 x = _matrix(batch.column(1))
-                cell = _rough(x, pivots)[0].argmin(axis=1)
+                cell = _closest(x, pivots)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(_distance(x, pivots[cell]))], ["r", "v", "ids", "cell", "dp"])
 
         cells = self.scratch.table(self.points.select("r", "v", "ids").mapInArrow(assign, f"r long, {self.v}, ids array<long>, cell long, dp double"), "cells")

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -80,3 +82,14 @@ def test_rows_without_structure_are_sent_to_few_bundles(spark):
         s = knn.search(df, "i.d", "v", 3, 16)
         assert s.visits.count() <= 25 * 1500 and len(s.cell) > 90
         assert got(s.result()) == plain(rows, 3)
+
+
+def test_pivots_take_bounded_memory():
+    rng = np.random.default_rng(7)
+    x, pivots = rng.normal(size=(10_000, 2)), rng.normal(size=(knn.PIVOTS, 2))
+    tracemalloc.start()
+    cell = knn._closest(x, pivots)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 32 << 20  # all at once, 250 MB
+    assert cell[::1000].tolist() == [int(((a - pivots) ** 2).sum(axis=1).argmin()) for a in x[::1000]]
