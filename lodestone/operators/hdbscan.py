@@ -16,21 +16,23 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import squared_distance
 from ..functions.scratch import Scratch
-from .neighbors import GRID_FEATURES, core_distances, first_side, pairs_between
+from .neighbors import GRID_FEATURES, cores_of_places, first_side
 from .prepare import drop_missing, require_long_ids
 
 
-def all_core_distances(pts: DataFrame, names: list[str], k: int, side: float, scratch: Scratch) -> DataFrame:
-    """(id, core): distance to the k-th nearest row, the row itself counted. There have to be k rows."""
-    todo, found = pts, None
-    while True:
-        got = core_distances(pairs_between(todo, pts, names, side), k).where("core_distance is not null")
-        got = scratch.table(got.select("id", F.col("core_distance").alias("core")), "cores")
-        found = got if found is None else found.union(got)
-        todo = scratch.table(todo.join(got, "id", "left_anti"), "sparse")
-        if todo.isEmpty():
-            return scratch.table(found, "cores")
-        side *= 2
+def contracted(pts: DataFrame, names: list[str], k: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(nodes, members): id, w, core and features of each node; id and node of the other rows that a node stands for.
+
+    Equal rows, if there are k of them, are one node of weight w with the smallest of their ids: their core distance is 0,
+    so in the tree they all hang on that id by edges of length 0, which come before all others. Other rows are nodes
+    themselves. The core distance is that to the k-th nearest row, the row itself counted. There have to be k rows.
+    """
+    places = scratch.table(pts.groupBy(*names).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")), "places")
+    cores = scratch.table(places.join(cores_of_places(places, names, k, scratch), "id").withColumnRenamed("id", "node"), "cores")
+    full = F.col("w") >= k
+    rows = scratch.table(pts.join(cores, names).select("id", "node", "w", "core", *names), "rows")
+    nodes = rows.where(~full | (F.col("id") == F.col("node"))).select("id", F.when(full, F.col("w")).otherwise(1).alias("w"), "core", *names)
+    return scratch.table(nodes, "nodes"), rows.where(full & (F.col("id") != F.col("node"))).select("id", "node")
 
 
 def spanning_tree(pts: DataFrame, names: list[str], side: float, scratch: Scratch) -> DataFrame:
@@ -84,12 +86,13 @@ def spanning_tree(pts: DataFrame, names: list[str], side: float, scratch: Scratc
     return tree if tree is not None else nodes.limit(0).select(F.col("id").alias("src"), F.col("id").alias("dst"), F.col("core").alias("reach"))
 
 
-def condense(tree: list[tuple[float, int, int]], n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(cluster, probability) of each point: -1 and 0 for noise, else 0, 1, ... in no special order."""
-    if n < least:
+def condense(tree: list[tuple[float, int, int]], n: int, least: int, weights: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(cluster, probability) of each point: -1 and 0 for noise, else 0, 1, ... in no special order. weights: rows a point stands for."""
+    weights = weights or [1] * n
+    if sum(weights) < least:
         return np.full(n, -1), np.zeros(n)
     # single linkage: node n + k joins two earlier nodes at height[k]
-    root, node, left, right, height, size = list(range(n)), list(range(n)), [], [], [], [1] * n
+    root, node, left, right, height, size = list(range(n)), list(range(n)), [], [], [], list(weights)
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -144,9 +147,9 @@ def condense(tree: list[tuple[float, int, int]], n: int, least: int) -> tuple[np
     top = max(finite, default=1.0) or 1.0
     cap = lambda v: v if np.isfinite(v) else top
     mass, inner = [0.0] * len(birth), [0] * len(birth)
-    for c, v in fell.values():
-        mass[c] += cap(v) - cap(birth[c])
-        inner[c] += 1
+    for p, (c, v) in fell.items():
+        mass[c] += weights[p] * (cap(v) - cap(birth[c]))
+        inner[c] += weights[p]
     for c in range(len(birth) - 1, -1, -1):  # children come after their parents
         inner[c] += sum(inner[d] for d in children[c])
         mass[c] += sum(inner[d] * (cap(birth[d]) - cap(birth[c])) for d in children[c])
@@ -175,16 +178,25 @@ def condense(tree: list[tuple[float, int, int]], n: int, least: int) -> tuple[np
     return label, strength
 
 
-def hierarchy(df: DataFrame, id_col: str, features: list[str], min_samples: int, scratch: Scratch) -> DataFrame:
-    """(src, dst, reach): the spanning tree of the rows with all features present, whose ids have to be unique."""
+def _contracted_tree(df: DataFrame, id_col: str, features: list[str], min_samples: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(tree, nodes, members): the spanning tree of the nodes that contracted() makes; None with too few rows."""
     names = [f"x{k}" for k in range(len(features))]
     pts = df.select(F.col(f"`{id_col}`").alias("id"), *[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(features, names)]).dropna()
     pts = scratch.table(pts, "points")
     if pts.count() < max(2, min_samples):
+        return None
+    nodes, members = contracted(pts, names, min_samples, scratch)
+    side = first_side(nodes, names, min_samples)
+    return scratch.table(spanning_tree(nodes.drop("w"), names, side, scratch), "tree"), nodes, members
+
+
+def hierarchy(df: DataFrame, id_col: str, features: list[str], min_samples: int, scratch: Scratch) -> DataFrame:
+    """(src, dst, reach): the spanning tree of the rows with all features present, whose ids have to be unique."""
+    found = _contracted_tree(df, id_col, features, min_samples, scratch)
+    if found is None:
         return df.sparkSession.createDataFrame([], "src long, dst long, reach double")
-    side = first_side(pts, names, min_samples)
-    cores = all_core_distances(pts, names, min_samples, side, scratch)
-    return scratch.table(spanning_tree(pts.join(cores, "id"), names, side, scratch), "tree")
+    tree, _, members = found
+    return tree.union(members.select(F.col("node").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("reach")))
 
 
 def hdbscan(df: DataFrame, id_col: str, features: list[str], min_cluster_size: int = 10, min_samples: int | None = None) -> DataFrame:
@@ -196,19 +208,29 @@ def hdbscan(df: DataFrame, id_col: str, features: list[str], min_cluster_size: i
     if min_cluster_size < 2 or (min_samples is not None and min_samples < 1):
         raise ValueError("min_cluster_size has to be 2 at least and min_samples 1 at least")
     scratch = Scratch(require_long_ids(df, id_col).sparkSession)
-    tree = hierarchy(df, id_col, features, min_samples or min_cluster_size, scratch)
+    rows = drop_missing(df, features).select(F.col(f"`{id_col}`").alias("id"))
+    made = _contracted_tree(df, id_col, features, min_samples or min_cluster_size, scratch)
+    if made is None:
+        return rows.select("id", F.lit(-1).alias("cluster"), F.lit(0.0).alias("probability"))
+    tree, nodes, members = made
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, at = np.unique(np.concatenate([pdf["src"], pdf["dst"]]), return_inverse=True)
-        order = np.lexsort((pdf["dst"], pdf["src"], pdf["reach"]))
-        edges = list(zip(pdf["reach"].to_numpy()[order].tolist(), at[: len(pdf)][order].tolist(), at[len(pdf) :][order].tolist()))
-        got, strength = condense(edges, len(ids), min_cluster_size)
+        src, dst, reach = at[: len(pdf)], at[len(pdf) :], pdf["reach"].to_numpy()
+        alone = src == dst  # a node's weight, not an edge
+        weights = np.ones(len(ids), int)
+        weights[src[alone]] = reach[alone].astype(int)
+        src, dst, reach = src[~alone], dst[~alone], reach[~alone]
+        order = np.lexsort((dst, src, reach))
+        edges = list(zip(reach[order].tolist(), src[order].tolist(), dst[order].tolist()))
+        got, strength = condense(edges, len(ids), min_cluster_size, weights.tolist())
         first = {c: int(ids[got == c].min()) for c in set(got.tolist()) if c >= 0}
         return pd.DataFrame({"id": ids, "first": pd.array([first.get(int(c)) for c in got], "Int64"), "probability": strength})
 
-    # the tree's edges are three numbers for each row; its order is sequential
-    found = scratch.table(tree.groupBy((F.col("src") * 0).alias("all")).applyInPandas(label, "id long, first long, probability double"), "found")
+    # the tree's edges are three numbers for each node; its order is sequential
+    sent = tree.union(nodes.select("id", F.col("id").alias("dst"), F.col("w").cast("double").alias("reach")))
+    found = scratch.table(sent.groupBy((F.col("src") * 0).alias("all")).applyInPandas(label, "id long, first long, probability double"), "found")
     number = found.where("first is not null").select("first").distinct().withColumn("cluster", (F.dense_rank().over(Window.orderBy("first")) - 1).cast("int"))
-    rows = drop_missing(df, features).select(F.col(f"`{id_col}`").alias("id"))
-    out = rows.join(found, "id", "left").join(number, "first", "left")
+    rows = rows.join(members, "id", "left").withColumn("node", F.coalesce("node", "id"))
+    out = rows.join(found.withColumnRenamed("id", "node"), "node", "left").join(number, "first", "left")
     return out.select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("probability", F.lit(0.0)).alias("probability"))

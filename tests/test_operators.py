@@ -283,6 +283,34 @@ def test_hdbscan_edges(spark):
     assert [r.cluster for r in hdbscan.hdbscan(points(spark, [(1.0,), (2.0,)]), "id", ["x0"], min_cluster_size=3).collect()] == [-1, -1]
 
 
+@pytest.mark.parametrize(("k", "least"), [(4, 6), (2, 3), (1, 2)])
+def test_hdbscan_takes_equal_rows_as_one_node(spark, monkeypatch, k, least):
+    """The same tree, clusters and strengths as from all pairs of rows, ties by src and dst; the search sees k - 1 rows of a place."""
+    rng = random.Random(k)
+    places = [(rng.randint(0, 9), rng.randint(0, 9)) for _ in range(40)]
+    xs = [p for n, p in enumerate(places) for _ in range((1, 2, 3, 4, 9)[n % 5])]
+    rng.shuffle(xs)
+    d, n = distances(xs), len(xs)
+    core = np.sort(d, axis=1)[:, k - 1]
+    edges, root = [], list(range(n))
+    for e in sorted((float(max(d[i, j], core[i], core[j])), i, j) for i in range(n) for j in range(i + 1, n)):
+        if root[e[1]] != root[e[2]]:
+            edges.append(e)
+            root = [root[e[1]] if r == root[e[2]] else r for r in root]
+    label, strength = hdbscan.condense(edges, n, least)
+    seen, search = [], hdbscan.spanning_tree
+    monkeypatch.setattr(hdbscan, "spanning_tree", lambda pts, *rest: seen.append(pts.count()) or search(pts, *rest))
+    table = points(spark, xs)
+    tree = hdbscan.hierarchy(table, "id", ["x0", "x1"], k, Scratch(spark)).collect()
+    assert sorted((r.reach, r.src, r.dst) for r in tree) == [pytest.approx(e) for e in edges]
+    assert seen == [sum(c if c < k else 1 for c in (xs.count(p) for p in set(xs)))]
+    got = {r.id: r for r in hdbscan.hdbscan(table, "id", ["x0", "x1"], min_cluster_size=least, min_samples=k).collect()}
+    first = [int(np.flatnonzero(label == c)[0]) if c >= 0 else None for c in label]
+    numbers = {f: c for c, f in enumerate(sorted({f for f in first if f is not None}))}
+    assert [got[i].cluster for i in range(n)] == [numbers.get(f, -1) for f in first]
+    assert [got[i].probability for i in range(n)] == pytest.approx(strength.tolist())
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(50)] + [(2000, 2000)]
     random.Random(1).shuffle(edges)
