@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import string
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,8 @@ BOOSTERS = {"absolutely": 1, "amazingly": 1, "completely": 1, "deeply": 1, "espe
 # Phrases with a valence of their own, and phrases that dampen what follows.
 IDIOMS = {"the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "yeah right": -2.0, "cut the mustard": 2.0, "kiss of death": -1.5, "hand to mouth": -2.0}
 DAMPENING = ("kind of", "sort of")
+# A word is scored otherwise than by its valence and case only if one of these, or a word with an apostrophe, is near it.
+TELLING = {*BOOSTERS, *NEGATIONS, "least", *(p.split()[-1] for p in IDIOMS), *(p.split()[0] for p in DAMPENING)}
 # Entries of a lexicon that is sent to every worker; more are joined by word.
 LARGEST = 200_000
 LABELS = ("positive", "neutral", "negative")
@@ -134,8 +137,9 @@ def _words(text: Column) -> Column:
     """(bare, low, tiny) of each word: without marks around it, unless two characters or fewer are left; tiny, in lower case,
     is the whole word if one character or none is left, else null."""
     marks = F.lit(string.punctuation)
+    gap = f"[\\x00- \\x7F-\\x{{10FFFF}}&&[{SPACES}]]+"  # the spaces; other ASCII is told apart by the first half alone
     # a step for each value that is used more than once, or it would be worked out for each use
-    parts = F.transform(F.filter(F.split(text, f"[{SPACES}]+"), lambda w: w != ""), lambda w: F.struct(w.alias("w"), F.btrim(w, marks).alias("inner")))
+    parts = F.transform(F.filter(F.split(text, gap), lambda w: w != ""), lambda w: F.struct(w.alias("w"), F.btrim(w, marks).alias("inner")))
     parts = F.transform(parts, lambda x: F.struct(F.when(F.octet_length(x["inner"]) > 8, x["inner"]).when(F.char_length(x["inner"]) > 2, x["inner"]).otherwise(x["w"]).alias("bare"), F.when((F.octet_length(x["inner"]) < 5) & (F.char_length(x["inner"]) < 2), F.lower(x["w"])).alias("tiny")))
     return F.transform(parts, lambda x: F.struct(x["bare"].alias("bare"), F.lower(x["bare"]).alias("low"), x["tiny"].alias("tiny")))
 
@@ -143,7 +147,7 @@ def _words(text: Column) -> Column:
 def _scores(df: DataFrame) -> DataFrame:
     """df (w and other columns) with `s`, the scores of the words of the lexicon, and `n`, the number of words instead of w.
 
-    w: array of (bare, low, v). Words that are not in the lexicon, and boosters, have the score 0 and are left out of s.
+    w: array of (bare, low, v, telling). Words that are not in the lexicon, and boosters, have the score 0 and are left out of s.
     """
     boost = F.create_map(*[F.lit(x) for w, v in BOOSTERS.items() for x in (w, v)])
     idioms = F.create_map(*[F.lit(x) for w, v in IDIOMS.items() for x in (w, v)])
@@ -155,8 +159,9 @@ def _scores(df: DataFrame) -> DataFrame:
     phrase = lambda i, n: F.when(i >= 0, F.concat_ws(" ", *[at(i + j)["low"] for j in range(n)]))
     cased = lambda x, sign: F.when(mixed & loud(x), sign * CAPS).otherwise(0.0)
     # words of the lexicon: (place, v, its valence v0)
-    own = F.transform("w", lambda x, i: F.struct(i.alias("i"), x["v"].alias("v"), x["v"].alias("v0"), (x["low"] == "but").alias("but")))
+    own = F.transform("w", lambda x, i: F.when(F.coalesce(x["v"] != 0, F.lit(False)) & ~x["low"].isin(*boosters), F.struct(i.alias("i"), x["v"].alias("v0"))))
     scored = lambda x, v: F.struct(x["i"].alias("i"), v.alias("v"), x["v0"].alias("v0"))
+    near = lambda i: reduce(Column.__or__, [F.coalesce(at(i + k)["telling"], F.lit(False)) for k in (-1, -2, -3, 0, 1, 2)])
 
     def after(back: int):
         """A score given the word `back` places before."""
@@ -185,16 +190,20 @@ def _scores(df: DataFrame) -> DataFrame:
         held = (i > 0) & is_one(i - 1, "least") & at(i - 1)["v"].isNull() & ~is_one(i - 2, "at", "very")
         return F.when(held, x["v"] * NEGATE).otherwise(x["v"])
 
-    df = df.withColumn("mixed", F.exists("w", loud) & ~F.forall("w", loud)).withColumn("own", own)
-    df = df.withColumn("but", F.array_position(F.transform("own", lambda x: x["but"]), True))
-    hits = F.filter("own", lambda x: F.coalesce(x["v0"] != 0, F.lit(False)) & ~at(x["i"])["low"].isin(*boosters))
-    s = F.transform(hits, lambda x: scored(x, x["v"] + cased(at(x["i"]), F.signum(x["v0"]))))
-    for back in range(1, len(FADE) + 1):
-        s = after(back)(s)
-    s = F.transform(s, lambda x: F.struct(x["i"].alias("i"), least(x).alias("v")))
+    def in_context(x: Column) -> Column:
+        s = F.array(x)
+        for back in range(1, len(FADE) + 1):
+            s = after(back)(s)
+        return F.get(F.transform(s, least), F.lit(0))
+
+    df = df.withColumn("mixed", F.exists("w", loud) & ~F.forall("w", loud))
+    df = df.withColumn("but", F.array_position(F.transform("w", lambda x: x["low"]), "but"))
+    s = F.transform(F.filter(own, lambda x: x.isNotNull()), lambda x: scored(x, x["v0"] + cased(at(x["i"]), F.signum(x["v0"]))))
+    # few words have such context, and only they go through all rules
+    s = F.transform(s, lambda x: F.struct(x["i"].alias("i"), F.when(near(x["i"]), in_context(x)).otherwise(x["v"]).alias("v")))
     place = lambda x: x["i"] + 1
     weigh = lambda x: x["v"] * F.when(F.col("but") == 0, 1.0).when(place(x) < F.col("but"), BEFORE_BUT).when(place(x) > F.col("but"), AFTER_BUT).otherwise(1.0)
-    return df.withColumn("s", F.transform(s, weigh)).withColumn("n", F.size("w")).drop("w", "own", "mixed", "but")
+    return df.withColumn("s", F.transform(s, weigh)).withColumn("n", F.size("w")).drop("w", "mixed", "but")
 
 
 def _sum(values: str) -> Column:
@@ -247,13 +256,14 @@ def _folded(rows: DataFrame, entries: DataFrame, size: int, largest: int) -> Dat
         split = split.join(hits, "doc_id", "left")
         of = lambda token: F.try_element_at(F.col("own"), token)
     known = F.filter("w", lambda x: x["tiny"].isNull() | of(x["tiny"]).isNotNull())
-    known = F.transform(known, lambda x: F.struct(x["bare"].alias("bare"), x["low"].alias("low"), of(x["low"]).alias("v")))
+    known = F.transform(known, lambda x: F.struct(x["bare"].alias("bare"), x["low"].alias("low"), of(x["low"]).alias("v"), (x["low"].isin(*sorted(TELLING)) | F.contains(x["low"], F.lit("'"))).alias("telling")))
     scored = _scores(split.select("doc_id", "text", known.alias("w")))
     sum_of = lambda f: F.aggregate("s", F.lit(0.0), f)
+    times = lambda mark: F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit(mark), F.lit("")))
     scored = scored.select(
         "doc_id", "text", _sum("s").alias("total"), sum_of(lambda t, s: t + F.when(s > 0, s + 1).otherwise(0.0)).alias("pos"),
         sum_of(lambda t, s: t + F.when(s < 0, 1 - s).otherwise(0.0)).alias("neg"), (F.col("n") - F.size(F.filter("s", lambda s: s != 0))).alias("neu"),
-        (F.char_length("text") - F.char_length(F.translate("text", "!", ""))).alias("calls"), (F.char_length("text") - F.char_length(F.translate("text", "?", ""))).alias("asks"),
+        times("!").alias("calls"), times("?").alias("asks"),
     )
     marks = F.least("calls", F.lit(4)) * EXCLAIM + F.when(F.col("asks") > 3, F.lit(MANY_QUESTIONS)).when(F.col("asks") > 1, F.col("asks") * QUESTION).otherwise(0.0)
     scored = scored.withColumn("marks", marks).select(

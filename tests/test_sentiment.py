@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import sentiment
 
@@ -30,6 +31,27 @@ def test_tables_agree_with_one_text_at_a_time(spark, largest, fold):
         assert got[i][4] == ("positive" if want[3] >= 0.05 else "negative" if want[3] <= -0.05 else "neutral")
 
 
+def test_rules_are_for_words_near_telling_ones(spark):
+    """Without a telling word near by a score is a word's valence; only such words go through all rules."""
+    rng = random.Random(3)
+    words = sorted({w for w in [*LEXICON, *WORDS, "kiss", "cut", "bad", "yeah", "hand", "to", "of", "the", "so", "this", "at"] if w.islower() and w.isalpha() and w != "but"} - sentiment.TELLING)
+    for _ in range(2000):
+        text = [rng.choice(words) for _ in range(rng.randint(1, 9))]
+        total = sum(LEXICON.get(w, 0.0) for w in text if len(w) > 1 or w in LEXICON)
+        assert sentiment.polarity(" ".join(text), LEXICON)[3] == pytest.approx(total / (total * total + 15) ** 0.5)
+    for telling, want in ((True, 1.9 * sentiment.NEGATE), (False, 1.9)):
+        w = [("not", "not", None, telling), ("good", "good", 1.9, False)]
+        df = spark.createDataFrame([(1, w)], "doc_id long, w array<struct<bare:string,low:string,v:double,telling:boolean>>")
+        assert sentiment._scores(df).first()["s"] == pytest.approx([want])
+
+
+def test_words_end_at_every_space(spark):
+    points = [c for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000]
+    docs = spark.createDataFrame([(c, f"ab{chr(c)}{chr(c)}cd") for c in points], "c int, text string")
+    got = {r.c: r.n for r in docs.select("c", F.size(sentiment._words(F.col("text"))).alias("n")).collect()}
+    assert got == {c: len(f"ab{chr(c)}{chr(c)}cd".split()) for c in points}
+
+
 def test_published_rules():
     p = lambda t: sentiment.polarity(t, {"good": 1.9, "bad": -2.5, "ass": -2.5, "shit": -2.6})[3]
     assert p("was never so good") > p("was really good") > p("was good") > 0 > p("was never good")
