@@ -560,3 +560,15 @@ def test_round_fast(spark):
     xs = [0.12345, 0.00005, 1.00015, -2.34565, 2.5, 1e13 + 0.125, float("nan"), float("inf"), None, *np.random.default_rng(2).uniform(-50, 50, 500).round(5).tolist()]
     df = spark.createDataFrame([(None if x is None else float(x),) for x in xs], "x double")
     assert df.where(~F.round("x", 4).eqNullSafe(scalars.round_fast(F.col("x"), 4))).count() == 0
+
+
+def test_scratch_tables_leave_no_shuffle_files(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for k in range(files.size()) if (f := files.apply(k).getName()).startswith("shuffle_")}
+
+    before, had = shuffled(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    t = Scratch(spark).table(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).agg(F.collect_list("id").alias("ids")))
+    assert not shuffled() - before
+    assert t.select(F.sum(F.size("ids"))).first()[0] == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == had
