@@ -9,14 +9,15 @@ single-linkage hierarchy, condenses it and chooses clusters by excess of mass.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import squared_distance
 from ..functions.scratch import Scratch
-from .neighbors import GRID_FEATURES, cores_of_places, first_side
+from .neighbors import CHUNK, GRID_FEATURES, block_pairs, cores_of_places, first_side, in_blocks
 from .prepare import drop_missing, require_long_ids
 
 
@@ -39,7 +40,8 @@ def spanning_tree(pts: DataFrame, names: list[str], side: float, scratch: Scratc
     """(src, dst, reach): the minimum spanning tree under mutual reachability, ties by src and dst. pts: id, core and features.
 
     A row reaches no other below its core distance, so a side concerns rows of at most that core distance. Of those, rows
-    whose own and adjoining cells hold one component alone have no edge to find and are left out.
+    whose own and adjoining cells hold one component alone have no edge to find and are left out. Of the edges of a block of
+    cells only its own minimum spanning forest can be in the tree; so edges grow with the rows, not with the pairs.
     """
     grid = names[:GRID_FEATURES]
     nodes = scratch.table(pts.withColumn("comp", F.col("id")), "nodes")
@@ -53,13 +55,12 @@ def spanning_tree(pts: DataFrame, names: list[str], side: float, scratch: Scratc
             held = held.withColumn(k, F.explode(F.sequence(F.col(k) - 1, F.col(k) + 1)))
         border = held.groupBy(*keys).agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select(*keys)
         live = scratch.table(live.join(border, keys, "left_semi"), "live")
-        left = live.select(F.col("id").alias("src"), F.col("core").alias("ca"), F.col("comp").alias("p"), *[F.col(c).alias(f"a{k}") for k, c in enumerate(names)], *keys)
-        for k in keys:
-            left = left.withColumn(k, F.explode(F.sequence(F.col(k) - 1, F.col(k) + 1)))
-        right = live.select(F.col("id").alias("dst"), F.col("core").alias("cb"), F.col("comp").alias("q"), *[F.col(c).alias(f"b{k}") for k, c in enumerate(names)], *keys)
-        dist = F.sqrt(squared_distance([F.col(f"a{k}") for k in range(len(names))], [F.col(f"b{k}") for k in range(len(names))]))
-        edges = left.join(right, keys).where("src < dst and p <> q").select("src", "dst", F.greatest("ca", "cb", dist).alias("reach"), "p", "q").where(F.col("reach") <= side)
-        edges, moved = scratch.table(edges, "edges"), None
+
+        def prune(pdf: pd.DataFrame, *, side: float = side) -> pd.DataFrame:
+            return block_edges(pdf, names, side)
+
+        edges = in_blocks(live.drop(*keys), names, side).applyInPandas(prune, "src long, dst long, reach double, p long, q long")
+        edges = scratch.table(edges, "edges")
         while not edges.isEmpty():  # Boruvka's rounds
             ends = edges.select("p", "q", "reach", "src", "dst").union(edges.select("q", "p", "reach", "src", "dst"))
             least = ends.groupBy("p").agg(F.min(F.struct("reach", "src", "dst", "q")).alias("e")).select("p", "e.*")
@@ -86,95 +87,140 @@ def spanning_tree(pts: DataFrame, names: list[str], side: float, scratch: Scratc
     return tree if tree is not None else nodes.limit(0).select(F.col("id").alias("src"), F.col("id").alias("dst"), F.col("core").alias("reach"))
 
 
-def condense(tree: list[tuple[float, int, int]], n: int, least: int, weights: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(cluster, probability) of each point: -1 and 0 for noise, else 0, 1, ... in no special order. weights: rows a point stands for."""
-    weights = weights or [1] * n
-    if sum(weights) < least:
-        return np.full(n, -1), np.zeros(n)
-    # single linkage: node n + k joins two earlier nodes at height[k]
-    root, node, left, right, height, size = list(range(n)), list(range(n)), [], [], [], list(weights)
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for w, a, b in tree:
-        a, b = find(a), find(b)
-        left.append(node[a])
-        right.append(node[b])
-        height.append(w)
-        size.append(size[node[a]] + size[node[b]])
-        root[b] = a
-        node[a] = n + len(left) - 1
-
-    def points(top: int) -> list[int]:
-        stack, out = [top], []
-        while stack:
-            x = stack.pop()
-            if x < n:
-                out.append(x)
-            else:
-                stack += [left[x - n], right[x - n]]
-        return out
-
-    # condensed tree: births of clusters, and where each point falls out of which cluster
-    birth, parent, children, fell = [0.0], [-1], [[]], {}
-    stack = [(2 * n - 2, 0)] if n > 1 else []
-    while stack:
-        x, c = stack.pop()
-        if x < n:
-            fell[x] = (c, np.inf)
-            continue
-        lam = 1 / height[x - n] if height[x - n] > 0 else np.inf
-        sides = (left[x - n], right[x - n])
-        big = [s for s in sides if size[s] >= least]
-        if len(big) == 2:
-            for s in big:
-                birth.append(lam)
-                parent.append(c)
-                children.append([])
-                children[c].append(len(birth) - 1)
-                stack.append((s, len(birth) - 1))
-            continue
-        for s in sides:
-            if s in big:
-                stack.append((s, c))
-            else:
-                fell.update({p: (c, lam) for p in points(s)})
-    finite = [v for _, v in fell.values() if np.isfinite(v)] + [b for b in birth if np.isfinite(b)]
-    top = max(finite, default=1.0) or 1.0
-    cap = lambda v: v if np.isfinite(v) else top
-    mass, inner = [0.0] * len(birth), [0] * len(birth)
-    for p, (c, v) in fell.items():
-        mass[c] += weights[p] * (cap(v) - cap(birth[c]))
-        inner[c] += weights[p]
-    for c in range(len(birth) - 1, -1, -1):  # children come after their parents
-        inner[c] += sum(inner[d] for d in children[c])
-        mass[c] += sum(inner[d] * (cap(birth[d]) - cap(birth[c])) for d in children[c])
-    chosen, best = set(), list(mass)
-    for c in range(len(birth) - 1, -1, -1):
-        below = sum(best[d] for d in children[c])
-        if c == 0 or children[c] and below > mass[c]:  # the whole is no cluster
-            best[c] = below
-        else:
-            best[c] = mass[c]
-            chosen.add(c)
-    over = {}
-    for c in range(len(birth)):  # the topmost chosen one above each cluster
-        up = over.get(parent[c])
-        over[c] = up if up is not None else (c if c in chosen else None)
-    names = {c: k for k, c in enumerate(sorted({v for v in over.values() if v is not None}))}
+def forest(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Places of the edges (p, q), given in rising order, that make up the minimum spanning forest; Boruvka's rounds."""
+    ids, at = np.unique(np.concatenate([p, q]), return_inverse=True)
+    a, b, left, kept = at[: len(p)], at[len(p) :], np.arange(len(p)), [np.zeros(0, np.int64)]
+    while len(left):
+        best = np.full((2, len(ids)), len(p))
+        best[0, a[::-1]] = left[::-1]  # the first edge of each component stays
+        best[1, b[::-1]] = left[::-1]
+        best = best.min(axis=0)
+        comps = np.flatnonzero(best < len(p))
+        kept.append(np.unique(best[comps]))
+        place = left.searchsorted(best[comps])
+        up = np.arange(len(ids))
+        up[comps] = np.where(a[place] == comps, b[place], a[place])
+        root = (up[up] == np.arange(len(ids))) & (np.arange(len(ids)) < up)
+        up[root] = np.flatnonzero(root)
+        while (up[up] != up).any():
+            up = up[up]
+        a, b = up[a], up[b]
+        apart = a != b
+        a, b, left = a[apart], b[apart], left[apart]
+    return np.sort(np.concatenate(kept))
+
+
+def block_edges(pdf: pd.DataFrame, names: list[str], side: float) -> pd.DataFrame:
+    """The minimum spanning forest of the edges up to `side` whose smaller id is the block's own."""
+    ids, core, comp = (pdf[c].to_numpy() for c in ("id", "core", "comp"))
+    x = pdf[names].to_numpy(float)
+    held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def least(i: np.ndarray, j: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((ids[j], ids[i], reach))
+        i, j, reach = i[order], j[order], reach[order]
+        kept = forest(comp[i], comp[j])
+        return i[kept], j[kept], reach[kept]
+
+    for i, j, d in block_pairs(x, np.flatnonzero(pdf["own"]), side):
+        reach = np.maximum(np.maximum(core[i], core[j]), d)
+        open_ = (ids[i] < ids[j]) & (comp[i] != comp[j]) & (reach <= side)
+        held = tuple(np.concatenate([h, n[open_]]) for h, n in zip(held, (i, j, reach)))
+        if len(held[0]) > max(CHUNK // 4, 4 * len(ids)):
+            held = least(*held)
+    i, j, reach = least(*held)
+    return pd.DataFrame({"src": ids[i], "dst": ids[j], "reach": reach, "p": comp[i], "q": comp[j]})
+
+
+def _raised(up: np.ndarray) -> np.ndarray:
+    """Where each pointer ends; those that end point at themselves."""
+    while True:
+        far = up[up]
+        if np.array_equal(far, up):
+            return up
+        up = far
+
+
+def condense(tree, n: int, least: int, weights: list[int] | np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(cluster, probability) of each point: -1 and 0 for noise, else 0, 1, ... in no special order. weights: rows a point stands for.
+
+    tree: (height, a, b) of each edge by rising height, or three arrays of these. The hierarchy is arrays with a place for
+    each node; clusters are found by pointers that jump, not by walks.
+    """
+    weights = np.ones(n, np.int64) if weights is None else np.asarray(weights, np.int64)
     label, strength = np.full(n, -1), np.zeros(n)
-    # the density at which a cluster itself ends, by losing its last point or splitting
-    deepest: dict[int, float] = {}
-    for c, v in [*fell.values(), *((parent[d], birth[d]) for d in range(1, len(birth)))]:
-        deepest[c] = max(deepest.get(c, 0.0), cap(v))
-    for p, (c, v) in fell.items():
-        if over[c] is not None:
-            label[p] = names[over[c]]
-            strength[p] = min(1.0, cap(v) / deepest[over[c]]) if deepest[over[c]] > 0 else 1.0
+    if weights.sum() < least or n < 2:
+        return label, strength
+    height, ends_a, ends_b = (np.asarray(c) for c in (tree if isinstance(tree, tuple) else zip(*tree)))
+    height = height.astype(float)
+    # single linkage: node n + k joins two earlier nodes at height[k]
+    root, node = array("i", range(n)), array("i", range(n))
+    rows = array("q", weights.tobytes())
+    left, right, size = array("i", bytes(4 * (n - 1))), array("i", bytes(4 * (n - 1))), array("q", bytes(8 * (n - 1)))
+    for k, (a, b) in enumerate(zip(array("i", ends_a.astype(np.int32).tobytes()), array("i", ends_b.astype(np.int32).tobytes()))):
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        if rows[a] < rows[b]:
+            a, b = b, a
+        left[k], right[k] = node[a], node[b]
+        rows[a] += rows[b]
+        size[k], root[b], node[a] = rows[a], a, n + k
+    del root, node, rows
+    left, right, size = np.frombuffer(left, np.int32), np.frombuffer(right, np.int32), np.r_[weights, np.frombuffer(size, np.int64)]
+    total = 2 * n - 1
+    parent = np.full(total, total - 1, np.int32)
+    parent[left] = parent[right] = np.arange(n, total)
+    with np.errstate(divide="ignore"):
+        lam = np.r_[np.full(n, np.inf), np.where(height > 0, 1 / height, np.inf)]  # a point of weight enough never falls
+    big = size >= least
+    del size
+    # a point falls at the lowest node above it that is large enough
+    at = np.arange(total, dtype=np.int32)
+    fell = _raised(np.where(big, at, parent))[:n].copy()
+    # condensed tree: a cluster starts at the top and at either side of a split
+    starts = np.zeros(total, bool)
+    split = big[left] & big[right]
+    starts[left[split]] = starts[right[split]] = True
+    starts[-1] = True
+    cluster = _raised(np.where(starts, at, parent))
+    heads = np.flatnonzero(starts)[::-1]  # parents before children
+    number = np.empty(total, np.int32)
+    number[heads] = np.arange(len(heads))
+    over_of = number[cluster[parent[heads]]]  # the cluster above; 0 for the top itself
+    birth = lam[parent[heads]]
+    birth[0] = 0.0
+    c, v = number[cluster[fell]], lam[fell]
+    finite = np.concatenate([v[np.isfinite(v)], birth[np.isfinite(birth)]])
+    top = float(finite.max(initial=0.0)) or 1.0
+    v, birth = np.where(np.isfinite(v), v, top), np.where(np.isfinite(birth), birth, top)
+    m = len(heads)
+    mass = np.bincount(c, weights * (v - birth[c]), m).tolist()
+    inner = np.bincount(c, weights, m).tolist()
+    deepest = np.zeros(m)
+    np.maximum.at(deepest, c, v)
+    np.maximum.at(deepest, over_of[1:], birth[1:])
+    born, above = birth.tolist(), over_of.tolist()
+    for k in range(m - 1, 0, -1):
+        inner[above[k]] += inner[k]
+        mass[above[k]] += inner[k] * (born[k] - born[above[k]])
+    below, parted, chosen = [0.0] * m, np.bincount(over_of[1:], minlength=m).tolist(), [False] * m
+    for k in range(m - 1, -1, -1):
+        if k and not (parted[k] and below[k] > mass[k]):  # the whole is no cluster
+            chosen[k], below[k] = True, mass[k]
+        if k:
+            below[above[k]] += below[k]
+    over = [-1] * m  # the topmost chosen one above each cluster
+    for k in range(m):
+        up = over[above[k]] if k else -1
+        over[k] = up if up >= 0 else (k if chosen[k] else -1)
+    over = np.array(over)[c]
+    held = over >= 0
+    names, label[held] = np.unique(over[held], return_inverse=True)
+    deep = deepest[over[held]]
+    strength[held] = np.minimum(1.0, np.divide(v[held], deep, out=np.ones(len(deep)), where=deep > 0))
     return label, strength
 
 
@@ -215,17 +261,18 @@ def hdbscan(df: DataFrame, id_col: str, features: list[str], min_cluster_size: i
     tree, nodes, members = made
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, at = np.unique(np.concatenate([pdf["src"], pdf["dst"]]), return_inverse=True)
-        src, dst, reach = at[: len(pdf)], at[len(pdf) :], pdf["reach"].to_numpy()
+        src, dst, reach = (pdf[c].to_numpy() for c in ("src", "dst", "reach"))
         alone = src == dst  # a node's weight, not an edge
-        weights = np.ones(len(ids), int)
-        weights[src[alone]] = reach[alone].astype(int)
-        src, dst, reach = src[~alone], dst[~alone], reach[~alone]
+        ids, weights = src[alone], reach[alone].astype(np.int64)
+        order = np.argsort(ids)
+        ids, weights = ids[order], weights[order]
+        src, dst, reach = ids.searchsorted(src[~alone]).astype(np.int32), ids.searchsorted(dst[~alone]).astype(np.int32), reach[~alone]
         order = np.lexsort((dst, src, reach))
-        edges = list(zip(reach[order].tolist(), src[order].tolist(), dst[order].tolist()))
-        got, strength = condense(edges, len(ids), min_cluster_size, weights.tolist())
-        first = {c: int(ids[got == c].min()) for c in set(got.tolist()) if c >= 0}
-        return pd.DataFrame({"id": ids, "first": pd.array([first.get(int(c)) for c in got], "Int64"), "probability": strength})
+        src, dst, reach = src[order], dst[order], reach[order]
+        got, strength = condense((reach, src, dst), len(ids), min_cluster_size, weights)
+        first = np.full(len(ids) + 1, -1)  # by label; noise has the last place
+        first[got[::-1]] = ids[::-1]
+        return pd.DataFrame({"id": ids, "first": pd.Series(first[got], dtype="Int64").mask(got < 0), "probability": strength})
 
     # the tree's edges are three numbers for each node; its order is sequential
     sent = tree.union(nodes.select("id", F.col("id").alias("dst"), F.col("w").cast("double").alias("reach")))

@@ -8,10 +8,13 @@ bounded share of it. Core distances need no pairs: cores_within() looks at cells
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import product
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import squared_distance
@@ -24,6 +27,8 @@ __all__ = [
 ]
 
 GRID_FEATURES = 3  # 27 cells meet; more features only filter
+SPAN = {1: 64, 2: 12, 3: 5}  # cells of a block along each of as many features
+CHUNK = 1_000_000  # pairs of rows of a block that are held at once
 COMPARED = 8_000_000  # pairs of rows that a task, and a key of the join, compares
 
 
@@ -133,19 +138,88 @@ def cores_within(df: DataFrame, id_col: str, features: list[str], eps: float, mi
 def cores_of_places(places: DataFrame, names: list[str], k: int, scratch: Scratch, eps: float = float("inf"), side: float | None = None) -> DataFrame:
     """(id, core): distance within which lie k rows, of places (id, features, w rows each) that have them within eps."""
     found = places.where(F.col("w") >= k).select("id", F.lit(0.0).alias("core"))
-    todo, near = places.where(F.col("w") < k), Window.partitionBy("src").orderBy("dist")
+    todo = places.where(F.col("w") < k)
     if todo.isEmpty():
         return found
-    side = min(eps, side or first_side(places, names, k))
+    side, grid = min(eps, side or first_side(places, names, k)), names[:GRID_FEATURES]
+    schema, right = f"id {places.schema['id'].dataType.simpleString()}, core double", places.withColumn("todo", F.col("w") < k)
     while True:
-        pairs = pairs_between(todo, places, names, side, ("w",)).withColumn("rows", F.sum("dst_w").over(near))
-        got = pairs.where(F.col("rows") >= k).groupBy(F.col("src").alias("id")).agg(F.min("dist").alias("core"))
-        got = scratch.table(got, "cores")
+
+        def run(pdf: pd.DataFrame, *, side: float = side) -> pd.DataFrame:
+            got = block_cores(pdf[names].to_numpy(float), pdf["w"].to_numpy(), np.flatnonzero(pdf["own"] & pdf["todo"]), side, k)
+            return pd.DataFrame({"id": pdf["id"].to_numpy(), "core": got})[~np.isnan(got)]
+
+        got = scratch.table(in_blocks(right, names, side).applyInPandas(run, schema), "cores")
         found = found.union(got)
         todo = scratch.table(todo.join(got, "id", "left_anti"), "sparse")
         if side >= eps or todo.isEmpty():
             return found
         side = min(eps, 2 * side)
+        keys = [f"c{j}" for j in range(len(grid))]
+        around = todo.select(*_cell(names, side)).distinct()
+        for c in keys:
+            around = around.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+        right = places.select("*", *_cell(names, side)).join(around.distinct(), keys, "left_semi").drop(*keys)
+        right = right.join(todo.select("id", F.lit(True).alias("todo")), "id", "left").withColumn("todo", F.coalesce("todo", F.lit(False)))
+
+
+def in_blocks(pts: DataFrame, names: list[str], side: float) -> GroupedData:
+    """The rows grouped by blocks of grid cells, each with the rows of the cells around it, whose `own` is false.
+
+    What few rows make many pairs looks small to Spark, which would put it into few tasks; so the number of tasks is given.
+    """
+    grid, out, own = names[:GRID_FEATURES], pts, F.lit(True)
+    for j, c in enumerate(grid):
+        at = [F.floor((F.floor(F.col(c) / F.lit(float(side))) + s) / F.lit(SPAN[len(grid)])) for s in (-1, 0, 1)]
+        out = out.withColumn(f"h{j}", at[1]).withColumn(f"b{j}", F.explode(F.array_distinct(F.array(*at))))
+        own = own & (F.col(f"b{j}") == F.col(f"h{j}"))
+    keys, spark = [f"b{j}" for j in range(len(grid))], pts.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, pts.count() // 50_000)
+    return out.select(*pts.columns, *keys, own.alias("own")).repartition(parts, *keys).groupBy(*keys)
+
+
+def block_pairs(x: np.ndarray, left: np.ndarray, side: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of the rows `left` of x with all rows within `side`, some CHUNK comparisons at a time; all of an i come together."""
+    if not len(left):
+        return
+    cells = np.floor(x[:, :GRID_FEATURES] / side).astype(np.int64)
+    cells -= cells.min(axis=0) - 1
+    stride = np.r_[np.cumprod((cells.max(axis=0) + 2)[:0:-1])[::-1], 1]  # cells that follow each other along the last feature have following keys
+    key = cells @ stride
+    order = np.argsort(key, kind="stable")
+    keys = key[order]
+    steps = np.array([sum(t * u for t, u in zip(s, stride.tolist())) for s in product((-1, 0, 1), repeat=cells.shape[1] - 1)], np.int64)
+    home = key[left][:, None] + steps
+    low, high = keys.searchsorted(home - 1, "left"), keys.searchsorted(home + 1, "right")
+    ends = np.cumsum((high - low).sum(axis=1))
+    at = 0
+    while at < len(left):
+        to = max(at + 1, int(ends.searchsorted((ends[at - 1] if at else 0) + CHUNK, "right")))
+        n = (high[at:to] - low[at:to]).ravel()
+        i = np.repeat(left[at:to], n.reshape(to - at, -1).sum(axis=1))
+        j = order[np.arange(n.sum()) + np.repeat(low[at:to].ravel() - np.r_[0, np.cumsum(n)[:-1]], n)]
+        d = x[i, 0] - x[j, 0]
+        d = d * d
+        for c in range(1, x.shape[1]):
+            e = x[i, c] - x[j, c]
+            d += e * e
+        d = np.sqrt(d)
+        near = d <= side
+        yield i[near], j[near], d[near]
+        at = to
+
+
+def block_cores(x: np.ndarray, w: np.ndarray, left: np.ndarray, side: float, k: int) -> np.ndarray:
+    """The distance within which lie k rows, for the places `left` that have them within side; others are not a number."""
+    core = np.full(len(x), np.nan)
+    for i, j, d in block_pairs(x, left, side):
+        order = np.lexsort((d, i))
+        i, d, rows = i[order], d[order], np.cumsum(w[j[order]])
+        heads = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, int)
+        rows = rows - np.repeat(np.r_[0, rows[heads[1:] - 1]], np.diff(np.r_[heads, len(i)])) if len(i) else rows
+        enough = rows >= k
+        core[i[enough][::-1]] = d[enough][::-1]  # the first of each stays
+    return core
 
 
 def _with_cores(df: DataFrame, id_col: str, features: list[str], eps: float, min_pts: int) -> tuple[DataFrame, list[str]]:

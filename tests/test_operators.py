@@ -311,6 +311,60 @@ def test_hdbscan_takes_equal_rows_as_one_node(spark, monkeypatch, k, least):
     assert [got[i].probability for i in range(n)] == pytest.approx(strength.tolist())
 
 
+def test_hdbscan_keeps_few_edges_of_dense_rows(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    xs, kept, table = rng.random((900, 2)).round(4), [], Scratch.table
+
+    def counted(self, df, name="t"):
+        out = table(self, df, name)
+        kept.extend([out.count()] if name == "edges" else [])
+        return out
+
+    monkeypatch.setattr(Scratch, "table", counted)
+    tree = hdbscan.hierarchy(points(spark, xs), "id", ["x0", "x1"], 5, Scratch(spark)).collect()
+    d = distances(xs)
+    core, root, want = np.sort(d, axis=1)[:, 4], list(range(900)), []
+    reach = np.maximum(np.maximum(core[:, None], core), d)
+    a, b = np.triu_indices(900, 1)
+    for k in np.lexsort((b, a, reach[a, b])).tolist():
+        i, j = int(a[k]), int(b[k])
+        ends = []
+        for x in (i, j):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            ends.append(x)
+        if ends[0] != ends[1]:
+            root[ends[0]] = ends[1]
+            want.append((float(reach[i, j]), i, j))
+    assert sorted((r.reach, r.src, r.dst) for r in tree) == [pytest.approx(e) for e in want]
+    assert max(kept) < 4 * 900  # the pairs within the first side are some thirty for each row
+
+
+def test_condense_takes_arrays():
+    rng = np.random.default_rng(4)
+    n = 3000
+    height = np.sort(rng.exponential(size=n - 1))
+    a = rng.permutation(n - 1)
+    label, strength = hdbscan.condense((height, a, a + 1), n, 5)
+    other, weak = hdbscan.condense(list(zip(height.tolist(), a.tolist(), (a + 1).tolist())), n, 5)
+    assert (label == other).all() and (strength == weak).all() and label.max() > 10
+
+
+@pytest.mark.parametrize("d", [1, 2, 3, 4])
+def test_pairs_of_blocks(monkeypatch, d):
+    rng = np.random.default_rng(d)
+    x, side = rng.normal(size=(150, d)).round(1), 0.7
+    w = rng.integers(1, 3, 150)
+    monkeypatch.setattr(neighbors, "CHUNK", 500)
+    met = [(int(i), int(j)) for part in neighbors.block_pairs(x, np.arange(0, 150, 2), side) for i, j in zip(*part[:2])]
+    dist = distances(x)
+    assert sorted(met) == [(i, j) for i in range(0, 150, 2) for j in range(150) if dist[i, j] <= side]
+    core = neighbors.block_cores(x, w, np.arange(150), side, 4)
+    for i in range(150):
+        near = [v for v, k in sorted(zip(dist[i].tolist(), w.tolist())) for _ in range(k)]
+        assert core[i] == (pytest.approx(near[3]) if near[3] <= side else pytest.approx(np.nan, nan_ok=True))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(50)] + [(2000, 2000)]
     random.Random(1).shuffle(edges)
