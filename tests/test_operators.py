@@ -610,6 +610,22 @@ def test_full_cells_are_dealt_out(spark, monkeypatch):
     assert pairs.count() == 120 * 120 + 1 == pairs.distinct().count() and per_task < 5000
 
 
+def test_rows_of_full_cells_are_sent_along_a_line_only(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "COMPARED", 500)
+    sent, dealt = [], neighbors._dealt
+
+    def counted(a, b, keys):
+        out = dealt(a, b, keys)
+        sent.append(out[0].count() + out[1].count())
+        return out
+
+    monkeypatch.setattr(neighbors, "_dealt", counted)
+    xs = [(0.001 * i,) for i in range(300)] + [(7.0,)]
+    pairs = neighbors.eps_pairs(points(spark, xs), "id", ["x0"], 1.0)
+    assert pairs.count() == 300 * 300 + 1 == pairs.distinct().count()
+    assert sent[0] < 300 * 45  # 180 shares: 54,000 rows if each row of one side goes to all
+
+
 def test_round_fast(spark):
     xs = [0.12345, 0.00005, 1.00015, -2.34565, 2.5, 1e13 + 0.125, float("nan"), float("inf"), None, *np.random.default_rng(2).uniform(-50, 50, 500).round(5).tolist()]
     df = spark.createDataFrame([(None if x is None else float(x),) for x in xs], "x double")
